@@ -21,7 +21,7 @@ from .packing import groups_of
 
 #: Bytes of the substrings that anchors are chosen from; windows of a segment at most; bytes of a bucket, on average;
 #: different segments of an anchor up to which one bucket takes them all.
-GRAM, RUN, BUCKET, HOT = 24, 512, 1_000_000, 1_000
+GRAM, RUN, BUCKET, HOT = 64, 512, 1_000_000, 1_000
 SEPARATOR = 255  # no byte of UTF-8
 
 
@@ -32,7 +32,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(width):
         key = key << np.uint64(9) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
     while True:
         starts = np.flatnonzero(new)
@@ -45,7 +45,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         tied = np.repeat(size > 1, size)  # only places with an equal are sorted again
         at = order[tied]
         key = (rank[at].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(at + width, n)] + 1).astype(np.uint64)
-        again = np.argsort(key, kind="stable")
+        again = np.argsort(key)
         order[tied] = at[again]
         key = key[again]
         new[tied] = np.concatenate(([True], key[1:] != key[:-1]))
@@ -104,13 +104,15 @@ def repeated_starts(data: np.ndarray, least: int) -> np.ndarray:
 
 def _anchors(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The smallest hash of the substrings of GRAM bytes in each window of `least` bytes; whether the window starts with it."""
-    h, width, power = mix(data.astype(np.uint64) + np.uint64(1)), 1, np.uint64(0x9E3779B97F4A7C15)
-    while width < 16:
-        h = h[:-width] * power + h[width:]
-        width, power = width * 2, power * power
-        if width == 8:
-            eight, by = h, power
-    h = mix(h[: len(h) - 8] * by + eight[16 : 16 + len(h) - 8])
+    h, width, power, made = mix(data.astype(np.uint64) + np.uint64(1)), 1, 0x9E3779B97F4A7C15, 0
+    whole = np.zeros(len(data) + 1, np.uint64)
+    while width <= GRAM:  # h: hashes of the strings of `width` bytes; whole: of those of `made` bytes
+        if GRAM & width:
+            whole = whole[: len(h) - made] * np.uint64(power) + h[made:] if made else h
+            made += width
+        h = h[:-width] * np.uint64(power) + h[width:]
+        width, power = width * 2, power * power % (1 << 64)
+    h = mix(whole)
     grams, width, most = h, 1, least - GRAM + 1
     while width * 2 <= most:
         h = np.minimum(h[:-width], h[width:])
