@@ -16,7 +16,10 @@ import numpy as np
 SAFE = re.compile(r"[\t\n\r -~\xa1-\xac\xae-\xff]*")
 #: A blank beside other white space: the split at blanks does not give the library's words.
 ODD = re.compile(r" [ \t\n\r]|[\t\n\r] ")
-MEMO = 300_000
+#: Words that a worker remembers for good; those beyond are asked for anew in every group of texts.
+MEMO = 500_000
+#: A mark after letters is a word of its own to either kind of tokenizer here.
+TAILS = ".,;:!?"
 
 
 def load(path: str):
@@ -32,11 +35,21 @@ def load(path: str):
 class _Memo(dict):
     """What the library gives for a word, by word."""
 
-    def learn(self, words, ask) -> None:
-        if len(self) > MEMO:
-            self.clear()
-        if missing := [w for w in words if w not in self]:
-            self.update(zip(missing, ask(missing), strict=True))
+    tails: dict = {}
+
+    def learn(self, words, ask) -> list[str]:
+        """Ask for the words that are missing; those that forget() is to take out again are returned."""
+        missing = [w for w in words if w not in self]
+        ends = [w for w in missing if w[-1:] in TAILS and w[:-1].isalpha()] if self.tails else []
+        need = list(set(missing).difference(ends) | {c for w in ends if (c := w[:-1]) not in self})
+        full = len(self) > MEMO
+        self.update(zip(need, ask(need), strict=True))
+        self.update((w, self[w[:-1]] + self.tails[w[-1]]) for w in ends)
+        return [*need, *ends] if full else []
+
+    def forget(self, words: list[str]) -> None:
+        for w in words:
+            del self[w]
 
 
 class WordIds:
@@ -46,6 +59,7 @@ class WordIds:
         self.tokenizer, self.memo = load(path), _Memo()
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memo.tails = dict(zip(TAILS, self._ask(list(TAILS)), strict=True))
 
     def _ask(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -53,9 +67,11 @@ class WordIds:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian numbers of `kind`."""
         split = [t.lower().split() if SAFE.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        self.memo.learn(set().union(*(w for w in split if w is not None)), self._ask)
+        extra = self.memo.learn(set().union(*(w for w in split if w is not None)), self._ask)
         get = self.memo.__getitem__
-        return [b"".join(map(get, w)) if w is not None else self._ask([t])[0] for t, w in zip(texts, split, strict=True)]
+        out = [b"".join(map(get, w)) if w is not None else self._ask([t])[0] for t, w in zip(texts, split, strict=True)]
+        self.memo.forget(extra)
+        return out
 
 
 class ByteCounts:
@@ -68,6 +84,7 @@ class ByteCounts:
     def __init__(self, path: str):
         self.tokenizer, self.first, self.later = load(path), _Memo(), _Memo()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.first.tails = self.later.tails = dict(zip(TAILS, self._ask(list(TAILS)), strict=True))
 
     def _ask(self, words: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -75,23 +92,30 @@ class ByteCounts:
     def _words(self, text: str) -> list[str] | None:
         return text.split(" ") if SAFE.fullmatch(text) and not ODD.search(text) and not any(s in text for s in self.special) else None
 
-    def _learn(self, split: list[list[str]]) -> None:
-        self.first.learn({w[0] for w in split}, self._ask)
-        self.later.learn(set().union(*(w[1:] for w in split)), lambda x: self._ask([" " + w for w in x]))
+    def _learn(self, split: list[list[str]]) -> tuple[list[str], list[str]]:
+        first = self.first.learn({w[0] for w in split}, self._ask)
+        return first, self.later.learn(set().union(*(w[1:] for w in split)), lambda x: self._ask([" " + w for w in x]))
+
+    def _forget(self, extra: tuple[list[str], list[str]]) -> None:
+        self.first.forget(extra[0])
+        self.later.forget(extra[1])
 
     def whole(self, texts: list[str]) -> list[int]:
         split = [self._words(t) for t in texts]
-        self._learn([w for w in split if w is not None])
+        extra = self._learn([w for w in split if w is not None])
         first, later = self.first.__getitem__, self.later.__getitem__
-        return [first(w[0]) + sum(map(later, w[1:])) if w is not None else self._ask([t])[0] for t, w in zip(texts, split, strict=True)]
+        out = [first(w[0]) + sum(map(later, w[1:])) if w is not None else self._ask([t])[0] for t, w in zip(texts, split, strict=True)]
+        self._forget(extra)
+        return out
 
     def bounds(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """Stable boundaries (ascending places in text), the tokens before each, and all tokens."""
         if (words := self._words(text)) is not None:
-            self._learn([words])
+            extra = self._learn([words])
             n = np.array([self.first[words[0]], *map(self.later.__getitem__, words[1:])], np.int64).cumsum()
             at = np.array([len(w) + 1 for w in words], np.int64).cumsum()[:-1] - 1
             before = n[:-1]
+            self._forget(extra)
         else:
             encoded = self.tokenizer.encode(text, add_special_tokens=False)
             starts = np.array([s for s, _ in encoded.offsets], np.int64)
