@@ -22,18 +22,22 @@ def adapt_rows(parsed: DataFrame) -> DataFrame:
     The date is the row's, else that of a month and day before the description, else the period's start. Rows without a
     date or without money go. Missing amounts count as nothing.
     """
-    v, r = F.col("v"), F.col("r")
-    head = st.header(v)
-    start, end = parse_date(head["statement_period_start"]), parse_date(head["statement_period_end"])
+    r, start, end = F.col("r"), F.col("_start"), F.col("_end")
+    head = st.header(F.col("v"))
+    # each step's columns are made before the next uses them, as an expression used ten times is else written out ten times
+    parsed = parsed.withColumns({"_start": head["statement_period_start"], "_end": head["statement_period_end"]})
+    parsed = parsed.withColumns({c: parse_date(F.col(c)) for c in ("_start", "_end")})
     number = {c: F.try_variant_get(r, f"$.{c}", "double") for c in ("withdrawal", "deposit", "balance")}
-    description = F.coalesce(F.try_variant_get(r, "$.description", "string"), F.lit(""))
-    rows = exploded(parsed).select(
-        "statement_id", "pos",
-        F.coalesce(parse_date(F.try_variant_get(r, "$.date", "string")), recover_date(description, start, end), start).alias("date"),
-        description.alias("description"), F.try_variant_get(r, "$.reference", "string").alias("reference"),
-        py_round(F.coalesce(number["deposit"], F.lit(0.0)) - F.coalesce(number["withdrawal"], F.lit(0.0))).alias("amount"),
+    raw = exploded(parsed).select(
+        "statement_id", "pos", "_start", "_end", F.try_variant_get(r, "$.date", "string").alias("date"),
+        F.coalesce(F.try_variant_get(r, "$.description", "string"), F.lit("")).alias("description"),
+        F.try_variant_get(r, "$.reference", "string").alias("reference"),
         *(number[c].alias(c) for c in ("deposit", "withdrawal", "balance")),
     )
+    rows = raw.withColumns({
+        "date": F.coalesce(parse_date(F.col("date")), recover_date(F.col("description"), start, end), start),
+        "amount": py_round(F.coalesce("deposit", F.lit(0.0)) - F.coalesce("withdrawal", F.lit(0.0))),
+    }).select("statement_id", "pos", "date", "description", "reference", "amount", "deposit", "withdrawal", "balance")
     return rows.where(F.col("date").isNotNull() & (F.col("amount") != 0))
 
 
@@ -42,8 +46,9 @@ def adapt_accounts(parsed: DataFrame, rows: DataFrame, apr: Column | None = None
     and totals_source: `statement`, or `derived` where a printed total is missing and both come from the rows. A rate
     stays on cards alone."""
     v = F.col("v")
-    head = st.header(v)
-    kind, four = account_type(head["account_type"]), last4(head["account_number"])
+    kind, four = account_type(F.col("_account_type")), last4(F.col("_account_number"))
+    head = {name: F.col(f"_{name}") for name in st.HEADER}
+    parsed = parsed.withColumns({f"_{name}": x for name, x in st.header(v).items()})
     printed = {c: F.try_variant_get(v, f"$.{c}", "double") for c in ("opening_balance", "closing_balance", "total_deposits", "total_withdrawals")}
     accounts = parsed.select(
         "statement_id", account_id(head["bank_name"], four, head["statement_period_start"]).alias("id"), head["bank_name"].alias("bank_name"),
@@ -62,11 +67,14 @@ def normalize_rows(parsed: DataFrame) -> DataFrame:
     """statement_id, pos and the six fields under any of their spellings: ISO date text, clean texts, magnitudes. One
     signed amount parts into withdrawal and deposit."""
     r = F.col("r")
-    text = {name: st.field(r, names) for name, names in st.ROW.items()}
+    text = {name: F.col(f"_{name}") for name in st.ROW}
+    raw = exploded(parsed).withColumns({f"_{name}": st.field(r, names) for name, names in st.ROW.items()})
     out, into, signed = (to_number(text[c]) for c in ("withdrawal", "deposit", "amount"))
+    raw = raw.withColumns({"_out": out, "_into": into, "_signed": signed})
+    out, into, signed = F.col("_out"), F.col("_into"), F.col("_signed")
     lone = out.isNull() & into.isNull()
     whole = F.regexp_replace(text["reference"], r"^(-?\d+)\.0+$", "$1")
-    return exploded(parsed).select(
+    return raw.select(
         "statement_id", "pos", iso_text(text["date"]).alias("date"), clean_text(text["description"]).alias("description"), clean_text(whole).alias("reference"),
         F.when(lone, F.when(signed < 0, F.abs(signed))).otherwise(F.abs(out)).alias("withdrawal"),
         F.when(lone, F.when(signed > 0, signed)).otherwise(F.abs(into)).alias("deposit"), to_number(text["balance"]).alias("balance"),
@@ -77,7 +85,8 @@ def normalize_headers(parsed: DataFrame, rows: DataFrame, *, derive: bool = True
     """statement_id, the head's eleven fields and `missing` (those still null). With derive, missing totals are the
     rows' sums, a missing closing balance is the last one printed, a missing opening balance is the first row's before
     its money, and a missing period is that of the rows' dates."""
-    head = st.header(F.col("v"))
+    head = {name: F.col(f"_{name}") for name in st.HEADER}
+    parsed = parsed.withColumns({f"_{name}": x for name, x in st.header(F.col("v")).items()})
     names = {c: (F.upper(clean_text(head[c])) if upper else clean_text(head[c])) for c in ("bank_name", "account_holder_name")}
     money = ("opening_balance", "closing_balance", "total_withdrawals", "total_deposits")
     heads = parsed.select(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,21 +28,21 @@ def is_currency(text: Column) -> Column:
 
 def number_rows(words: DataFrame, key: str = "page") -> DataFrame:
     """words (key, text, x1, x2, y1, y2, conf) with `row`: from the top, a word joins the row before if its middle is
-    within 0.6 median heights of that row's mean. A page is one group, of as many words as a page holds."""
-
-    def grouped(page: pd.DataFrame) -> pd.DataFrame:
-        middle = (page["y1"] + page["y2"]) / 2
-        page = page.assign(_m=middle).sort_values(["_m", "x1"], kind="stable")
-        reach, row, total, n, rows = ROW_REACH * float((page["y2"] - page["y1"]).median()), -1, 0.0, 0, np.empty(len(page), np.int32)
-        for i, m in enumerate(page["_m"].to_numpy()):
-            if n and abs(m - total / n) <= reach:
-                total, n = total + m, n + 1
-            else:
-                row, total, n = row + 1, m, 1
-            rows[i] = row
-        return page.drop(columns="_m").assign(row=rows)
-
-    return words.groupBy(key).applyInPandas(grouped, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema) + ", row int")
+    within 0.6 median heights of that row's mean. A page is one array, of as many words as a page holds."""
+    names = [c for c in words.columns if c != key]
+    word = F.struct(((F.col("y1") + F.col("y2")) / 2).alias("_m"), F.col("x1").alias("_x"), *names)
+    pages = words.groupBy(key).agg(F.array_sort(F.collect_list(word)).alias("_w"), (ROW_REACH * F.median(F.col("y2") - F.col("y1"))).alias("_reach"))
+
+    def place(state: Column, w: Column) -> Column:
+        joins = (state["n"] > 0) & (F.abs(w["_m"] - state["total"] / F.greatest(state["n"], F.lit(1))) <= F.col("_reach"))
+        row = state["row"] + F.when(joins, 0).otherwise(1)
+        total, n = F.when(joins, state["total"]).otherwise(0.0) + w["_m"], F.when(joins, state["n"]).otherwise(0) + 1
+        return F.struct(row.alias("row"), total.alias("total"), n.alias("n"), F.concat(state["rows"], F.array(row)).alias("rows"))
+
+    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("rows"))
+    placed = pages.withColumn("_rows", F.aggregate("_w", start, place, lambda s: s["rows"]))
+    each = placed.select(key, F.explode(F.arrays_zip("_w", "_rows")).alias("_e"))
+    return each.select(key, *(F.col(f"_e._w.{c}").alias(c) for c in names), F.col("_e._rows").alias("row"))
 
 
 def columns(words: DataFrame, key: str = "page") -> DataFrame:

@@ -40,7 +40,7 @@ WRAPPERS = ("statement", "data", "result", "extracted_data")
 def field(v: Column, names: tuple[str, ...], kind: str = "string") -> Column:
     """The first of the fields that is there and not blank."""
     found = [F.try_variant_get(v, f"$.{n}", kind) for n in names]
-    return F.coalesce(*(F.when(F.trim(x) != "", x) for x in found) if kind == "string" else found)
+    return F.coalesce(*(F.nullif(F.trim(x), F.lit("")) for x in found) if kind == "string" else found)
 
 
 def read_files(spark: SparkSession, *paths: str, glob: str = "*.json") -> DataFrame:

@@ -14,9 +14,9 @@ LATE = "1 hour"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The events at path as a stream, with its watermark."""
+    """The events at path (files and folders that begin so) as a stream, with its watermark."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+    return spark.readStream.schema(schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 
 
 def tumbling(events: DataFrame, width: str = "1 day") -> DataFrame:
