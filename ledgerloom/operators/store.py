@@ -41,8 +41,8 @@ def with_ids(rows: DataFrame) -> DataFrame:
 
 def new_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows whose id is not stored yet, the first by pos of equal ids."""
-    first = rows.groupBy("id").agg(F.min("pos").alias("pos"))
-    return rows.join(first, ["id", "pos"], "left_semi").join(stored.select("id"), "id", "left_anti").select(*rows.columns)
+    first = rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), "pos").alias("_row")).select("_row.*")
+    return first.join(stored.select("id"), "id", "left_anti").select(*rows.columns)
 
 
 def insert(spark: SparkSession, path: str, rows: DataFrame) -> int:

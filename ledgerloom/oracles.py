@@ -85,8 +85,8 @@ g2 AS (SELECT merchant, cadence, stddev_pop(g) / median(g) AS ratio, sum(p - 1)
 g3 AS (SELECT merchant, cadence FROM g2 WHERE ratio < 0.25 QUALIFY row_number() OVER (PARTITION BY merchant ORDER BY missed, ratio, cadence) = 1),
 m0 AS (SELECT merchant, median(-amount) AS med, stddev_pop(-amount) / avg(-amount) AS spread, count(*) AS occurrences, min(date) AS first_date, max(date) AS last_date,
   (arg_max(-amount, date) - arg_min(-amount, date)) / arg_min(-amount, date) * 100 AS change, arg_max(account_id, date) AS account_id FROM g0 GROUP BY merchant),
-modes AS (SELECT merchant, category FROM (SELECT merchant, category, count(*) AS n, min(date) AS at FROM g0 GROUP BY merchant, category)
-  QUALIFY row_number() OVER (PARTITION BY merchant ORDER BY n DESC, at) = 1),
+modes AS (SELECT merchant, category FROM (SELECT merchant, category, count(*) AS n, min(date) AS seen FROM g0 GROUP BY merchant, category)
+  QUALIFY row_number() OVER (PARTITION BY merchant ORDER BY n DESC, seen) = 1),
 found AS (SELECT merchant, CAST(cadence AS BIGINT) AS cadence_days, {_r("med")} AS amount, CASE WHEN spread < 0.15 THEN 'fixed' ELSE 'variable' END AS kind, occurrences,
   strftime(first_date, '%Y-%m-%d') AS first_date, strftime(last_date, '%Y-%m-%d') AS last_date, strftime(last_date + CAST(cadence AS INT), '%Y-%m-%d') AS next_expected,
   CASE WHEN abs(change) >= 2 THEN {_r("change", 1)} END AS price_change_pct,
@@ -151,6 +151,16 @@ COLUMNS = """c0 AS (SELECT page, CAST(x2 AS DOUBLE) AS x2, x2 - lag(x2) OVER (PA
 c1 AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x2 ROWS UNBOUNDED PRECEDING) AS c FROM c0),
 cols AS (SELECT page, c, avg(x2) AS edge FROM c1 GROUP BY page, c HAVING count(*) >= 2)"""
 
+
+
+def _warnings(b: str, closing: str) -> str:
+    """b: lines with `bad`"""
+    return f"""WITH {LINES}, {HEADS}, {STEPS}, {b},
+        s AS (SELECT statement_id, {_money("deposit")} AS di, {_money("withdrawal")} AS wo, count(*) FILTER (bad) AS bads, {_money("amount * sign")} AS moved, arg_max(balance, pos) FILTER (balance IS NOT NULL) AS last_balance FROM b GROUP BY 1)
+        SELECT statement_id, concat_ws(',', CASE WHEN abs(total_deposits - coalesce(di, 0)) > {CENT} THEN 'deposits' END, CASE WHEN abs(total_withdrawals - coalesce(wo, 0)) > {CENT} THEN 'withdrawals' END,
+        CASE WHEN bads > 0 THEN 'running balance' END, CASE WHEN abs(opening_balance + moved - ({closing})) > {CENT} THEN 'closing balance' END) AS warnings FROM heads JOIN s USING (statement_id)"""
+
+
 ORACLES: dict[str, str] = {
     "a1_summary": f"""WITH {TXN} SELECT {_r("abs(coalesce(" + _money("CASE WHEN amount < 0 THEN amount END") + ", 0))")} AS total_spent, {_r("coalesce(" + _money("CASE WHEN amount > 0 THEN amount END") + ", 0)")} AS total_income,
         {_r("coalesce(" + _money("amount") + ", 0)")} AS net, count(*) AS txn_count, strftime(min(date), '%Y-%m-%d') AS date_from, strftime(max(date), '%Y-%m-%d') AS date_to FROM txn WHERE {SPENT}""",
@@ -176,7 +186,7 @@ ORACLES: dict[str, str] = {
     "f31_recover_date": "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 > 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders",
     "w2_occurrence": f"WITH {IDS} SELECT pos, occurrence FROM occ",
     "f6_transaction_id": f"WITH {IDS} SELECT pos, id FROM ids",
-    "c5_insert_new": f"WITH {IDS}, two AS (SELECT * FROM ids UNION ALL SELECT * FROM ids) SELECT pos, id FROM two WHERE id NOT IN (SELECT id FROM ids WHERE date < DATE '1998-01-01')",
+    "c5_insert_new": f"WITH {IDS}, two AS (SELECT * FROM ids UNION ALL SELECT * FROM ids) SELECT DISTINCT pos, id FROM two WHERE id NOT IN (SELECT id FROM ids WHERE date < DATE '1998-01-01')",
     "j11_upsert_accounts": f"""WITH {ACC}, new AS (SELECT 'c' || (s_suppkey * 7) AS id, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS bank_name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS closing_balance FROM supplier)
         SELECT coalesce(a.id, n.id) AS id, coalesce(n.bank_name, a.bank_name) AS bank_name, coalesce(n.closing_balance, a.closing_balance) AS closing_balance, a.apr FROM acc a FULL JOIN new n ON a.id = n.id""",
     "j9_update_flags": f"WITH {TXN} SELECT id, CASE WHEN o_orderstatus = 'P' THEN true ELSE is_transfer END AS is_transfer, o_orderstatus = 'P' AND o_orderkey % 2 = 0 AS is_recurring FROM txn JOIN orders ON pos = o_orderkey",
@@ -184,6 +194,9 @@ ORACLES: dict[str, str] = {
     "w1_running_balance": f"WITH {LINES}, {STEPS} SELECT row_key, CAST(pos AS BIGINT) AS pos, prior, step_ok FROM judged",
     "a6_extraction_summary": f"""WITH {LINES}, {HEADS}, {STEPS}, {VERDICTS} SELECT count(*) AS statements, count(*) FILTER (reconciled) AS reconciled_statements, CAST(sum(checks_run) AS BIGINT) AS checks_run,
         CAST(sum(rows_flagged) AS BIGINT) AS rows_flagged, count(*) > 0 AND count(*) = count(*) FILTER (reconciled) AND sum(checks_run) > 0 AS reconciled FROM final""",
+    "a19_parser_warnings": _warnings("""q AS (SELECT *, balance - cum AS d FROM (SELECT *, CAST(sum(CAST(amount * sign AS DECIMAL(18,2))) OVER (PARTITION BY statement_id ORDER BY pos) AS DOUBLE) AS cum FROM lines)),
+        b AS (SELECT *, abs(d - coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY statement_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1000)) > """ + CENT + " AS bad FROM q)", "closing_balance"),
+    "a19_parser_warnings_broken_chain": _warnings(f"b AS (SELECT *, abs(balance - prior - amount * sign) > {CENT} AS bad FROM lines JOIN (SELECT row_key, prior FROM steps) USING (row_key))", "coalesce(closing_balance, last_balance)"),
     "c1_adapt_rows": f"WITH {LINES}, {HEADS}, {DOC_ROWS} SELECT statement_id, pos, strftime(date, '%Y-%m-%d') AS date, description, amount, balance FROM adapted",
     "c1_adapt_accounts": f"""WITH {LINES}, {HEADS}, {DOC_ROWS}, sums AS (SELECT statement_id, {_money("deposit")} AS di, {_money("withdrawal")} AS wo FROM adapted GROUP BY 1),
         t AS (SELECT h.*, di, wo, total_deposits IS NOT NULL AND total_withdrawals IS NOT NULL AS whole FROM heads h LEFT JOIN sums USING (statement_id))
@@ -191,6 +204,12 @@ ORACLES: dict[str, str] = {
         CASE WHEN whole THEN total_deposits ELSE coalesce(di, 0) END AS total_deposits, CASE WHEN whole THEN total_withdrawals ELSE coalesce(wo, 0) END AS total_withdrawals, CASE WHEN whole THEN 'statement' ELSE 'derived' END AS totals_source FROM t""",
     "c15_normalize_rows": f"""WITH {LINES}, {HEADS}, {DOC_ROWS} SELECT statement_id, CAST(pos AS BIGINT) AS pos, CASE WHEN NOT undated THEN strftime(date, '%Y-%m-%d') END AS date, CASE WHEN undated THEN strftime(date, '%m/%d') || ' ' ELSE '' END || description AS description,
         lpad(CAST(row_key % 100 AS VARCHAR), 4, '0') AS reference, CASE WHEN nothing THEN 0 ELSE withdrawal END AS withdrawal, CASE WHEN NOT nothing THEN deposit END AS deposit, balance FROM doc_rows""",
+    "c15_normalize_headers": f"""WITH {LINES}, {HEADS}, {DOC_ROWS}, n AS (SELECT statement_id, pos, CASE WHEN NOT undated THEN date END AS date, CASE WHEN nothing THEN 0 ELSE withdrawal END AS wi, CASE WHEN NOT nothing THEN deposit END AS de, balance FROM doc_rows),
+        sums AS (SELECT statement_id, coalesce({_money("wi")}, 0) AS wo, coalesce({_money("de")}, 0) AS di, arg_max(balance, pos) FILTER (balance IS NOT NULL) AS last_balance FROM n GROUP BY 1),
+        f AS (SELECT h.statement_id, 'Bank ' || (key % 40) AS bank_name, CAST(NULL AS VARCHAR) AS account_holder_name, '12-' || lpad(CAST(key AS VARCHAR), 7, '0') AS account_number, {_pick(lenses.ACCOUNT_KINDS, "key")} AS account_type,
+          strftime(first_day, '%Y-%m-%d') AS statement_period_start, strftime(last_day, '%Y-%m-%d') AS statement_period_end, CAST(NULL AS VARCHAR) AS currency, opening_balance, coalesce(closing_balance, last_balance) AS closing_balance,
+          coalesce(total_withdrawals, wo) AS total_withdrawals, coalesce(total_deposits, di) AS total_deposits FROM heads h LEFT JOIN sums USING (statement_id))
+        SELECT *, concat_ws(',', 'account_holder_name', 'currency', CASE WHEN closing_balance IS NULL THEN 'closing_balance' END, CASE WHEN total_withdrawals IS NULL THEN 'total_withdrawals' END, CASE WHEN total_deposits IS NULL THEN 'total_deposits' END) AS missing FROM f""",
     "a17_incomplete_rows": f"WITH {LINES}, {HEADS}, {DOC_ROWS} SELECT statement_id, count(*) FILTER (undated) AS incomplete FROM doc_rows GROUP BY 1",
     "s2_batch_failures": "WITH s AS (SELECT DISTINCT 'c' || o_custkey AS id FROM orders) SELECT id AS statement_id, 'good' AS reason FROM s UNION ALL SELECT 'x' || id, CASE WHEN id LIKE '%7' THEN 'no JSON' WHEN id LIKE '%3' THEN 'empty' ELSE 'no object' END FROM s",
     "c8_find_recurring": f"WITH {RECURRING} SELECT * FROM found",
@@ -219,12 +238,15 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'accounts', a.id, count(t.id) FROM acc a LEFT JOIN txn t ON t.account_id = a.id GROUP BY 2
         UNION ALL SELECT 'transfers_excluded', 'both legs', {_r(_money("abs(amount)"))} FROM txn WHERE is_transfer
         UNION ALL SELECT 'extraction', 'statements', count(DISTINCT o_custkey) FROM orders""",
-    "q2_ask_templates": f"""WITH {TXN} SELECT 0 AS template, count(DISTINCT coalesce(nullif(category, ''), 'Other')) AS n, {_money("-amount")} AS spent FROM txn WHERE {SPENT} AND amount < 0
+    "q2_ask_templates": f"""WITH {TXN} SELECT CAST(0 AS BIGINT) AS template, count(DISTINCT coalesce(nullif(category, ''), 'Other')) AS n, {_money("-amount")} AS spent FROM txn WHERE {SPENT} AND amount < 0
         UNION ALL SELECT 1, count(*), {_money("-amount")} FROM (SELECT * FROM txn WHERE {SPENT} AND amount < 0 ORDER BY amount, id LIMIT 10)
         UNION ALL SELECT 2, count(DISTINCT strftime(date, '%Y-%m')), {_money("-amount")} FROM txn WHERE {SPENT} AND amount < 0
         UNION ALL SELECT 3, count(DISTINCT dayofweek(date) IN (0, 6)), {_money("-amount")} FROM txn WHERE {SPENT} AND amount < 0""",
     "g2_number_rows": f"WITH {BOXES} SELECT page, count(DISTINCT l_linenumber) AS rows, count(*) * 3 AS words FROM box GROUP BY 1",
     "g3_columns": f"WITH {BOXES}, {COLUMNS} SELECT page, row_number() OVER (PARTITION BY page ORDER BY edge) - 1 AS \"column\", {_r('edge', 3)} AS edge FROM cols",
+    "g8_lines": f"""WITH {BOXES}, {COLUMNS}, near AS (SELECT box.*, EXISTS (SELECT 1 FROM cols WHERE cols.page = box.page AND abs(cols.edge - box.x2) <= 30) AS assigned FROM box),
+        per AS (SELECT page, l_linenumber, bool_or(assigned) AS assigned, avg(conf) AS conf, sum(CASE WHEN assigned THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END) AS value FROM near GROUP BY 1, 2)
+        SELECT page, count(*) FILTER (assigned) AS transactions, count(*) FILTER (conf < 70) AS doubtful, {_money("value")} AS total FROM per GROUP BY 1""",
     "w5_infer_signs": f"""WITH {LINES}, q AS (SELECT row_key, coalesce(deposit, withdrawal) AS value, balance, coalesce(last_value(balance IGNORE NULLS) OVER (PARTITION BY statement_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1000) AS prior FROM lines)
         SELECT row_key, CASE WHEN abs(balance - prior - value) <= {CENT} THEN value END AS deposit, CASE WHEN abs(balance - prior + value) <= {CENT} THEN value END AS withdrawal FROM q""",
     "st1_tumbling_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2",
