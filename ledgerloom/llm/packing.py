@@ -19,10 +19,10 @@ GROUP_CHARS = 4_000_000
 
 
 def groups_of(batch: pa.RecordBatch, name: str = "text", most: int = GROUP_CHARS):
-    """Slices of a batch whose texts hold about `most` bytes; a longer single text is a slice of its own."""
+    """Slices of a batch whose texts hold about `most` bytes; a longer single text is a slice of its own. A null has none."""
     sizes = pc.binary_length(batch.column(name))
     at, total = 0, 0
-    for i, n in enumerate(sizes.to_pylist()):
+    for i, n in enumerate(sizes.fill_null(0).to_pylist()):
         if total and total + n > most:
             yield batch.slice(at, i - at)
             at, total = i, 0
