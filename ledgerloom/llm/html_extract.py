@@ -28,8 +28,8 @@ WORDS = frozenset(
     " cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus respond reply replies share sharing social related recommended widget newsletter subscribe"
     " subscription login signin signup search pagination pager toolbar skip copyright legal form".split()
 )
-#: The page's article: nothing in it is judged by its repetition on the site.
-LANDMARKS = frozenset(["article", "main"])
+#: What the page itself calls its main part: a branch in it needs only WITHIN of the importance asked for elsewhere.
+LANDMARKS, WITHIN = frozenset(["article", "main"]), 0.5
 #: Branches with less importance than LEAST on a host with PAGES pages at least are taken out.
 LEAST, PAGES = 0.15, 8
 #: Rows of low branches that the driver sends to all workers; beyond, they are joined to the pages.
@@ -125,7 +125,7 @@ def parse(html: str) -> Node:
 
 
 def branches(root: Node) -> list[tuple[str, str, str]]:
-    """Path, style (the children's labels) and content of each branch outside articles that is not dropped already."""
+    """Path, style (the children's labels) and content of each branch that is not dropped already."""
     out = []
 
     def walk(node: Node) -> str:
@@ -138,7 +138,7 @@ def branches(root: Node) -> list[tuple[str, str, str]]:
                 if not part.dropped:
                     texts.append(walk(part))
         text = " ".join("".join(texts).split())
-        if node.path and not node.inside and text and node.tag not in ("html", "body"):
+        if node.path and text and node.tag not in ("html", "body"):
             short = [s for s, before in zip(style, [None, *style]) if s != before]
             out.append((node.path, ",".join(short), hashlib.blake2b(text.encode(), digest_size=8).hexdigest()))
         return text
@@ -148,14 +148,9 @@ def branches(root: Node) -> list[tuple[str, str, str]]:
 
 
 def main_text(root: Node, low: frozenset[str] = frozenset()) -> str:
-    """The blocks that are left, one a line. With an article on the page, what lies outside of it goes."""
+    """The blocks that are left, one a line."""
     blocks: list[str] = []
 
-    def any_landmark(node: Node) -> bool:
-        return any(not isinstance(x, str) and not x.dropped and (x.tag in LANDMARKS or any_landmark(x)) for x in node.parts)
-
-    only = any_landmark(root)
-
     def flush(run: list[str]) -> None:
         for line in "".join(run).split("\0"):
             if block := " ".join(_html.unescape(line).split()):
@@ -163,13 +158,12 @@ def main_text(root: Node, low: frozenset[str] = frozenset()) -> str:
         run.clear()
 
     def walk(node: Node) -> None:
-        if node.dropped or not node.inside and node.path in low:
+        if node.dropped or node.path in low:
             return
         run: list[str] = []
         for part in node.parts:
             if isinstance(part, str):
-                if node.inside or not only:
-                    run.append("\0" if part == "\n" else part.replace("\0", ""))
+                run.append("\0" if part == "\n" else part.replace("\0", ""))
             else:
                 flush(run)
                 walk(part)
@@ -212,8 +206,9 @@ def importance(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, *, least: float = LEAST, least_pages: int = PAGES, send: int = SEND) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of pages.
 
-    Branches go if their element, role, class or id marks them as presentation, and those outside the article that the
-    site repeats (importance below `least`, on `least_pages` pages at least). The low branches of all hosts are sent to
+    Branches go if their element, role, class or id marks them as presentation, and those that the site repeats
+    (importance below `least`, on `least_pages` pages at least). An article or main element is a weight in that, no
+    switch: branches in it go below WITHIN times `least`, and text outside of it is judged like that of any page. The low branches of all hosts are sent to
     the workers while they are at most `send` rows; beyond, each page's own branches are joined to them.
 
     Nulls: a null html counts as empty and gives an empty text; pages with a null or bad url form one host; a null
@@ -222,7 +217,8 @@ def extract(pages: DataFrame, *, least: float = LEAST, least_pages: int = PAGES,
     """
     spark = session_of(pages)
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    low = importance(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < least)).select("host", "path")
+    asked = F.when(F.col("path").rlike(rf"/({'|'.join(sorted(LANDMARKS))})(\.|/|$)"), least * WITHIN).otherwise(least)
+    low = importance(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < asked)).select("host", "path")
     few = low.limit(send + 1).collect()
     schema = f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long"
 
