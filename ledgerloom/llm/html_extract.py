@@ -1,19 +1,19 @@
-"""Main text of web pages by a style tree of each site: the pages of a host are merged, and branches that carry little
-of their own there are taken out of every page."""
+"""Main text of web pages by a style tree of each site: the pages of a host are merged, and contents that carry little
+of their own there are taken out of the pages that have them."""
 
 from __future__ import annotations
 
 import hashlib
 import html as _html
+import itertools
 import re
-from collections import Counter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of
+from .common import session_of, stash
 from .packing import groups_of
 
 # HTML's own classes of elements.
@@ -30,9 +30,9 @@ WORDS = frozenset(
 )
 #: What the page itself calls its main part: a branch in it needs only WITHIN of the importance asked for elsewhere.
 LANDMARKS, WITHIN = frozenset(["article", "main"]), 0.5
-#: Branches with less importance than LEAST on a host with PAGES pages at least are taken out.
+#: Contents with less importance than LEAST, at a path that PAGES pages of the host have at least, are taken out.
 LEAST, PAGES = 0.15, 8
-#: Rows of low branches that the driver sends to all workers; beyond, they are joined to the pages.
+#: Rows of low contents that the driver sends to all workers; beyond, they are joined to the pages.
 SEND = 100_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -124,8 +124,13 @@ def parse(html: str) -> Node:
     return root
 
 
-def branches(root: Node) -> list[tuple[str, str, str]]:
-    """Path, style (the children's labels) and content of each branch that is not dropped already."""
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def branches(root: Node, host: str) -> list[tuple[Node, int, int, int]]:
+    """Each branch that is not dropped already: its node, and numbers for its place (host and path), its style (the
+    children's labels) and its content."""
     out = []
 
     def walk(node: Node) -> str:
@@ -140,14 +145,14 @@ def branches(root: Node) -> list[tuple[str, str, str]]:
         text = " ".join("".join(texts).split())
         if node.path and text and node.tag not in ("html", "body"):
             short = [s for s, before in zip(style, [None, *style]) if s != before]
-            out.append((node.path, ",".join(short), hashlib.blake2b(text.encode(), digest_size=8).hexdigest()))
+            out.append((node, _hash(f"{host}\0{node.path}"), _hash(",".join(short)), _hash(text)))
         return text
 
     walk(root)
     return out
 
 
-def main_text(root: Node, low: frozenset[str] = frozenset()) -> str:
+def main_text(root: Node) -> str:
     """The blocks that are left, one a line."""
     blocks: list[str] = []
 
@@ -158,7 +163,7 @@ def main_text(root: Node, low: frozenset[str] = frozenset()) -> str:
         run.clear()
 
     def walk(node: Node) -> None:
-        if node.dropped or node.path in low:
+        if node.dropped:
             return
         run: list[str] = []
         for part in node.parts:
@@ -174,42 +179,59 @@ def main_text(root: Node, low: frozenset[str] = frozenset()) -> str:
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path, pages, presentation, content and importance of the nodes of the merged trees: the entropy of the
-    styles and of the contents that a node has on the pages of its host, over the most it could be, in the mix that the
-    style tree's composite importance has. Counts are combined by group of pages before the shuffle."""
+    """place (host and path), content, inside (a landmark), pages (distinct pages of the host that have the path), n
+    (those that have this content there, 2 at least), presentation, own and importance, in the merged trees.
+
+    In a style tree the entropy of a node's contents over the most it could be is the mean, over its pages, of
+    1 - log(n) / log(pages): that is `own`, each content's part in it, so that a content is judged and not all that lies
+    at its path. It is mixed with the entropy of the path's styles as the tree's composite importance has it. Equal
+    pages (host and html) count once, and a page counts a style or content once however many nodes have it.
+    """
 
     def run(batches):
         for batch in batches:
             for piece in groups_of(batch, "html"):
-                count: Counter = Counter()
+                page, ends, rows = [], [0], []
                 for url, html in zip(piece.column("url").to_pylist(), piece.column("html").to_pylist(), strict=True):
-                    host = host_of(url)
-                    for path, style, content in branches(parse(html)):
-                        count[host, path, "style", style] += 1
-                        count[host, path, "content", content] += 1
-                if count:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*count, strict=True)), pa.array(list(count.values()), pa.int64())], ["host", "path", "kind", "value", "n"])
-
-    rows = pages.select("url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, path string, kind string, value string, n long")
-    counts = rows.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+                    host, own = host_of(url), set()
+                    for node, place, style, content in branches(parse(html), host):
+                        own |= {(place, 0, int(node.inside)), (place, 1, style), (place, 2, content)}
+                    if own:
+                        page.append(hashlib.blake2b(f"{host}\0{html}".encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                        rows += own
+                        ends.append(len(rows))
+                if page:
+                    place, kind, value = zip(*rows, strict=True)
+                    each = pa.StructArray.from_arrays([pa.array(place, pa.int64()), pa.array(kind, pa.int32()), pa.array(value, pa.int64())], ["place", "kind", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(page, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], ["page", "nodes"])
+
+    rows = pages.select("url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "page binary, nodes array<struct<place: bigint, kind: int, value: bigint>>")
+    nodes = rows.dropDuplicates(["page"]).select(F.explode("nodes").alias("x")).select("x.*")
+    counts = stash(nodes.groupBy("place", "kind", "value").agg(F.count(F.lit(1)).alias("n")).where("kind < 2 or n > 1"), "branches")
     n, log = F.col("n").cast("double"), F.log
-    sums = counts.groupBy("host", "path").agg(
-        (F.sum("n") / 2).alias("pages"),
-        F.sum(F.when(F.col("kind") == "style", n * log(n)).otherwise(0.0)).alias("style"),
-        F.sum(F.when(F.col("kind") == "content", n * log(n)).otherwise(0.0)).alias("content"),
+    style = F.col("kind") == 1
+    sums = counts.where("kind < 2").groupBy("place").agg(
+        F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
+        (F.max(F.when(F.col("kind") == 0, F.col("value"))) > 0).alias("inside"),
+        F.sum(F.when(style, n)).alias("all"),
+        F.sum(F.when(style, n * log(n))).alias("same"),
     )
-    share = lambda c: F.when(F.col("pages") > 1, 1 - F.col(c) / (F.col("pages") * log("pages"))).otherwise(1.0)
-    out = sums.select("host", "path", "pages", share("style").alias("presentation"), share("content").alias("content"))
-    return out.withColumn("importance", 0.1 * F.col("presentation") + 0.9 * F.col("content"))
+    presentation = F.when(F.col("all") > 1, 1 - F.col("same") / (F.col("all") * log("all"))).otherwise(1.0)
+    sums = sums.select("place", "pages", "inside", presentation.alias("presentation"))
+    out = counts.where("kind = 2").select("place", F.col("value").alias("content"), "n").join(sums.where("pages > 1"), "place")
+    out = out.withColumn("own", 1 - log(n) / log("pages"))
+    return out.withColumn("importance", 0.1 * F.col("presentation") + 0.9 * F.col("own"))
 
 
 def extract(pages: DataFrame, *, least: float = LEAST, least_pages: int = PAGES, send: int = SEND) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of pages.
 
-    Branches go if their element, role, class or id marks them as presentation, and those that the site repeats
-    (importance below `least`, on `least_pages` pages at least). An article or main element is a weight in that, no
-    switch: branches in it go below WITHIN times `least`, and text outside of it is judged like that of any page. The low branches of all hosts are sent to
-    the workers while they are at most `send` rows; beyond, each page's own branches are joined to them.
+    Branches go if their element, role, class or id marks them as presentation, and those whose content the site repeats
+    at the same path (importance below `least`, at a path of `least_pages` different pages at least). A content that one
+    page alone has stays, whatever else lies at its path. An article or main element is a weight in that, no switch:
+    branches in it go below WITHIN times `least`, and text outside of it is judged like that of any page. The low
+    contents of all hosts are sent to the workers while they are at most `send` rows; beyond, each page's own branches
+    are joined to them.
 
     Nulls: a null html counts as empty and gives an empty text; pages with a null or bad url form one host; a null
     page_id is kept. Repeated rows give a row each. An empty table gives no rows. Columns besides page_id, url and html
@@ -217,35 +239,38 @@ def extract(pages: DataFrame, *, least: float = LEAST, least_pages: int = PAGES,
     """
     spark = session_of(pages)
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    asked = F.when(F.col("path").rlike(rf"/({'|'.join(sorted(LANDMARKS))})(\.|/|$)"), least * WITHIN).otherwise(least)
-    low = importance(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < asked)).select("host", "path")
+    asked = F.when(F.col("inside"), least * WITHIN).otherwise(least)
+    low = stash(importance(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < asked)).select("place", "content"), "low")
     few = low.limit(send + 1).collect()
     schema = f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long"
 
     if len(few) <= send:
-        by_host: dict[str, set[str]] = {}
-        for r in few:
-            by_host.setdefault(r.host, set()).add(r.path)
-        shared = spark.sparkContext.broadcast({h: frozenset(p) for h, p in by_host.items()})
-        lows = lambda batch: (shared.value.get(host_of(u), frozenset()) for u in batch.column("url").to_pylist())
+        shared = spark.sparkContext.broadcast(frozenset(map(tuple, few)))
+        lows = lambda batch: itertools.repeat(shared.value, len(batch))
     else:
 
         def own(batches):
             for batch in batches:
-                rows = sorted({(k, host_of(u), path) for k, u, h in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "html")), strict=True) for path, _, _ in branches(parse(h))})
+                rows = sorted({(k, place, content) for k, u, h in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "html")), strict=True) for _, place, _, content in branches(parse(h), host_of(u))})
                 if rows:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows, strict=True))], ["key", "host", "path"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows, strict=True))], ["key", "place", "content"])
 
         pages = pages.withColumn("key", F.xxhash64("page_id", "url", "html"))
-        each = pages.select("key", "url", "html").mapInArrow(own, "key long, host string, path string")
-        found = each.join(low, ["host", "path"], "left_semi").groupBy("key").agg(F.collect_set("path").alias("low"))
-        pages = pages.join(found, "key", "left").select("page_id", "url", "html", F.coalesce("low", F.array().cast("array<string>")).alias("low"))
-        lows = lambda batch: map(frozenset, batch.column("low").to_pylist())
+        each = pages.select("key", "url", "html").mapInArrow(own, "key long, place long, content long")
+        found = each.join(low, ["place", "content"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("place", "content")).alias("low"))
+        pages = pages.join(found, "key", "left").select("page_id", "url", "html", "low")
+        lows = lambda batch: ({(x["place"], x["content"]) for x in own or ()} for own in batch.column("low").to_pylist())
+
+    def text_of(url: str | None, html: str, low) -> str:
+        root = parse(html)
+        for node, place, _, content in branches(root, host_of(url)) if low else ():
+            node.dropped = node.dropped or (place, content) in low
+        return main_text(root)
 
     def run(batches):
         for batch in batches:
             for piece in groups_of(batch, "html"):
-                text = [main_text(parse(h), paths) for h, paths in zip(piece.column("html").to_pylist(), lows(piece), strict=True)]
+                text = [text_of(u, h, own) for u, h, own in zip(piece.column("url").to_pylist(), piece.column("html").to_pylist(), lows(piece), strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), pa.array(text), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.mapInArrow(run, schema)

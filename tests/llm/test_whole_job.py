@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
+
 import pytest
 
 from ledgerloom.llm import html_extract as hx
@@ -41,3 +43,52 @@ def test_html_landmarks_are_a_weight(spark, send):
             assert got[i] == f"Other text {n}."
         elif host == "few.example":
             assert got[i] == "The same on too few pages."
+
+
+def brute(pages, landmark=("article", "main")):
+    """Importance of every (host, path, content) from the pages as they are, one loop a node."""
+    seen = {}
+    for url, html in {(u.split("/")[2], h) for _, u, h in pages}:
+        for node, _, style, content in hx.branches(hx.parse(html), url):
+            own = seen.setdefault((url, node.path), {"pages": set(), "style": {}, "content": {}, "inside": any(t.split(".")[0] in landmark for t in node.path.split("/"))})
+            own["pages"].add(html)
+            own["style"].setdefault(style, set()).add(html)
+            own["content"].setdefault(content, set()).add(html)
+    out = {}
+    for (host, path), own in seen.items():
+        n, sizes = len(own["pages"]), [len(x) for x in own["style"].values()]
+        entropy = -sum(k / sum(sizes) * math.log(k / sum(sizes)) for k in sizes)
+        style = entropy / math.log(sum(sizes)) if sum(sizes) > 1 else 1
+        for content, x in own["content"].items():
+            if len(x) > 1:
+                out[hx._hash(f"{host}\0{path}"), content] = (n, own["inside"], 0.1 * style + 0.9 * (1 - math.log(len(x)) / math.log(n)))
+    return out
+
+
+def test_html_importance_against_brute_force(spark):
+    pages = sites() + [(1000 + i, u, h) for i, u, h in sites()[:30]]  # equal pages count once
+    got = {(r.place, r.content): (r.pages, r.inside, r.importance) for r in hx.importance(spark.createDataFrame(pages, PAGES)).collect()}
+    want = brute(pages)
+    assert got.keys() == want.keys() and len(got) > 10
+    for k, (n, inside, importance) in want.items():
+        assert got[k][:2] == (n, inside) and abs(got[k][2] - importance) < 1e-9
+
+
+@pytest.mark.parametrize("send", [hx.SEND, 0])
+def test_html_repetition_is_of_pages_and_contents(spark, send):
+    rows = [(f"http://rows.example/{i}", "<div><p>One page, in 8 rows.</p></div>") for i in range(8)]
+    copies = site("copies.example", 100, lambda i: f"<div><p>{'Said again and again.' if i >= 10 else f'Said once {i}.'}</p></div>" + f"<section>{i}</section>")
+    table = [("http://table.example/", "<table>" + "<tr><td>yes</td></tr>" * 9 + "</table>")]
+    beside = site("beside.example", 30, lambda i: f"<article><p>Own {i}.</p><p>Sign up here.</p></article>")
+    pages = [(i, *x) for i, x in enumerate(rows + copies + table + beside)]
+    got = extracted(spark, pages, send=send)
+    for i, url, _ in pages:
+        n = url.rsplit("/", 1)[1]
+        if "rows." in url:
+            assert got[i] == "One page, in 8 rows."
+        elif "copies." in url:
+            assert got[i] == (n if int(n) >= 10 else f"Said once {n}.\n{n}")
+        elif "table." in url:
+            assert got[i].split() == ["yes"] * 9
+        else:
+            assert got[i] == f"Own {n}."
