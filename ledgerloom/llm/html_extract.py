@@ -19,6 +19,8 @@ from .packing import groups_of
 # HTML's own classes of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select option canvas".split())
+#: Of these, what follows an element without an end tag is its text; of the others, the page goes on after the start tag.
+TO_END = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements, roles and words of class and id that mark a branch as presentation.
 BRANCHES = frozenset("nav footer aside form button dialog menu head".split())
@@ -73,7 +75,7 @@ def parse(html: str) -> Node:
     """The page's tree; elements that no end tag closes end where HTML ends them."""
     root = Node("", "", False, False)
     stack, at, inline = [root], 0, []  # inline: open inline elements that mark or drop text
-    n = len(html)
+    n, unclosed = len(html), set()  # unclosed: elements without an end tag in the rest of the page
     while at < n:
         found = _TOKEN.search(html, at)
         text = html[at : found.start() if found else n]
@@ -99,8 +101,14 @@ def parse(html: str) -> Node:
                 inline.clear()
             continue
         if tag in RAW:
-            end = _CLOSERS[tag].search(html, at)
-            at = end.end() if end else n
+            if tag in ("svg", "math") and found[3].rstrip().endswith("/") or tag in unclosed:
+                continue
+            if end := _CLOSERS[tag].search(html, at):
+                at = end.end()
+            elif tag in TO_END:
+                at = n
+            else:
+                unclosed.add(tag)
             continue
         if tag in INLINE:
             if tag in ("br", "wbr", "img"):

@@ -92,3 +92,14 @@ def test_html_repetition_is_of_pages_and_contents(spark, send):
             assert got[i].split() == ["yes"] * 9
         else:
             assert got[i] == f"Own {n}."
+
+
+def test_html_elements_without_an_end_tag(spark):
+    article = "<article><p>Text of the page.</p></article>"
+    heads = [
+        "<svg viewBox='0 0 1 1' />", "<math/>", "<object data=x>", "<noscript>", "<svg>", "<iframe src=x>", "<svg><path/></svg>", "<svg/><p>Between.</p><svg><text>no</text></svg>",
+        "<object>" * 3 + "<svg/>", "<script>var x = 1;", "<style>p{}", "<textarea>", "<title>",
+    ]
+    got = extracted(spark, [(i, f"http://{i}.example/", f"<body>{x}{article}</body>") for i, x in enumerate(heads)])
+    assert [got[i] for i in range(9)] == ["Text of the page."] * 7 + ["Between.\nText of the page.", "Text of the page."]
+    assert [got[i] for i in range(9, 13)] == [""] * 4
