@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many rows of a few numbers each (about 100 MB in memory).
@@ -67,6 +67,11 @@ def texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def row_key() -> Column:
+    """A number for a row's doc_id and text that is never null. With the doc_id, null-safe, it tells rows apart."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit numbers."""
     x = x.astype(np.uint64, copy=True)

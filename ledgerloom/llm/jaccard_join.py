@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, mix, stash, texts
+from .common import mix, row_key, small, stash, texts
 from .packing import groups_of
 
 WORDS = 400_000  # a worker's memo of word hashes
@@ -116,7 +116,7 @@ def keys(x: np.ndarray, sim: Similarity) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n and node (0 for an empty set) with a check of the node, of every document."""
+    """doc_id, row, n and node (0 for an empty set) with a check of the node, of every document."""
 
     def run(batches):
         for batch in batches:
@@ -124,9 +124,9 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 own = shingles(piece.column("text").to_pylist(), width)
                 n = np.array([len(x) for x in own], np.int64)
                 node, check = (np.array([node_of(x, s) if len(x) else 0 for x in own], np.uint64).view(np.int64) for s in (11, 23))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n), pa.array(node), pa.array(check)], ["doc_id", "n", "node", "check"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("row"), pa.array(n), pa.array(node), pa.array(check)], ["doc_id", "row", "n", "node", "check"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long, check long")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, n long, node long, check long")
 
 
 def _index(docs: DataFrame, width: int, sim: Similarity) -> DataFrame:
@@ -151,7 +151,7 @@ def _index(docs: DataFrame, width: int, sim: Similarity) -> DataFrame:
                 others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.diff(at) - 1)), pa.int32()), pa.array(node[~first]))
                 yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(node[first]), others], ["key", "node", "others"])
 
-    return docs.mapInArrow(run, "key long, node long, others array<long>")
+    return docs.select("text").mapInArrow(run, "key long, node long, others array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
@@ -195,9 +195,9 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, sim: Similarity = Similarit
     component_id unless all ids of the component are null. Rows that repeat a doc_id are documents of their own. An
     empty table gives no rows. Columns besides doc_id and text are ignored.
     """
-    docs = texts(docs)
+    docs = texts(docs).withColumn("row", row_key())
     own = stash(_sets(docs, width), "sets")
-    nodes = stash(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("check").alias("c"), F.max("check").alias("d")), "nodes")
+    nodes = stash(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("check").alias("c"), F.max("check").alias("d")), "nodes")
     if nodes.where("c <> d").limit(1).count():
         raise ValueError("two different sets have one node number")
 
@@ -207,11 +207,9 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, sim: Similarity = Similarit
     pair = F.explode(F.concat(F.array(F.struct("node", "lead")), F.transform("others", lambda x: F.struct(x.alias("node"), F.col("node").alias("lead")))))
     members = stash(index.select("key", pair.alias("x")).select("key", "x.node", "x.lead").where("node <> lead"), "members")
 
-    wanted = stash(members.select("node").unionByName(members.select(F.col("lead").alias("node"))).distinct().join(nodes, "node").select("node", "least"), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        some = docs.join(F.broadcast(wanted.select(F.col("least").alias("doc_id"))), "doc_id", "left_semi")
-    else:
-        some = docs.join(wanted.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+    wanted = stash(members.select("node").unionByName(members.select(F.col("lead").alias("node"))).distinct().join(nodes, "node").select("row"), "wanted")
+    # A row of each node, by a key that a null doc_id has too; a row with the same key by chance is one set more.
+    some = docs.join(small(wanted), "row", "left_semi").select("text")
 
     def items(batches):
         for batch in batches:

@@ -1,10 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
 import math
+from collections import Counter
 
 import pytest
 
 from ledgerloom.llm import html_extract as hx
+from ledgerloom.llm import jaccard_join
 
 PAGES = "page_id bigint, url string, html string"
 
@@ -103,3 +105,20 @@ def test_html_elements_without_an_end_tag(spark):
     got = extracted(spark, [(i, f"http://{i}.example/", f"<body>{x}{article}</body>") for i, x in enumerate(heads)])
     assert [got[i] for i in range(9)] == ["Text of the page."] * 7 + ["Between.\nText of the page.", "Text of the page."]
     assert [got[i] for i in range(9, 13)] == [""] * 4
+
+
+DOCS = "doc_id bigint, text string"
+
+
+def chain(tag, n=104):
+    """Texts of which the second is a near copy of the first and the third, which are none of one another."""
+    words = [f"{tag}{i}" for i in range(n)]
+    put = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    return put(10, 20), put(), put(60, 70)
+
+
+def test_jaccard_null_id_links(spark):
+    (a, bridge, b), (c, only, d) = chain("p"), chain("q")
+    rows = [(7, a), (None, bridge), (5, b), (None, c), (None, only), (None, d), (9, "other text"), (None, None)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == Counter([(7, 100, 5), (None, 100, 5), (5, 100, 5), *[(None, 100, None)] * 3, (9, 1, 9), (None, 0, None)])
