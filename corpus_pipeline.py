@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, exact_dedup, jaccard_join, lang_id, packing
-from ledgerloom.llm.common import stash
+from ledgerloom.llm.common import row_key, stash
 from ledgerloom.llm.queries import tokenizer_file
 
 #: A document is rejected if no language can be told, or if the best one's probability is below this. With as few as
@@ -20,10 +20,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
-def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id, null or not, is in wanted."""
-    wanted = wanted.select(F.col("doc_id").alias("_id"))
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi").select(*docs.columns)
+def _join(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs joined to rows (doc_id and row_key) that are theirs; ids may be null or repeated."""
+    rows = rows.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
+    return docs.withColumn("_key", row_key()).join(rows, F.col("_key").eqNullSafe(F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), how)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +36,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (the one with the smallest doc_id), and all without words."""
-    return _only(docs, jaccard_join.jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document of each component of near copies (the one with the smallest doc_id; a null one if there is no other;
+    one of them if several have it), and all without words."""
+    found = stash(jaccard_join.jaccard_join(docs, rows=True).select("doc_id", "row", "component"), "near")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    least = found.where("component is not null").groupBy("component").agg(first).select("first.doc_id", "first.row", F.lit(True).alias("_words"))
+    empty = found.where("component is null").select("doc_id", "row", F.lit(False).alias("_words")).distinct()
+    kept = _join(docs, stash(least.unionByName(empty), "kept"), "inner").select(*docs.columns, "_words")
+    if found.where("component is not null").groupBy("doc_id", "row").count().where("count > 1").limit(1).count():  # whole rows that repeat
+        kept = kept.where("_words").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("not _words"))
+    return kept.select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    hits = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a benchmark item: of rows with null or repeated ids, those that contain none."""
+    hits = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rows=True).select("doc_id", "row").distinct()
+    return _join(docs, hits, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of, texts
+from .common import row_key, session_of, texts
 from .packing import groups_of
 
 #: Edits allowed against the length of an item; code points of the items that one scan of the documents looks for.
@@ -113,9 +113,10 @@ class Finder:
         return sorted(out)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block: int = BLOCK) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block: int = BLOCK, rows: bool = False) -> DataFrame:
     """doc_id, item_id, distance, stop (the place after the match in the normalised text) for each pair of a document
-    and a benchmark item that a substring of the document matches within rate * length edits.
+    and a benchmark item that a substring of the document matches within rate * length edits. With `rows` also row
+    (common.row_key), which tells apart rows with null or repeated ids.
 
     An item is cut into budget + 1 pieces, of which a match contains one unchanged; one automaton finds all pieces, and
     only the places around them are verified. The benchmark goes to the workers in blocks of bounded size, each with a
@@ -130,6 +131,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE,
     total = own.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block))
     docs = texts(docs)
+    keep = ["doc_id", "row"] if rows else ["doc_id"]
+    if rows:
+        docs = docs.withColumn("row", row_key())
     kinds = dict(docs.dtypes)["doc_id"], dict(own.dtypes)["item_id"]
     out = None
     for i in range(blocks):
@@ -140,12 +144,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE,
             finder = Finder(shared.value)
             for batch in batches:
                 for piece in groups_of(batch) if shared.value else ():
-                    rows = [(j, *hit) for j, t in enumerate(piece.column("text").to_pylist()) for hit in finder.find(normal(t))]
-                    if rows:
-                        row, item, distance, stop = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(row)), pa.array(item, _ARROW[kinds[1]]), pa.array(distance, pa.int32()), pa.array(stop, pa.int64())], ["doc_id", "item_id", "distance", "stop"])
+                    hits = [(j, *hit) for j, t in enumerate(piece.column("text").to_pylist()) for hit in finder.find(normal(t))]
+                    if hits:
+                        at, item, distance, stop = zip(*hits, strict=True)
+                        yield pa.RecordBatch.from_arrays([*(piece.column(c).take(pa.array(at)) for c in keep), pa.array(item, _ARROW[kinds[1]]), pa.array(distance, pa.int32()), pa.array(stop, pa.int64())], [*keep, "item_id", "distance", "stop"])
 
-        found = docs.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, stop long")
+        found = docs.mapInArrow(run, f"doc_id {kinds[0]}{', row long' if rows else ''}, item_id {kinds[1]}, distance int, stop long")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -186,9 +186,10 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def jaccard_join(docs: DataFrame, *, width: int = 5, sim: Similarity = Similarity()) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, width: int = 5, sim: Similarity = Similarity(), rows: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own
-    included).
+    included). With `rows` also row (common.row_key) and component, a number for the component, null for an empty set:
+    they tell apart what null or repeated ids do not.
 
     Two documents link when the intersection of their sets is at least sim of the union. Nulls: a null text has an
     empty set, which links with nothing, like a text without words; a null doc_id takes part, but is never a
@@ -254,5 +255,5 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, sim: Similarity = Similarit
             break
     named = nodes.join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    label = stash(named.join(smallest, "comp").select("node", "component_id"), "components")
-    return own.join(label, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    label = stash(named.join(smallest, "comp").select("node", "component_id", F.col("comp").alias("component")), "components")
+    return own.join(label, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *(["row", "component"] if rows else []))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline as cp
 from ledgerloom.llm import html_extract as hx
 from ledgerloom.llm import jaccard_join
 
@@ -122,3 +123,20 @@ def test_jaccard_null_id_links(spark):
     rows = [(7, a), (None, bridge), (5, b), (None, c), (None, only), (None, d), (9, "other text"), (None, None)]
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, DOCS)).collect())
     assert got == Counter([(7, 100, 5), (None, 100, 5), (5, 100, 5), *[(None, 100, None)] * 3, (9, 1, 9), (None, 0, None)])
+
+
+def test_pipeline_near_decides_on_rows(spark):
+    (a, bridge, b), (c, only, d), (e, f, _) = chain("p"), chain("q"), chain("r")
+    rows = [(7, a), (None, bridge), (5, b), (None, c), (None, only), (None, d), (3, e), (3, f), (3, f), (None, "lone text"), (None, "lone two"), (None, None), (None, ""), (4, None), (4, None)]
+    got = Counter(map(tuple, cp.near(spark, spark.createDataFrame(rows, DOCS), "").collect()))
+    assert got.pop((5, b)) == got.pop((None, "lone text")) == got.pop((None, "lone two")) == 1
+    assert got.pop((None, None)) == got.pop((None, "")) == 1 and got.pop((4, None)) == 2
+    assert sum(got[None, t] for t in (c, only, d)) == 1 and got[3, e] + got[3, f] == 1 and got.total() == 2
+
+
+def test_pipeline_clean_decides_on_rows(spark, tmp_path):
+    item = "which of the quick brown foxes jumps over the lazy dog at noon"
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"so {item} then"), (None, "a clean text"), (None, None), (2, item), (2, "another clean text"), (3, "third")]
+    got = Counter(map(tuple, cp.clean(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()))
+    assert got == Counter([(None, "a clean text"), (None, None), (2, "another clean text"), (3, "third")])
