@@ -66,7 +66,8 @@ class WordIds:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian numbers of `kind`."""
-        split = [t.lower().split() if SAFE.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
+        # The lower-cased words must hold no special string either, which the library sees in texts as they are.
+        split = [low.split() if SAFE.fullmatch(t) and not any(s in low or s in t for s in self.special) else None for t, low in zip(texts, map(str.lower, texts), strict=True)]
         extra = self.memo.learn(set().union(*(w for w in split if w is not None)), self._ask)
         get = self.memo.__getitem__
         out = [b"".join(map(get, w)) if w is not None else self._ask([t])[0] for t, w in zip(texts, split, strict=True)]

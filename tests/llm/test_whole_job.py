@@ -3,11 +3,12 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
+from ledgerloom.llm import jaccard_join, queries, tokens
 from ledgerloom.llm import html_extract as hx
-from ledgerloom.llm import jaccard_join
 
 PAGES = "page_id bigint, url string, html string"
 
@@ -140,3 +141,13 @@ def test_pipeline_clean_decides_on_rows(spark, tmp_path):
     rows = [(None, f"so {item} then"), (None, "a clean text"), (None, None), (2, item), (2, "another clean text"), (3, "third")]
     got = Counter(map(tuple, cp.clean(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()))
     assert got == Counter([(None, "a clean text"), (None, None), (2, "another clean text"), (3, "third")])
+
+
+def test_packing_special_strings_of_other_case():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    texts = ["a <|EndOfText|> b", "<|STARTOFTEXT|> c", "x <|endoftext|> y", "plain Words"]
+    own = tokens.word_ids(path)
+    got = [np.frombuffer(x, own.kind).tolist() for x in own.ids(texts)]
+    assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
