@@ -10,14 +10,20 @@ from ledgerloom.llm.common import row_key, stash
 from ledgerloom.llm.queries import tokenizer_file
 
 #: A document is rejected if no language can be told, or if the best one's probability is below this. With as few as
-#: four languages a score under 0.3 is next to a guess.
-LEAST_SCORE = 0.3
+#: four languages a score under 0.3 is next to a guess; with more, a guess is worth less and so is the bound.
+LEAST_SCORE, LANGS = 0.3, 4
+
+
+def least_score(langs: int) -> float:
+    """The bound of a net of so many languages: as far above a guess among them as LEAST_SCORE is among LANGS."""
+    return LEAST_SCORE * LANGS / max(langs, LANGS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the byte network tells."""
-    found = lang_id.identify(docs, lang_id.fit(docs), keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    net = lang_id.fit(docs)
+    found = lang_id.identify(docs, net, keep=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= least_score(len(net.langs) if net else 0))).select(*docs.columns)
 
 
 def _join(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:

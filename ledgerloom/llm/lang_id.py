@@ -15,7 +15,8 @@ from .packing import groups_of
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 #: The fit takes about so many texts of each language, chosen by a hash of the id, and so many characters of each,
 #: from a place that the hash chooses: the bound of what reaches the driver.
-FIT_TEXTS, FIT_CHARS, MAX_LANGS = 500, 1024, 200
+#: With many languages it takes fewer of each, FIT_ALL of all of them, but LEAST_TEXTS at least: all are learned.
+FIT_TEXTS, FIT_CHARS, FIT_ALL, LEAST_TEXTS = 500, 1024, 100_000, 20
 UNKNOWN = "und"
 
 
@@ -104,16 +105,19 @@ def held_out(key: str = "doc_id") -> Column:
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNet | None:
     """A net from the texts that are not held out and whose language is given; None if there are none."""
     known = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGS).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     if not counts:
         return None
     draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, int(1_000_000 * FIT_TEXTS / n) + 1))))
+    some = max(LEAST_TEXTS, min(FIT_TEXTS, FIT_ALL // len(counts)))
+    shares = session_of(docs).createDataFrame([(k, min(1_000_000, int(1_000_000 * some / n) + 1)) for k, n in counts.items()], "_lang string, _share int")
+    known = known.join(F.broadcast(shares), F.col(lang) == F.col("_lang"))
     start = (F.pmod(F.xxhash64(F.lit("place"), F.col(key).cast("string")), F.greatest(F.lit(1), F.length(text) - FIT_CHARS)) + 1).cast("int")
-    sample = known.where(draw < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.substring(F.col(text), start, F.lit(FIT_CHARS)).alias("text"), F.xxhash64(key, text).alias("o")).orderBy("o", "text").limit(2 * FIT_TEXTS * len(counts)).collect()
+    sample = known.where(draw < F.col("_share")).select(F.col(lang).alias("lang"), F.substring(F.col(text), start, F.lit(FIT_CHARS)).alias("text"), F.xxhash64(key, text).alias("o")).orderBy("o", "text").limit(2 * some * len(counts)).collect()
     langs = sorted(counts)
+    place = {k: i for i, k in enumerate(langs)}
     each = [windows(r.text.encode()) for r in sample if re.search(r"[^\W\d_]", r.text)]
-    labels = [langs.index(r.lang) for r in sample if re.search(r"[^\W\d_]", r.text)]
+    labels = [place[r.lang] for r in sample if re.search(r"[^\W\d_]", r.text)]
     if not each:
         return None
     x, y = np.concatenate(each), np.repeat(labels, [len(w) for w in each])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from ledgerloom.llm import jaccard_join, queries, tokens
+from ledgerloom.llm import jaccard_join, lang_id, queries, tokens
 from ledgerloom.llm import html_extract as hx
 
 PAGES = "page_id bigint, url string, html string"
@@ -151,3 +151,10 @@ def test_packing_special_strings_of_other_case():
     own = tokens.word_ids(path)
     got = [np.frombuffer(x, own.kind).tolist() for x in own.ids(texts)]
     assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_language_id_learns_every_language(spark):
+    rows = [(10 * i + j, f"Text {chr(97 + i % 26) * 5} {chr(97 + i // 26) * 5}", f"l{i:03}") for i in range(230) for j in range(10)]
+    net = lang_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert net.langs == [f"l{i:03}" for i in range(230)]
+    assert cp.least_score(0) == cp.least_score(1) == cp.least_score(4) == cp.LEAST_SCORE and cp.least_score(230) < 2 / 230
