@@ -86,10 +86,11 @@ def groups_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
 
 
-def snapshot(groups: DataFrame, *, bucket_size: int = BUCKET) -> tuple[DataFrame, DataFrame, int]:
+def snapshot(groups: DataFrame, *, bucket_size: int = BUCKET, incoming: int = 0) -> tuple[DataFrame, DataFrame, int]:
     """The exact buckets of an immutable snapshot (digest, n, top, bucket), and for each bucket its filter. The number
-    of buckets follows the number of digests, so that one is always built in little memory."""
-    buckets = max(1, -(-groups.count() // bucket_size))
+    of buckets follows the number of digests, or of incoming ones if they are more, so that one is always built and
+    screened in little memory."""
+    buckets = max(1, -(-max(groups.count(), incoming) // bucket_size))
     groups = groups.withColumn("bucket", _bucket(buckets))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -130,8 +131,9 @@ def exact_dedup(docs: DataFrame, is_new: Column, *, bucket_size: int = BUCKET) -
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(is_new, F.lit(True)).alias("is_new"))
     rows = docs.select("doc_id", "is_new", F.sha2("text", 256).alias("digest"))
     old = stash(groups_of(rows.where(~F.col("is_new"))), "snapshot")
-    exact, filters, buckets = snapshot(old, bucket_size=bucket_size)
-    batch = stash(screened(groups_of(rows.where("is_new")), filters, buckets), "screened")
+    new = stash(groups_of(rows.where("is_new")), "incoming")
+    exact, filters, buckets = snapshot(old, bucket_size=bucket_size, incoming=new.count())
+    batch = stash(screened(new, filters, buckets), "screened")
     positive = batch.where("maybe").select("digest", "n", "top")
     both = exact.select("digest", "n", "top").unionByName(positive).groupBy("digest").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
     groups = stash(both.unionByName(batch.where("not maybe").select("digest", "n", "top")), "groups")

@@ -5,9 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from ledgerloom.llm import jaccard_join, lang_id, queries, tokens
+from ledgerloom.llm import exact_dedup, jaccard_join, lang_id, queries, tokens
 from ledgerloom.llm import html_extract as hx
 
 PAGES = "page_id bigint, url string, html string"
@@ -158,3 +159,18 @@ def test_language_id_learns_every_language(spark):
     net = lang_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert net.langs == [f"l{i:03}" for i in range(230)]
     assert cp.least_score(0) == cp.least_score(1) == cp.least_score(4) == cp.LEAST_SCORE and cp.least_score(230) < 2 / 230
+
+
+def test_exact_dedup_spreads_the_batch_over_buckets(spark, monkeypatch):
+    seen, screened = [], exact_dedup.screened
+
+    def watched(incoming, filters, buckets):
+        seen.append(incoming.groupBy(exact_dedup._bucket(buckets)).count().agg(F.max("count")).first()[0])
+        return screened(incoming, filters, buckets)
+
+    monkeypatch.setattr(exact_dedup, "screened", watched)
+    rows = [(i, f"text {i % 900}") for i in range(1000)]
+    for new in (F.lit(True), F.col("doc_id") > 0):  # an empty snapshot, and one of a single row
+        got = exact_dedup.exact_dedup(spark.createDataFrame(rows, DOCS), new, bucket_size=50).collect()
+        assert len(got) == 1000 and sum(r.kept for r in got) == 900 and all(r.keep_id % 900 == r.doc_id % 900 for r in got)
+    assert len(seen) == 2 and max(seen) < 200
