@@ -1,27 +1,31 @@
 """Set-similarity self-join of documents on word shingles: pigeonhole over a partition of the shingle universe.
 
 For two linked documents x and y the symmetric difference d is at most (|x| + |y|) / 9 at a similarity of 0.8. Sizes
-are dealt into bands. Each band cuts the universe of shingles into m segments by hash; d differences touch at most d
-segments, so x and y agree on m - d segments at least.
-
-- Larger bands index segment subsets. With m above the d that a document can have, it may leave out m - d - 1 segments:
-  the dearest ones under one order of all subsets (few shingles: common; many: rare), so that the rarest subset that
-  both documents hold is indexed by both. This is the allocation by cost; empty subsets go first.
-- The smallest band (d of one at most) has one segment, the whole set, indexed with its one-deletion neighbourhood.
-
-Documents near the top of a band are indexed in the next band as well. Equal sets are one node from the start. Within a
-bucket of an index key the nodes are compared with its smallest node; buckets whose nodes are not in one component
-after that are compared pair by pair across components, so no link between components is lost, while a large group of
-copies needs one comparison for each of its nodes and not for each pair.
+are dealt into bands; each band cuts the universe of shingles into segments by hash. A subset segment is indexed by all
+its shingles (it misses a pair only where one difference falls into it), a deletion segment also by its one-deletion
+neighbourhood (it misses a pair only where two do). So subset segments and twice the deletion segments must number
+d + 1 together.
+
+- Allocation by cost, for a band: how many segments of either kind, from the index rows that they take and the chance
+  candidates that they let through (`allocation`). Small sets get deletion segments, large ones subset segments.
+- Allocation by cost, for a set: of its subset segments, which outnumber those needed, it indexes the dearest to meet
+  by chance, those of most shingles, under one order of all subsets, so that both documents of a link choose alike.
+
+Documents near the top of a band are indexed in the next band as well. Equal sets are one node from the start. The nodes
+of a bucket are compared with its lead, the node that shares most buckets. Only where a bucket then lies in several
+components are its nodes compared across these, after two bounds have shown most of them to be apart (`_apart`).
+Verification is exact: it compares the words of both texts.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,9 +33,12 @@ from pyspark.sql import functions as F
 from .common import mix, row_key, small, stash, texts
 from .packing import groups_of
 
-WORDS = 400_000  # a worker's memo of word hashes
-#: Segments of a band against those that pigeonhole needs; sizes up to which whole sets are indexed with deletions.
+#: Subset segments of a band against those that pigeonhole needs; top size of the smallest band.
 SLACK, SMALL = 1.6, 8
+#: For the allocation: a candidate costs as much as so many index rows; a passage that strangers share has so many shingles.
+CANDIDATE, PASSAGE = 100, 64
+#: Bytes of text that a worker turns into sets at once.
+PIECE = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -41,7 +48,7 @@ class Similarity:
     num: int = 80
     den: int = 100
 
-    def differ(self, a: int, b: int) -> int:
+    def differ(self, a, b):
         """The largest symmetric difference of linked sets of these sizes."""
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
@@ -53,96 +60,159 @@ class Similarity:
         return common * self.den >= self.num * (a + b - common)
 
 
-_words: dict[bytes, int] = {}
-
-
-def shingles(texts: list[str], width: int) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles of `width` words, of all its words if they are fewer."""
-    split = [t.encode().lower().split() for t in texts]
-    if len(_words) > WORDS:
-        _words.clear()
-    for w in set().union(*split).difference(_words):
-        _words[w] = xxhash.xxh64_intdigest(w)
-    get, out = _words.__getitem__, []
-    for words in split:
-        h = np.fromiter(map(get, words), np.uint64, len(words))
-        k = min(width, len(words))
-        if not k:
-            out.append(h)
-            continue
-        total = np.full(len(h) - k + 1, k, np.uint64)
-        for i in range(k):
-            total = mix(total ^ h[i : len(h) - k + 1 + i]) if i == k - 1 else (total ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15) + (total >> np.uint64(29))
-        out.append(np.unique(total))
-    return out
-
-
-def node_of(x: np.ndarray, salt: int) -> int:
-    """One number for a set."""
-    return int(mix(np.array([mix(x ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(x))]))[0])
-
-
-def bands(size: int) -> tuple[int, int, int]:
-    """Number, smallest and largest size of the band of a size."""
-    if size <= SMALL:
-        return 0, 1, SMALL
-    n = (size - 1) // SMALL
-    low = SMALL << (n.bit_length() - 1)
-    return n.bit_length(), low + 1, 2 * low
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of the texts, the number of each word in turn, and where each text's words begin and end."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    names = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    real = np.array([len(w) > 0 for w in names], bool)[code]  # white space at either end leaves an empty word
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    return names, code[real], np.concatenate(([0], np.cumsum(real)))[offsets - offsets[0]]
+
+
+def _windows(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every shingle: its first word's place and its number of words; and where each text's shingles begin and end."""
+    k = np.minimum(np.diff(at), width)
+    n = np.where(k > 0, np.diff(at) - k + 1, 0)
+    ends = np.concatenate(([0], np.cumsum(n)))
+    return np.repeat(at[:-1] - ends[:-1], n) + np.arange(ends[-1]), np.repeat(k, n), ends
+
+
+def _distinct(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values of each text, laid end to end, and where each text's begin and end."""
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        values[a:b].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[ends[:-1][np.diff(ends) > 0]] = True
+    return values[new], np.concatenate(([0], np.cumsum(new)))[ends]
+
+
+def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct shingles of `width` words, of all its words if they are fewer."""
+    names, code, at = _words(texts)
+    h = pd.util.hash_array(names, categorize=False)[code] if len(names) else np.zeros(0, np.uint64)
+    first, k, ends = _windows(at, width)
+    h = np.append(h, np.zeros(width, np.uint64))
+    rolled = np.zeros(len(h) - width, np.uint64)
+    for i in range(width):
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + i]
+    total = rolled[first]
+    for row in np.flatnonzero(k < width).tolist():  # a text of few words: one shingle
+        own = h[first[row] : first[row] + k[row]]
+        total[row] = mix(np.array([functools.reduce(lambda x, y: x * 0x9E3779B97F4A7C15 + y & (1 << 64) - 1, own.tolist(), len(own))], np.uint64))[0]
+    return _distinct(mix(total), ends)
+
+
+def exact_shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like shingles(), but numbers in place of hashes: equal among these texts for equal words and only for them."""
+    names, code, at = _words(texts)
+    first, k, ends = _windows(at, width)
+    pad = len(names)  # a text of few words is filled up with a word that no text has
+    full = np.minimum(first[:, None] + np.arange(width), max(len(code) - 1, 0)) if len(first) else np.zeros((0, width), np.int64)
+    run = np.where(np.arange(width) < k[:, None], code[full] if len(code) else full, pad)
+    total, most = run[:, 0], pad + 1
+    for i in range(1, width):
+        total = total * (pad + 1) + run[:, i]
+        most *= pad + 1
+        if i < width - 1 and most * (pad + 1) >= 1 << 62:
+            total = np.unique(total, return_inverse=True)[1].ravel()
+            most = len(total) + 1
+    return _distinct(total, ends)
+
+
+def _nodes(values: np.ndarray, ends: np.ndarray, clashing: frozenset[int]) -> tuple[np.ndarray, np.ndarray]:
+    """One number for each set, and another to check it by; sets of a number that several have get other ones."""
+    n = np.diff(ends)
+    sums = [np.concatenate(([np.uint64(0)], np.cumsum(mix(values ^ np.uint64(salt)), dtype=np.uint64))) for salt in (11, 23)]
+    node, check = (mix(s[ends[1:]] - s[ends[:-1]] + n.astype(np.uint64)) for s in sums)
+    node, check = node.view(np.int64), check.view(np.int64)
+    if clashing:
+        again = np.isin(node, np.fromiter(clashing, np.int64, len(clashing)))
+        node = np.where(again, mix(node.view(np.uint64) ^ mix(check.view(np.uint64))).view(np.int64), node)
+    return np.where(n > 0, node, 0), np.where(n > 0, check, 0)
+
+
+def bands(size: int) -> tuple[int, int]:
+    """Number and largest size of the band of a size."""
+    n = max(size - 1, 0) // SMALL
+    return n.bit_length(), SMALL << n.bit_length()
+
+
+@functools.cache
+def allocation(top: int, sim: Similarity) -> tuple[int, int]:
+    """Subset and deletion segments of the band up to this size: those of least cost for a set of three quarters of it."""
+    n, need = 0.75 * top, sim.differ(top, top) + 1
+    share = PASSAGE / (PASSAGE + n)
+
+    def cost(deletions: int) -> float:
+        subsets = max(0, need - 2 * deletions)
+        unit = n / (int(SLACK * subsets) + 2 * deletions)  # shingles of a subset segment; a deletion segment has two units
+        rows = subsets + deletions * (2 * unit + 1)
+        chance = subsets * share ** (1.3 * unit) + deletions * (2 * unit + 1) * share ** max(2 * unit - 1, 0)
+        return rows + CANDIDATE * chance
+
+    best = min(range((need + 1) // 2 + 1), key=cost)
+    return int(SLACK * max(0, need - 2 * best)), best
 
 
 def keys(x: np.ndarray, sim: Similarity) -> np.ndarray:
     """Index keys of a set: equal for two linked sets in one key at least."""
     size, out = len(x), []
-    band, _, top = bands(size)
-    own = [(band, top)]
-    if sim.top(size) > top:
-        own.append((band + 1, 2 * top))
-    for band, top in own:
-        salt = np.uint64(mix(np.array([band + 1], np.uint64))[0])
-        if top == SMALL:
-            whole = x.sum(dtype=np.uint64)
-            out.append(mix(np.append(whole - x, whole) ^ salt))
-            continue
-        m = int(SLACK * (sim.differ(top, top) + 1))
-        segment = (mix(x ^ salt) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
-        count = np.bincount(segment.astype(np.int64), minlength=m)
-        sums = np.zeros(m, np.uint64)
-        np.add.at(sums, segment.astype(np.int64), x)
-        key = mix(sums ^ mix(np.arange(m, dtype=np.uint64) + salt))
-        keep = sim.differ(size, min(sim.top(size), top)) + 1
-        out.append(key[np.lexsort((key, -count))[:keep]])  # one order for all: by number of shingles, then by key
+    band, top = bands(size)
+    for band, top in [(band, top), (band + 1, 2 * top)][: 1 + (sim.top(size) > top)]:
+        salt = mix(np.array([band + 1], np.uint64))[0]
+        subsets, deletions = allocation(top, sim)
+        units = subsets + 2 * deletions
+        segment = ((mix(x ^ salt) >> np.uint64(32)) * np.uint64(units) >> np.uint64(32)).astype(np.int64)
+        segment = np.where(segment < 2 * deletions, segment >> 1, segment - deletions)  # deletion segments come first
+        count = np.bincount(segment, minlength=subsets + deletions)
+        order = np.argsort(segment, kind="stable")
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x[order], dtype=np.uint64)))
+        stop = np.cumsum(count)
+        sums = sums[stop] - sums[stop - count]
+        name = mix(np.arange(subsets + deletions, dtype=np.uint64) + salt)
+        key = mix(sums ^ name)
+        if deletions:
+            inside = segment < deletions
+            out += [key[:deletions], mix((sums[segment[inside]] - x[inside]) ^ name[segment[inside]])]
+        keep = sim.differ(size, min(sim.top(size), top)) + 1 - 2 * deletions
+        if keep > 0:
+            key, count = key[deletions:], count[deletions:]
+            out.append(key[np.lexsort((key, -count))[:keep]])  # one order for all: by number of shingles, then by key
     return np.concatenate(out)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, width: int, clashing: frozenset[int]) -> DataFrame:
     """doc_id, row, n and node (0 for an empty set) with a check of the node, of every document."""
 
     def run(batches):
         for batch in batches:
-            for piece in groups_of(batch):
-                own = shingles(piece.column("text").to_pylist(), width)
-                n = np.array([len(x) for x in own], np.int64)
-                node, check = (np.array([node_of(x, s) if len(x) else 0 for x in own], np.uint64).view(np.int64) for s in (11, 23))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("row"), pa.array(n), pa.array(node), pa.array(check)], ["doc_id", "row", "n", "node", "check"])
+            for piece in groups_of(batch, most=PIECE):
+                values, ends = shingles(piece.column("text"), width)
+                node, check = _nodes(values, ends, clashing)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("row"), pa.array(np.diff(ends)), pa.array(node), pa.array(check)], ["doc_id", "row", "n", "node", "check"])
 
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, n long, node long, check long")
 
 
-def _index(docs: DataFrame, width: int, sim: Similarity) -> DataFrame:
+def _index(docs: DataFrame, width: int, sim: Similarity, clashing: frozenset[int]) -> DataFrame:
     """key, node, others: within a group of texts a key leaves as one row, for its smallest node, with the other nodes
     of the group that hold it, so a hot key is combined before the shuffle."""
 
     def run(batches):
         for batch in batches:
-            for piece in groups_of(batch, most=8_000_000):
-                own = {node_of(x, 11): x for x in shingles(piece.column("text").to_pylist(), width) if len(x)}
-                each = [keys(x, sim) for x in own.values()]
-                if not each:
+            for piece in groups_of(batch, most=2 * PIECE):
+                values, ends = shingles(piece.column("text"), width)
+                nodes, rows = np.unique(_nodes(values, ends, clashing)[0], return_index=True)
+                nodes, rows = (x[ends[rows + 1] > ends[rows]] for x in (nodes, rows))
+                if not len(nodes):
                     continue
+                each = [keys(values[ends[r] : ends[r + 1]], sim) for r in rows.tolist()]
                 key = np.concatenate(each).view(np.int64)
-                node = np.repeat(np.array(list(own), np.uint64).view(np.int64), [len(k) for k in each])
-                order = np.lexsort((node, key))
+                node = np.repeat(nodes, [len(k) for k in each])
+                order = np.argsort(key, kind="stable")  # nodes ascend already
                 key, node = key[order], node[order]
                 same = np.concatenate(([False], (key[1:] == key[:-1]) & (node[1:] == node[:-1])))
                 key, node = key[~same], node[~same]
@@ -154,21 +224,37 @@ def _index(docs: DataFrame, width: int, sim: Similarity) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, node long, others array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are linked. The second join ships each pair's first set beside it; a node
-    of very many pairs is split by the sort-merge join's own treatment of skew."""
-    first = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    second = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(first, "a").join(second, "b")
+def _shared(index: DataFrame) -> DataFrame:
+    """key, node of the buckets that hold several nodes."""
+    # A key has one row from each group of texts, so that few rows of it meet in the window.
+    bucket = W.partitionBy("key")
+    index = index.withColumns({"low": F.min("node").over(bucket), "high": F.max(F.coalesce(F.array_max("others"), "node")).over(bucket)})
+    return index.where("low <> high").select("key", F.explode(F.concat(F.array("node"), "others")).alias("node")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, width: int, sim: Similarity) -> DataFrame:
+    """The pairs (a, b) with their symmetric difference and whether they are linked. The second join ships each pair's
+    first text beside it; a node of very many pairs is split by the sort-merge join's own treatment of skew."""
+    first = sets.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    second = sets.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    both = pairs.select("a", "b").join(first, "a").join(second, "b").withColumn("size", F.octet_length("x") + F.octet_length("y"))
 
     def run(batches):
         for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in "xy")
-            a, b = (np.array([len(v) // 8 for v in s], np.int64) for s in (x, y))
-            common = np.array([len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) if min(len(p), len(q)) * sim.den >= max(len(p), len(q)) * sim.num else 0 for p, q in zip(x, y, strict=True)], np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(sim.linked(common, a, b)))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            at = np.cumsum(batch.column("size").to_numpy()) // PIECE
+            for place in np.unique(at).tolist():
+                lo, hi = np.searchsorted(at, [place, place + 1])
+                piece = batch.slice(lo, hi - lo)
+                a, b = (piece.column(c).to_numpy() for c in "ab")
+                _, rows, which = np.unique(np.concatenate((a, b)), return_index=True, return_inverse=True)
+                own = pa.concat_arrays([piece.column("x"), piece.column("y")]).take(pa.array(rows))
+                values, ends = exact_shingles(own, width)
+                size, (left, right) = np.diff(ends), np.split(which, 2)
+                common = np.array([len(np.intersect1d(values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]], assume_unique=True)) for i, j in zip(left.tolist(), right.tolist(), strict=True)], np.int64)
+                n, m = size[left], size[right]
+                yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(n + m - 2 * common), pa.array(sim.linked(common, n, m))], ["a", "b", "apart", "linked"])
+
+    return both.select("a", "b", "x", "y", "size").mapInArrow(run, "a long, b long, apart long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -186,6 +272,49 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
+def _several(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows (key, node) of buckets that lie in several components, with their components."""
+    rows = rows.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    return rows.join(mixed, "key")
+
+
+def _own(nodes: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """node, own: how many shingles of a node no other one of these nodes has (or fewer, where hashes clash)."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in groups_of(batch, most=PIECE):
+                values, ends = shingles(piece.column("text"), width)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.repeat(piece.column("node").to_numpy(), np.diff(ends)))], ["shingle", "node"])
+
+    held = sets.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(run, "shingle long, node long")
+    alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
+    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _apart(rows: DataFrame, home: DataFrame, sizes: DataFrame, sets: DataFrame, width: int, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, lie in two components and may link for all that two bounds say.
+
+    Shingles that a node alone has count in its symmetric difference to any other, so a node with more of them than a
+    link allows links with none. Where two nodes have been compared with one lead, what they differ by is the symmetric
+    difference of their differences to the lead: these have their own shingles apart, and the rest of one covers that of
+    the other at best. Variants of a text with edits of their own fail one of these, so they are not paired off.
+    """
+    rows = stash(rows, "open")
+    nodes = stash(rows.select("node").distinct().join(home.select(F.col("b").alias("node"), F.col("a").alias("lead"), "apart"), "node", "left").join(sizes, "node"), "nodes")
+    own = _own(nodes.select("node").unionByName(nodes.where("lead is not null").select(F.col("lead").alias("node"))), sets, width)
+    nodes = nodes.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    nodes = stash(nodes.where(F.col("own") * sim.den <= (sim.den - sim.num) * F.col("n")).withColumn("rest", F.col("apart") - F.col("own")), "nodes")
+    rows = rows.join(nodes, "node")
+    side = lambda p: rows.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "lead", "own", "rest")))
+    most = (sim.den - sim.num) * (F.col("a_n") + F.col("b_n"))
+    least = F.col("a_own") + F.col("b_own") + F.greatest(
+        F.when(F.col("a_lead") == F.col("b_lead"), F.abs(F.col("a_rest") - F.col("b_rest"))).otherwise(F.lit(0)), F.abs(F.col("a_n") - F.col("a_own") - F.col("b_n") + F.col("b_own")))
+    pairs = side("a").join(side("b"), "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & (least * (sim.den + sim.num) <= most))
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def jaccard_join(docs: DataFrame, *, width: int = 5, sim: Similarity = Similarity(), rows: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own
     included). With `rows` also row (common.row_key) and component, a number for the component, null for an empty set:
@@ -197,63 +326,61 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, sim: Similarity = Similarit
     empty table gives no rows. Columns besides doc_id and text are ignored.
     """
     docs = texts(docs).withColumn("row", row_key())
-    own = stash(_sets(docs, width), "sets")
-    nodes = stash(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("check").alias("c"), F.max("check").alias("d")), "nodes")
-    if nodes.where("c <> d").limit(1).count():
-        raise ValueError("two different sets have one node number")
+    clashing: frozenset[int] = frozenset()
+    while True:
+        own = stash(_sets(docs, width, clashing), "sets")
+        nodes = stash(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("check").alias("c"), F.max("check").alias("d")), "nodes")
+        several = nodes.where("c <> d").select("node").limit(100_001).collect()  # a handful in 10^10 sets
+        if not several:
+            break
+        if len(several) > 100_000 or clashing & {r.node for r in several}:
+            raise ValueError("many different sets have one node number")
+        clashing |= {r.node for r in several}
 
-    index = _index(docs, width, sim)
-    # A key has one row from each group of texts, so that few rows of it meet in the window.
-    index = index.withColumn("lead", F.min("node").over(W.partitionBy("key"))).where("node <> lead or size(others) > 0")
-    pair = F.explode(F.concat(F.array(F.struct("node", "lead")), F.transform("others", lambda x: F.struct(x.alias("node"), F.col("node").alias("lead")))))
-    members = stash(index.select("key", pair.alias("x")).select("key", "x.node", "x.lead").where("node <> lead"), "members")
+    shared = stash(_shared(_index(docs, width, sim, clashing)), "shared")
+    weight = shared.groupBy("node").agg((-F.count(F.lit(1))).alias("w"))
+    lead = shared.join(weight, "node").groupBy("key").agg(F.min(F.struct("w", "node")).alias("x")).select("key", F.col("x.node").alias("lead"))
+    counted = stash(shared.join(lead, "key").where("node <> lead").groupBy("node", "lead").count(), "pairs")
 
-    wanted = stash(members.select("node").unionByName(members.select(F.col("lead").alias("node"))).distinct().join(nodes, "node").select("row"), "wanted")
-    # A row of each node, by a key that a null doc_id has too; a row with the same key by chance is one set more.
-    some = docs.join(small(wanted), "row", "left_semi").select("text")
+    sizes = nodes.select("node", "n")
+    wanted = stash(shared.select("node").distinct().join(nodes, "node").select("node", "row"), "wanted")
+    # A row of each node, by a key that a null doc_id has too; of rows with the same key by chance, one of the node.
+    some = docs.join(small(wanted.select("row")), "row", "left_semi").select("text")
 
-    def items(batches):
+    def named(batches):
         for batch in batches:
-            for piece in groups_of(batch):
-                own = {node_of(x, 11): x for x in shingles(piece.column("text").to_pylist(), width) if len(x)}
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(own), np.uint64).view(np.int64)), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["node", "items"])
-
-    sets = stash(some.mapInArrow(items, "node long, items binary").dropDuplicates(["node"]), "items")
-    links, done = None, None
-    # One pair for each node first (the lead it shares most keys with), then what is still apart.
-    counted = stash(members.groupBy("node", "lead").count(), "pairs")
-    most = counted.groupBy("node").agg(F.max(F.struct("count", "lead")).alias("top")).select(F.col("node").alias("b"), F.col("top.lead").alias("a"))
-    pairs = stash(most, "pairs")
-    comps = None
-    for turn in range(1000):
-        found = stash(_verified(pairs, sets, sim), "links")
-        links = found if links is None else links.unionByName(found)
-        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-        comps = components(links)
-        comp = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
+            for piece in groups_of(batch, most=PIECE):
+                node = _nodes(*shingles(piece.column("text"), width), clashing)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(node), piece.column("text")], ["node", "text"])
 
-        def apart(rows: DataFrame) -> DataFrame:
-            rows = rows.join(comp("a"), "a", "left").join(comp("b"), "b", "left").where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b"))
-            return rows.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-
-        if turn == 0:
-            pairs = stash(apart(counted.select(F.col("lead").alias("a"), F.col("node").alias("b"))), "pairs")
-            if pairs.limit(1).count():
-                continue
-        # Buckets whose nodes lie in several components: every pair across components.
-        flat = members.select("key", "node").unionByName(members.select("key", F.col("lead").alias("node"))).distinct()
-        flat = flat.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = flat.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        open_ = stash(flat.join(mixed, "key"), "open")
-        left, right = open_.select("key", F.col("node").alias("a"), F.col("comp").alias("ac")), open_.select("key", F.col("node").alias("b"), F.col("comp").alias("bc"))
-        pairs = left.join(right, "key").where("ac <> bc and a < b").select("a", "b").distinct()
-        sizes = nodes.select("node", "n")
-        pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("an")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("bn")), "b")
-        pairs = pairs.where(F.least("an", "bn") * sim.den >= F.greatest("an", "bn") * sim.num).select("a", "b")
-        pairs = stash(pairs.join(done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            break
-    named = nodes.join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
-    smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    label = stash(named.join(smallest, "comp").select("node", "component_id", F.col("comp").alias("component")), "components")
+    sets = stash(some.mapInArrow(named, "node long, text string").dropDuplicates(["node"]), "texts")
+
+    # Each node first with the lead that it shares most keys with, then with its other leads, where still apart.
+    top = counted.groupBy("node").agg(F.max(F.struct("count", "lead")).alias("top")).select(F.col("top.lead").alias("a"), F.col("node").alias("b"))
+    home = stash(_verified(top, sets, width, sim), "links")
+    links = home.where("linked")
+    comps = components(links)
+
+    def across(pairs: DataFrame) -> DataFrame:
+        comp = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
+        both = pairs.join(comp("a"), "a", "left").join(comp("b"), "b", "left").where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b")
+        size = lambda name: sizes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"))
+        both = both.join(size("a"), "a").join(size("b"), "b")
+        return both.where(F.least("a_n", "b_n") * sim.den >= F.greatest("a_n", "b_n") * sim.num).select("a", "b")
+
+    rest = across(counted.select(F.col("lead").alias("a"), F.col("node").alias("b"))).join(home.select("a", "b"), ["a", "b"], "left_anti")
+    second = stash(_verified(stash(rest, "pairs"), sets, width, sim), "links")
+    if second.where("linked").limit(1).count():
+        links = links.unionByName(second.where("linked"))
+        comps = components(links)
+    done = home.select("a", "b").unionByName(second.select("a", "b"))
+    done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = stash(_apart(_several(shared, comps), home, sizes, sets, width, sim).join(done, ["a", "b"], "left_anti"), "pairs")
+    third = stash(_verified(pairs, sets, width, sim).where("linked"), "links")
+    if third.limit(1).count():
+        comps = components(links.unionByName(third))
+
+    named_ = nodes.join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
+    smallest = named_.groupBy("comp").agg(F.min("least").alias("component_id"))
+    label = stash(named_.join(smallest, "comp").select("node", "component_id", F.col("comp").alias("component")), "components")
     return own.join(label, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *(["row", "component"] if rows else []))
