@@ -19,10 +19,13 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one if all runs on
+    this machine, and an error on a cluster."""
     conf = spark.sparkContext.getConf()
     if found := conf.get("spark.checkpoint.dir", ""):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if not getattr(spark.sparkContext, "_ledgerloom_dir", None):
         spark.sparkContext._ledgerloom_dir = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
     return spark.sparkContext._ledgerloom_dir

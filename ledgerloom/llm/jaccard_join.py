@@ -297,22 +297,39 @@ def _apart(rows: DataFrame, home: DataFrame, sizes: DataFrame, sets: DataFrame,
     """Pairs (a, b) of nodes that share a bucket, lie in two components and may link for all that two bounds say.
 
     Shingles that a node alone has count in its symmetric difference to any other, so a node with more of them than a
-    link allows links with none. Where two nodes have been compared with one lead, what they differ by is the symmetric
-    difference of their differences to the lead: these have their own shingles apart, and the rest of one covers that of
-    the other at best. Variants of a text with edits of their own fail one of these, so they are not paired off.
+    link allows links with none and goes; twice, as those that stay then have more of their own. Where two nodes have
+    been compared with one lead, what they differ by is the symmetric difference of their differences to the lead: these
+    have their own shingles apart, and the rest of one covers that of the other at best. With far the difference of a
+    node to the lead, own its own shingles and near = far - 2 own, a link of a and b needs far(a) - near(b) and
+    far(b) - near(a) within what it allows, so nodes of one lead meet by ranges of near, once each, instead of in buckets.
     """
-    rows = stash(rows, "open")
-    nodes = stash(rows.select("node").distinct().join(home.select(F.col("b").alias("node"), F.col("a").alias("lead"), "apart"), "node", "left").join(sizes, "node"), "nodes")
-    own = _own(nodes.select("node").unionByName(nodes.where("lead is not null").select(F.col("lead").alias("node"))), sets, width)
-    nodes = nodes.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    nodes = stash(nodes.where(F.col("own") * sim.den <= (sim.den - sim.num) * F.col("n")).withColumn("rest", F.col("apart") - F.col("own")), "nodes")
-    rows = rows.join(nodes, "node")
-    side = lambda p: rows.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "lead", "own", "rest")))
-    most = (sim.den - sim.num) * (F.col("a_n") + F.col("b_n"))
-    least = F.col("a_own") + F.col("b_own") + F.greatest(
-        F.when(F.col("a_lead") == F.col("b_lead"), F.abs(F.col("a_rest") - F.col("b_rest"))).otherwise(F.lit(0)), F.abs(F.col("a_n") - F.col("a_own") - F.col("b_n") + F.col("b_own")))
-    pairs = side("a").join(side("b"), "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & (least * (sim.den + sim.num) <= most))
-    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    open_ = stash(rows, "open")
+    named = open_.select("node").distinct().join(home.select(F.col("b").alias("node"), F.col("a").alias("lead"), "apart"), "node", "left")
+    nodes = stash(named.join(sizes, "node").join(sizes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n")), "lead", "left"), "nodes")
+    for _ in range(2):
+        own = _own(nodes.select("node").unionByName(nodes.where("lead is not null").select(F.col("lead").alias("node"))), sets, width)
+        nodes = nodes.drop("own").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        nodes = nodes.where(F.col("own") * sim.den <= (sim.den - sim.num) * F.col("n"))
+        live = open_.join(nodes.select("node"), "node", "left_semi")
+        open_ = stash(live.join(live.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "key"), "open")
+        nodes = stash(nodes.join(open_.groupBy("node").agg(F.min("comp").alias("comp")), "node") if "comp" not in nodes.columns else nodes.join(open_.select("node").distinct(), "node", "left_semi"), "nodes")
+
+    def side(table: DataFrame, p: str, *keep: str) -> DataFrame:
+        return table.select(*keep, *(F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "lead", "own", "far", "near")))
+
+    differ = lambda a, b: F.floor((sim.den - sim.num) * (a + b) / (sim.den + sim.num))
+    nodes = nodes.withColumns({"far": F.col("apart"), "near": F.col("apart") - 2 * F.col("own")})
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    allowed, two = differ(a("n"), b("n")), (a("node") < b("node")) & (a("comp") != b("comp"))
+    step, most = F.greatest(F.lit(1), F.floor(differ(F.col("lead_n"), F.col("lead_n")) / 4)), differ(F.col("n"), F.floor(F.col("n") * sim.den / sim.num))
+    same = nodes.where("lead is not null")
+    by_range = side(same.withColumn("place", F.floor(F.col("near") / step)), "a", "lead", "place").join(
+        side(same.withColumn("place", F.explode(F.sequence(F.floor((F.col("far") - most) / step), F.greatest(F.floor((F.col("far") - most) / step), F.floor((F.col("near") + most) / step))))), "b", "lead", "place"), ["lead", "place"])
+    by_range = by_range.where(two & (a("far") - b("near") <= allowed) & (b("far") - a("near") <= allowed))
+    bucket = open_.select("key", "node").join(nodes, "node")
+    by_key = side(bucket, "a", "key").join(side(bucket, "b", "key"), "key").where(
+        two & ~F.coalesce(a("lead") == b("lead"), F.lit(False)) & (a("own") + b("own") + F.abs(a("n") - a("own") - b("n") + b("own")) <= allowed))
+    return by_range.unionByName(by_key, allowMissingColumns=True).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def jaccard_join(docs: DataFrame, *, width: int = 5, sim: Similarity = Similarity(), rows: bool = False) -> DataFrame:

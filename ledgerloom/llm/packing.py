@@ -73,7 +73,7 @@ def pack(docs: DataFrame, path: str, *, window: int = 2048, end_id: int = 1) ->
 
     def run(batches):
         kind = word_ids(path).kind
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in groups_of(whole, "ids")):
             starts = np.array([base[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("before").to_numpy()
             n = batch.column("n").to_numpy()
             k = (starts + n - 1) // window - starts // window + 1

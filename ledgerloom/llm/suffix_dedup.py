@@ -185,10 +185,11 @@ def _compare(rows: DataFrame, least: int, buckets: int) -> DataFrame:
 def _hot(rows: DataFrame, least: int) -> DataFrame:
     """The same for anchors with very many different segments: each window is a row, and equal windows are counted."""
     each = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.length("bytes") - least)))
-    each = each.select("doc_id", "th", (F.col("start") + F.col("i")).cast("int").alias("start"), "anchor", F.xxhash64(F.expr(f"substring(bytes, i + 1, {least})"), F.md5(F.expr(f"substring(bytes, i + 1, {least})"))).alias("window"))
+    window = F.expr(f"substring(bytes, i + 1, {least})")
+    each = each.select("doc_id", "th", (F.col("start") + F.col("i")).cast("int").alias("start"), "anchor", F.xxhash64(window).alias("window"), F.xxhash64(F.md5(window)).alias("check"))
     each = stash(each, "windows")
-    several = each.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return each.join(several, ["anchor", "window"], "left_semi").select("doc_id", "th", "start", F.lit(1).alias("windows"))
+    several = each.groupBy("anchor", "window", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return each.join(several, ["anchor", "window", "check"], "left_semi").select("doc_id", "th", "start", F.lit(1).alias("windows"))
 
 
 def suffix_dedup(docs: DataFrame, *, least: int = 200, bucket_size: int = BUCKET, hot: int = HOT) -> DataFrame:
@@ -218,15 +219,15 @@ def suffix_dedup(docs: DataFrame, *, least: int = 200, bucket_size: int = BUCKET
     part = _compare(found.where(f"crowd <= {hot}"), least, max(1, -(-total // bucket_size)))
     spans = equal.unionByName(part).unionByName(_hot(found.where(f"crowd > {hot}"), least))
 
-    merged = spans.groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("lengths"))
+    merged = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))  # a set: rows that repeat an id and a text give the same ones
 
     def cuts(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in groups_of(whole)):
             rows = []
-            for text, starts, lengths in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "lengths")), strict=True):
+            for text, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "runs")), strict=True):
                 data = text.encode()
                 runs = []
-                for s, n in sorted(zip(starts or [], lengths or [], strict=True)):
+                for s, n in sorted((x["start"], x["windows"]) for x in spans or ()):
                     e = s + n + least - 1
                     if runs and s <= runs[-1][1]:
                         runs[-1][1] = max(e, runs[-1][1])
@@ -242,4 +243,4 @@ def suffix_dedup(docs: DataFrame, *, least: int = 200, bucket_size: int = BUCKET
 
     merged = merged.withColumnsRenamed({"doc_id": "own", "th": "own_th"})
     both = docs.join(merged, docs["doc_id"].eqNullSafe(merged["own"]) & (docs["th"] == merged["own_th"]), "left")
-    return both.select("doc_id", "text", "starts", "lengths").mapInArrow(cuts, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return both.select("doc_id", "text", "runs").mapInArrow(cuts, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

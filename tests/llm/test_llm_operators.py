@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, packing, quality, queries, secrets, suffix_dedup, token_counts
@@ -154,6 +155,51 @@ def test_jaccard_join(spark, corpus):
     assert got == _components(rows)
 
 
+def _variants(rnd, n, words, most, fresh):
+    """Texts that differ from one text in up to `most` words each; with `fresh`, words that no other text has."""
+    base = [f"b{rnd.randrange(10_000)}" for _ in range(words)]
+    for i in range(n):
+        own = list(base)
+        for j in range(rnd.randrange(most + 1)):
+            own[rnd.randrange(words)] = f"f{i}x{j}" if fresh else f"c{rnd.randrange(20)}"
+        yield " ".join(own)
+
+
+@pytest.mark.parametrize("fresh", [True, False])
+def test_jaccard_join_on_variants_of_one_text(spark, fresh):
+    """Groups whose variants link in part: what the bounds leave out must link with nothing."""
+    rnd = random.Random(11)
+    rows = list(enumerate([*_variants(rnd, 90, 120, 9, fresh), *_variants(rnd, 40, 30, 3, fresh), *_variants(rnd, 30, 400, 25, fresh)]))
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows += [(500 + i, f"{passage} " + " ".join(f"q{rnd.randrange(10**6)}" for _ in range(60))) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs(spark, rows)).collect()}
+    assert got == _components(rows)
+
+
+def test_shingles_are_exact():
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randrange(40))) for _ in range(60)] + ["", " ", "A  b\tC\x0b", "a b", "\u00e9 \u00c9\x1cx", "a b c d e"]
+    for split in (jaccard_join.shingles, jaccard_join.exact_shingles):
+        values, ends = split(pa.array(texts), 5)
+        own, known = [set(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], [_shingles(t) for t in texts]
+        assert [len(x) for x in own] == [len(x) for x in known]
+        assert all(len(own[i] & own[j]) == len(known[i] & known[j]) for i in range(len(texts)) for j in range(i))
+
+
+def test_sets_of_one_number_part(spark, monkeypatch):
+    nodes = jaccard_join._nodes
+
+    def few(values, ends, clashing):
+        node, check = nodes(values, ends, frozenset())
+        low = np.where(np.diff(ends) > 0, node % 3 + 5, 0)
+        return (np.where(np.isin(low, list(clashing)), node, low) if clashing else low), check
+
+    monkeypatch.setattr(jaccard_join, "_nodes", few)
+    rows = [(i, f"text {i % 4} of a few words") for i in range(12)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs(spark, rows)).collect()}
+    assert got == {i: i % 4 for i in range(12)}
+
+
 def test_decontamination(spark):
     rnd = random.Random(9)
     items = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 9))) for _ in range(20)) for _ in range(5)]
