@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,16 +25,39 @@ def build(app: str = "ledgerloom", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests on one machine)."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder if all runs on this machine, and an error on a cluster."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir", ""):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if not getattr(spark.sparkContext, "_ledger_dir", None):
         spark.sparkContext._ledger_dir = "file://" + tempfile.mkdtemp(prefix="ledger-")
     return spark.sparkContext._ledger_dir
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a written table."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _forget_all() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            forget(spark, path)
+        except Exception:  # the JVM may have gone first
+            return
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: this cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder, read again: this cuts the lineage and survives lost executors. Tables
+    go when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
