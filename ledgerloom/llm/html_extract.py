@@ -7,6 +7,7 @@ import hashlib
 import html as _html
 import itertools
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -22,23 +23,27 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 #: Of these, what follows an element without an end tag is its text; of the others, the page goes on after the start tag.
 TO_END = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements, roles and words of class and id that mark a branch as presentation.
+#: Elements, roles and words of class and id that mark a branch as presentation, and words that beside
+#: these say nothing. A class counts if it is such words throughout: "ad" and "site-footer" do, "ad-free" does not.
 BRANCHES = frozenset("nav footer aside form button dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead sidebar side aside ad ads advert adverts advertisement sponsor sponsored promo promotion banner"
-    " cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus respond reply replies share sharing social related recommended widget newsletter subscribe"
-    " subscription login signin signup search pagination pager toolbar skip copyright legal form".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead sidebar aside ad ads advert adverts advertisement sponsor sponsored promo promotion banner"
+    " cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus respond replies share sharing related recommended newsletter subscribe"
+    " subscription login signin signup search pagination pager toolbar copyright form".split()
 )
+BESIDE = frozenset("site page main top bottom left right box block container wrapper bar area section list inner item items slot widget links social user global".split())
 #: What the page itself calls its main part: a branch in it needs only WITHIN of the importance asked for elsewhere.
-LANDMARKS, WITHIN = frozenset(["article", "main"]), 0.5
-#: Contents with less importance than LEAST, at a path that PAGES pages of the host have at least, are taken out.
-LEAST, PAGES = 0.15, 8
+LANDMARKS, WITHIN = frozenset(["article", "main"]), 0.65
+#: Contents with less importance than LEAST go. PRIOR: entropy on few pages says little, so that a content counts as
+#: important on so many pages besides those of the site.
+LEAST, PRIOR = 0.12, 1
 #: Rows of low contents that the driver sends to all workers; beyond, they are joined to the pages.
 SEND = 100_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_MARK = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _CLOSERS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
@@ -50,17 +55,29 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+#: Stands in a node's parts where an element without content ends a block.
+BREAK = object()
+
+
 class Node:
-    """An element of a page that is not inline. parts: children and texts in order; path: labels from the root."""
+    """An element of a page that is not inline. parts: children, texts and breaks in order; label: its tag and classes;
+    path: labels from the root (a long one begins with its hash); below: at the root, all nodes in order."""
 
-    __slots__ = ("tag", "path", "parts", "dropped", "inside", "links")
+    __slots__ = ("tag", "label", "path", "parts", "dropped", "inside", "content", "below")
 
-    def __init__(self, tag: str, path: str, dropped: bool, inside: bool):
-        self.tag, self.path, self.dropped, self.inside, self.parts, self.links = tag, path, dropped, inside, [], 0
+    def __init__(self, tag: str, label: str, path: str, dropped: bool, inside: bool):
+        self.tag, self.label, self.path, self.dropped, self.inside = tag, label, path, dropped, inside
+        self.parts, self.content, self.below = [], None, []
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
+    """Attributes by name; the first of a name counts."""
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in reversed([*_ATTRIBUTE.finditer(raw)])} if raw.strip() else {}
+
+
+def _marked(name: str) -> bool:
+    words = [w.lower() for w in _PART.findall(name)]
+    return not WORDS.isdisjoint(words) and all(w in WORDS or w in BESIDE for w in words)
 
 
 def _presentation(tag: str, at: dict[str, str], inside: bool) -> bool:
@@ -68,67 +85,90 @@ def _presentation(tag: str, at: dict[str, str], inside: bool) -> bool:
         return True
     if at.get("role", "").lower() in ROLES or "hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in at.get("style", "").replace(" ", "").lower():
         return True
-    return tag not in ("html", "body", "article", "main", "h1") and any(w.lower() in WORDS for w in _PART.findall(f"{at.get('class', '')} {at.get('id', '')}"))
+    return tag not in ("html", "body", "article", "main", "h1") and any(map(_marked, f"{at.get('class', '')} {at.get('id', '')}".split()))
+
+
+def _tag_end(html: str, at: int, lone: set[str]) -> int:
+    """The place of the > that ends a tag, or -1. Quotes after = hide it; one without a partner in the rest of the page
+    (lone) is taken as a letter."""
+    while found := _STOP.search(html, at):
+        if found[0] == ">":
+            return found.start()
+        before, at = found.start() - 1, found.end()
+        while html[before].isspace():
+            before -= 1
+        if html[before] == "=" and found[0] not in lone:
+            end = html.find(found[0], at)
+            if end < 0:
+                lone.add(found[0])
+            else:
+                at = end + 1
+    return -1
 
 
 def parse(html: str) -> Node:
-    """The page's tree; elements that no end tag closes end where HTML ends them."""
-    root = Node("", "", False, False)
-    stack, at, inline = [root], 0, []  # inline: open inline elements that mark or drop text
-    n, unclosed = len(html), set()  # unclosed: elements without an end tag in the rest of the page
+    """The page's tree, in time linear in the page; elements that no end tag closes end where HTML ends them."""
+    root = Node("", "", "", False, False)
+    stack, opened, at, n = [root], Counter(), 0, len(html)
+    unclosed, lone = set(), set()  # unclosed: elements without an end tag in the rest of the page
+
+    def close() -> str:
+        tag = stack.pop().tag
+        opened[tag] -= 1
+        return tag
+
     while at < n:
-        found = _TOKEN.search(html, at)
-        text = html[at : found.start() if found else n]
-        if text and not inline.count("-"):
-            stack[-1].parts.append(text)
-            if "a" in inline:
-                stack[-1].links += len(text)
-        if not found:
-            break
-        at = found.end()
-        if not found[2]:
+        start = html.find("<", at)
+        found = _MARK.match(html, start) if start >= 0 else None
+        name = found and found[2]
+        end = _tag_end(html, found.end(), lone) if name else -1
+        if not found or name and end < 0:  # no tag: text up to here, or to the page's end
+            upto = n if start < 0 or found else start + 1
+            stack[-1].parts.append(html[at:upto])
+            at = upto
+            continue
+        if start > at:
+            stack[-1].parts.append(html[at:start])
+        if not name:
+            mark = "-->" if found[0] == "<!--" else ">"
+            at = html.find(mark, found.end())
+            at = n if at < 0 else at + len(mark)
             continue
-        tag = found[2].lower()
+        at, tag, raw = end + 1, name.lower(), html[found.end() : end]
         if found[1]:
-            if tag in INLINE:
-                for mark in (tag, "-"):
-                    if tag == "a" and mark in inline:
-                        inline.remove(mark)
-                        break
-            elif any(x.tag == tag for x in stack[1:]):
-                while stack.pop().tag != tag:
+            if tag not in INLINE and opened[tag] > 0:
+                while close() != tag:
                     pass
-                inline.clear()
             continue
         if tag in RAW:
-            if tag in ("svg", "math") and found[3].rstrip().endswith("/") or tag in unclosed:
+            if tag in ("svg", "math") and raw.rstrip().endswith("/") or tag in unclosed:
                 continue
-            if end := _CLOSERS[tag].search(html, at):
-                at = end.end()
+            if over := _CLOSERS[tag].search(html, at):
+                at = over.end()
             elif tag in TO_END:
                 at = n
             else:
                 unclosed.add(tag)
             continue
         if tag in INLINE:
-            if tag in ("br", "wbr", "img"):
-                stack[-1].parts.append(" " if tag == "br" else "")
-            elif tag == "a":
-                inline.append("a")
+            if tag == "br":
+                stack[-1].parts.append(" ")
             continue
         if tag in VOID:
-            stack[-1].parts.append("\n")
+            stack[-1].parts.append(BREAK)
             continue
-        inline.clear()
         while len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag == tag and tag in ("li", "tr", "td", "th", "dt", "dd", "option") or tag == "tr" and stack[-1].tag in ("td", "th") or tag == "body" and stack[-1].tag == "head"):
-            stack.pop()
-        own, above = _attributes(found[3]), stack[-1]
+            close()
+        own, above = _attributes(raw), stack[-1]
         names = ".".join(sorted(w.lower() for w in _PART.findall(own.get("class", ""))))
-        inside = above.inside or tag in LANDMARKS
-        node = Node(tag, f"{above.path}/{tag}{'.' + names if names else ''}", above.dropped or _presentation(tag, own, above.inside), inside)
+        label = f"{tag}.{names}" if names else tag
+        path = above.path if len(above.path) < 400 else f"#{_hash(above.path)}"
+        node = Node(tag, label, f"{path}/{label}", above.dropped or _presentation(tag, own, above.inside), above.inside or tag in LANDMARKS)
         above.parts.append(node)
-        if not found[3].rstrip().endswith("/"):
+        root.below.append(node)
+        if not raw.rstrip().endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
@@ -138,51 +178,50 @@ def _hash(text: str) -> int:
 
 def branches(root: Node, host: str) -> list[tuple[Node, int, int, int]]:
     """Each branch that is not dropped already: its node, and numbers for its place (host and path), its style (the
-    children's labels) and its content."""
+    children's labels) and its content (its texts, and the contents of its children)."""
     out = []
-
-    def walk(node: Node) -> str:
-        texts, style = [], []
-        for part in node.parts:
+    for node in reversed(root.below):  # children before their parents
+        if node.dropped:
+            continue
+        content, style, run = [], [], []
+        for part in [*node.parts, None]:
             if isinstance(part, str):
-                texts.append(part)
+                run.append(part)
+            elif part is BREAK:
+                run.append(" ")
             else:
-                style.append(part.path.rpartition("/")[2])
-                if not part.dropped:
-                    texts.append(walk(part))
-        text = " ".join("".join(texts).split())
-        if node.path and text and node.tag not in ("html", "body"):
-            short = [s for s, before in zip(style, [None, *style]) if s != before]
-            out.append((node, _hash(f"{host}\0{node.path}"), _hash(",".join(short)), _hash(text)))
-        return text
-
-    walk(root)
+                if text := " ".join("".join(run).split()):
+                    content.append(f"t{text}")
+                run.clear()
+                if part is not None:
+                    style.append(part.label)
+                    if part.content is not None and not part.dropped:
+                        content.append(f"c{part.content}")
+        if content:
+            node.content = _hash("\0".join(content))
+            if node.tag not in ("html", "body"):
+                short = [s for s, before in zip(style, [None, *style]) if s != before]
+                out.append((node, _hash(f"{host}\0{node.path}"), _hash(",".join(short)), node.content))
     return out
 
 
 def main_text(root: Node) -> str:
     """The blocks that are left, one a line."""
     blocks: list[str] = []
-
-    def flush(run: list[str]) -> None:
-        for line in "".join(run).split("\0"):
-            if block := " ".join(_html.unescape(line).split()):
-                blocks.append(block)
+    run: list[str] = []
+    stack = [iter(root.parts)]
+    while stack:
+        part = next(stack[-1], None)
+        if isinstance(part, str):
+            run.append(part)
+            continue
+        if run and (block := " ".join(_html.unescape("".join(run).replace("\0", "")).split())):
+            blocks.append(block)
         run.clear()
-
-    def walk(node: Node) -> None:
-        if node.dropped:
-            return
-        run: list[str] = []
-        for part in node.parts:
-            if isinstance(part, str):
-                run.append("\0" if part == "\n" else part.replace("\0", ""))
-            else:
-                flush(run)
-                walk(part)
-        flush(run)
-
-    walk(root)
+        if part is None:
+            stack.pop()
+        elif part is not BREAK and not part.dropped:
+            stack.append(iter(part.parts))
     return "\n".join(blocks)
 
 
@@ -192,8 +231,8 @@ def importance(pages: DataFrame) -> DataFrame:
 
     In a style tree the entropy of a node's contents over the most it could be is the mean, over its pages, of
     1 - log(n) / log(pages): that is `own`, each content's part in it, so that a content is judged and not all that lies
-    at its path. It is mixed with the entropy of the path's styles as the tree's composite importance has it. Equal
-    pages (host and html) count once, and a page counts a style or content once however many nodes have it.
+    at its path. It is mixed with the entropy of the path's styles as the tree's composite importance has it, and, as a
+    mean over pages, with PRIOR pages of importance 1, so that small sites need no rule of their own. Equal pages (host and html) count once, and a page counts a style or content once however many nodes have it.
     """
 
     def run(batches):
@@ -228,15 +267,16 @@ def importance(pages: DataFrame) -> DataFrame:
     sums = sums.select("place", "pages", "inside", presentation.alias("presentation"))
     out = counts.where("kind = 2").select("place", F.col("value").alias("content"), "n").join(sums.where("pages > 1"), "place")
     out = out.withColumn("own", 1 - log(n) / log("pages"))
-    return out.withColumn("importance", 0.1 * F.col("presentation") + 0.9 * F.col("own"))
+    mean = 0.1 * F.col("presentation") + 0.9 * F.col("own")
+    return out.withColumn("importance", (PRIOR + F.col("pages") * mean) / (PRIOR + F.col("pages")))
 
 
-def extract(pages: DataFrame, *, least: float = LEAST, least_pages: int = PAGES, send: int = SEND) -> DataFrame:
+def extract(pages: DataFrame, *, least: float = LEAST, send: int = SEND) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of pages.
 
-    Branches go if their element, role, class or id marks them as presentation, and those whose content the site repeats
-    at the same path (importance below `least`, at a path of `least_pages` different pages at least). A content that one
-    page alone has stays, whatever else lies at its path. An article or main element is a weight in that, no switch:
+    Branches go whose content the site repeats at the same path (importance below `least`; on few pages it is never that
+    low), and those that their element, role, class or id marks as presentation: no entropy saves them, as menus and
+    adverts differ from page to page as well. A content that one page alone has stays, whatever else lies at its path. An article or main element is a weight in that, no switch:
     branches in it go below WITHIN times `least`, and text outside of it is judged like that of any page. The low
     contents of all hosts are sent to the workers while they are at most `send` rows; beyond, each page's own branches
     are joined to them.
@@ -248,7 +288,7 @@ def extract(pages: DataFrame, *, least: float = LEAST, least_pages: int = PAGES,
     spark = session_of(pages)
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     asked = F.when(F.col("inside"), least * WITHIN).otherwise(least)
-    low = stash(importance(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < asked)).select("place", "content"), "low")
+    low = stash(importance(pages).where(F.col("importance") < asked).select("place", "content"), "low")
     few = low.limit(send + 1).collect()
     schema = f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long"
 

@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -66,7 +67,8 @@ def brute(pages, landmark=("article", "main")):
         style = entropy / math.log(sum(sizes)) if sum(sizes) > 1 else 1
         for content, x in own["content"].items():
             if len(x) > 1:
-                out[hx._hash(f"{host}\0{path}"), content] = (n, own["inside"], 0.1 * style + 0.9 * (1 - math.log(len(x)) / math.log(n)))
+                mean = 0.1 * style + 0.9 * (1 - math.log(len(x)) / math.log(n))
+                out[hx._hash(f"{host}\0{path}"), content] = (n, own["inside"], (1 + n * mean) / (1 + n))
     return out
 
 
@@ -110,6 +112,48 @@ def test_html_elements_without_an_end_tag(spark):
     assert [got[i] for i in range(9, 13)] == [""] * 4
 
 
+def test_html_contract_cases(spark):
+    bodies = [
+        ("<p>foo <b>bar</b>\n<i>baz</i></p>", "foo bar baz"),
+        ("<p title=\"foo>bar</p><p>next</p>", "bar\nnext"),
+        ("<article><div class='ad-free'>a</div><p class=legal>b</p><div class='search-engines'>c</div><p title='a hidden gem'>d</p><div class='ad'>e</div><div id='cookie-notice'>f</div></article>", "a\nb\nc\nd"),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        ("a < b <3 c", "a < b <3 c"),
+        ("<p>x<hr>y<br>z", "x\ny z"),
+        ("<p a='1>2' b=\">\">in</p><!-- <p>no</p> --><p>out", "in\nout"),
+        ("<p>end <b", "end <b"),
+        ("<article>" + "<p>t</p>\n" * 2 + "</article>", "t\nt"),
+    ]
+    got = extracted(spark, [(i, f"http://{i}.example/", x) for i, (x, _) in enumerate(bodies)])
+    assert [got[i] for i in range(len(bodies))] == [want for _, want in bodies]
+
+
+def test_html_extra_columns_repeats_and_nulls(spark):
+    rows = [(1, "u", "<p>a</p>", "x", 5), (1, "u", "<p>a</p>", "y", 6), (None, None, "<p>b</p>", None, None), (2, "u", None, "z", 0)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in hx.extract(table).collect()), key=str)
+    assert got == [(1, "a", 1), (1, "a", 1), (2, "", 0), (None, "b", 1)]
+    assert hx.extract(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("odd", ["<a b=\"", "<p", "<svg>", "</x>", "<div>", "<!--", "<p title='x>"])
+def test_html_time_is_linear(odd):
+    def took(n):
+        start = time.process_time()
+        hx.main_text(root := hx.parse(odd * n))
+        hx.branches(root, "h")
+        return time.process_time() - start
+
+    took(100)
+    assert took(80_000) < 40 * max(took(8_000), 0.02)
+
+
+def test_html_tree_decides(spark, monkeypatch):
+    pages = [(i, *x) for i, x in enumerate(site("tree.example", 20, lambda i: f"<div><p>Subscribe to our letters.</p></div><article><p>Own {i}.</p><p>All rights are ours.</p></article>"))]
+    assert set(extracted(spark, pages).values()) == {f"Own {i}." for i in range(20)}
+    assert extracted(spark, pages, least=0.0)[3] == "Subscribe to our letters.\nOwn 3.\nAll rights are ours."
+
+
 DOCS = "doc_id bigint, text string"
 
 
