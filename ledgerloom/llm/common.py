@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,20 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back to the machine: a Python worker serves one stage after another."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit numbers."""
     x = x.astype(np.uint64, copy=True)

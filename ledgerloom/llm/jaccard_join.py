@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix, row_key, small, stash, texts
+from .common import mix, release, row_key, small, stash, texts
 from .packing import groups_of
 
 #: Subset segments of a band against those that pigeonhole needs; top size of the smallest band.
@@ -38,7 +38,7 @@ SLACK, SMALL = 1.6, 8
 #: For the allocation: a candidate costs as much as so many index rows; a passage that strangers share has so many shingles.
 CANDIDATE, PASSAGE = 100, 64
 #: Bytes of text that a worker turns into sets at once.
-PIECE = 4_000_000
+PIECE = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -253,6 +253,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, sim: Similarity) ->
                 common = np.array([len(np.intersect1d(values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]], assume_unique=True)) for i, j in zip(left.tolist(), right.tolist(), strict=True)], np.int64)
                 n, m = size[left], size[right]
                 yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(n + m - 2 * common), pa.array(sim.linked(common, n, m))], ["a", "b", "apart", "linked"])
+            release()
 
     return both.select("a", "b", "x", "y", "size").mapInArrow(run, "a long, b long, apart long, linked boolean")
 

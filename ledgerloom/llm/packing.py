@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, texts
+from .common import release, stash, texts
 from .tokens import word_ids
 
 #: Texts are encoded in groups of so many characters, which bounds a worker's memory.
@@ -29,6 +29,7 @@ def groups_of(batch: pa.RecordBatch, name: str = "text", most: int = GROUP_CHARS
         total += n
     if at < len(batch):
         yield batch.slice(at)
+    release()
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:

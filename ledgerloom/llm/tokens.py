@@ -17,7 +17,9 @@ SAFE = re.compile(r"[\t\n\r -~\xa1-\xac\xae-\xff]*")
 #: A blank beside other white space: the split at blanks does not give the library's words.
 ODD = re.compile(r" [ \t\n\r]|[\t\n\r] ")
 #: Words that a worker remembers for good; those beyond are asked for anew in every group of texts.
-MEMO = 500_000
+MEMO = 250_000
+#: Words that the library is asked for at once.
+ASK = 20_000
 #: A mark after letters is a word of its own to either kind of tokenizer here.
 TAILS = ".,;:!?"
 
@@ -43,7 +45,8 @@ class _Memo(dict):
         ends = [w for w in missing if w[-1:] in TAILS and w[:-1].isalpha()] if self.tails else []
         need = list(set(missing).difference(ends) | {c for w in ends if (c := w[:-1]) not in self})
         full = len(self) > MEMO
-        self.update(zip(need, ask(need), strict=True))
+        for i in range(0, len(need), ASK):
+            self.update(zip(need[i : i + ASK], ask(need[i : i + ASK]), strict=True))
         self.update((w, self[w[:-1]] + self.tails[w[-1]]) for w in ends)
         return [*need, *ends] if full else []
 
