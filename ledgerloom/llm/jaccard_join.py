@@ -13,7 +13,8 @@ d + 1 together.
 
 Documents near the top of a band are indexed in the next band as well. Equal sets are one node from the start. The nodes
 of a bucket are compared with its lead, the node that shares most buckets. Only where a bucket then lies in several
-components are its nodes compared across these, after two bounds have shown most of them to be apart (`_apart`).
+components are its nodes compared across these, where a bound leaves a link possible (`_apart`); nodes that can have no
+link at all go before anything is compared (`_living`).
 Verification is exact: it compares the words of both texts.
 """
 
@@ -294,26 +295,31 @@ def _own(nodes: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
-def _apart(rows: DataFrame, home: DataFrame, sizes: DataFrame, sets: DataFrame, width: int, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket, lie in two components and may link for all that two bounds say.
-
-    Shingles that a node alone has count in its symmetric difference to any other, so a node with more of them than a
-    link allows links with none and goes; twice, as those that stay then have more of their own. Where two nodes have
-    been compared with one lead, what they differ by is the symmetric difference of their differences to the lead: these
-    have their own shingles apart, and the rest of one covers that of the other at best. With far the difference of a
-    node to the lead, own its own shingles and near = far - 2 own, a link of a and b needs far(a) - near(b) and
-    far(b) - near(a) within what it allows, so nodes of one lead meet by ranges of near, once each, instead of in buckets.
+def _living(shared: DataFrame, sizes: DataFrame, sets: DataFrame, width: int, sim: Similarity) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, node) of shared that may matter, and their nodes with n and own: a node with more shingles of its
+    own than a link allows links with none. Twice, as those that stay then have more of their own."""
+    for _ in range(2):
+        nodes = shared.select("node").distinct().join(sizes, "node")
+        nodes = nodes.join(_own(nodes, sets, width), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        nodes = stash(nodes.where(F.col("own") * sim.den <= (sim.den - sim.num) * F.col("n")), "nodes")
+        live = shared.join(nodes.select("node"), "node", "left_semi")
+        several = live.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+        shared = stash(live.join(several, "key"), "shared")
+    return shared, nodes
+
+
+def _apart(rows: DataFrame, home: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, lie in two components and may link for all that a bound says.
+
+    Shingles that a node alone has count in its symmetric difference to any other. Where two nodes have been compared
+    with one lead, what they differ by is the symmetric difference of their differences to the lead: these have their
+    own shingles apart, and the rest of one covers that of the other at best. With far the difference of a node to the
+    lead, own its own shingles and near = far - 2 own, a link of a and b needs far(a) - near(b) and far(b) - near(a)
+    within what it allows, so nodes of one lead meet by ranges of near, once each, instead of in buckets.
     """
     open_ = stash(rows, "open")
-    named = open_.select("node").distinct().join(home.select(F.col("b").alias("node"), F.col("a").alias("lead"), "apart"), "node", "left")
-    nodes = stash(named.join(sizes, "node").join(sizes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n")), "lead", "left"), "nodes")
-    for _ in range(2):
-        own = _own(nodes.select("node").unionByName(nodes.where("lead is not null").select(F.col("lead").alias("node"))), sets, width)
-        nodes = nodes.drop("own").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-        nodes = nodes.where(F.col("own") * sim.den <= (sim.den - sim.num) * F.col("n"))
-        live = open_.join(nodes.select("node"), "node", "left_semi")
-        open_ = stash(live.join(live.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "key"), "open")
-        nodes = stash(nodes.join(open_.groupBy("node").agg(F.min("comp").alias("comp")), "node") if "comp" not in nodes.columns else nodes.join(open_.select("node").distinct(), "node", "left_semi"), "nodes")
+    named = open_.select("node", "comp").distinct().join(home.select(F.col("b").alias("node"), F.col("a").alias("lead"), "apart"), "node", "left")
+    nodes = stash(named.join(nodes, "node").join(nodes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n")), "lead", "left"), "nodes")
 
     def side(table: DataFrame, p: str, *keep: str) -> DataFrame:
         return table.select(*keep, *(F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "lead", "own", "far", "near")))
@@ -356,10 +362,6 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, sim: Similarity = Similarit
         clashing |= {r.node for r in several}
 
     shared = stash(_shared(_index(docs, width, sim, clashing)), "shared")
-    weight = shared.groupBy("node").agg((-F.count(F.lit(1))).alias("w"))
-    lead = shared.join(weight, "node").groupBy("key").agg(F.min(F.struct("w", "node")).alias("x")).select("key", F.col("x.node").alias("lead"))
-    counted = stash(shared.join(lead, "key").where("node <> lead").groupBy("node", "lead").count(), "pairs")
-
     sizes = nodes.select("node", "n")
     wanted = stash(shared.select("node").distinct().join(nodes, "node").select("node", "row"), "wanted")
     # A row of each node, by a key that a null doc_id has too; of rows with the same key by chance, one of the node.
@@ -373,6 +375,12 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, sim: Similarity = Similarit
 
     sets = stash(some.mapInArrow(named, "node long, text string").dropDuplicates(["node"]), "texts")
 
+    # Strangers that share a passage go here, before anything is compared.
+    shared, living = _living(shared, sizes, sets, width, sim)
+    weight = shared.groupBy("node").agg((-F.count(F.lit(1))).alias("w"))
+    lead = shared.join(weight, "node").groupBy("key").agg(F.min(F.struct("w", "node")).alias("x")).select("key", F.col("x.node").alias("lead"))
+    counted = stash(shared.join(lead, "key").where("node <> lead").groupBy("node", "lead").count(), "pairs")
+
     # Each node first with the lead that it shares most keys with, then with its other leads, where still apart.
     top = counted.groupBy("node").agg(F.max(F.struct("count", "lead")).alias("top")).select(F.col("top.lead").alias("a"), F.col("node").alias("b"))
     home = stash(_verified(top, sets, width, sim), "links")
@@ -393,7 +401,7 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, sim: Similarity = Similarit
         comps = components(links)
     done = home.select("a", "b").unionByName(second.select("a", "b"))
     done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = stash(_apart(_several(shared, comps), home, sizes, sets, width, sim).join(done, ["a", "b"], "left_anti"), "pairs")
+    pairs = stash(_apart(_several(shared, comps), home, living, sim).join(done, ["a", "b"], "left_anti"), "pairs")
     third = stash(_verified(pairs, sets, width, sim).where("linked"), "links")
     if third.limit(1).count():
         comps = components(links.unionByName(third))
