@@ -18,6 +18,8 @@ ROW_LIMIT, SUMMARY_ROWS, MERCHANTS_LISTED, SECONDS = 500, 50, 150, 3.0
 #: Plan nodes that may stand over the one SELECT, and nodes that are one.
 OVER = {"Sort", "GlobalLimit", "LocalLimit", "Offset", "UnresolvedHaving", "UnresolvedWith", "Distinct", "SubqueryAlias", "WithWindowDefinition"}
 SELECTS = {"Project", "Aggregate"}
+#: What a plan may read besides the views, once analysed: nothing at all, literal rows, and its own WITH.
+LEAVES = {"OneRowRelation", "LocalRelation", "CTERelationRef"}
 #: Expressions that reach files or the JVM, and plan nodes that call table functions by name.
 BARRED = {"CallMethodViaReflection", "TryReflect", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "PythonUDF", "ScalaUDF"}
 
@@ -53,6 +55,18 @@ def _nodes(plan) -> Iterator:
         yield from _nodes(sub)
 
 
+def _reads(plan) -> Iterator:
+    """What an analysed plan reads: the views by name, without looking into them, and the kinds of all other leaves."""
+    if _name(plan) == "View":
+        yield True, plan.desc().identifier().table().lower()
+        return
+    below = [*_each(plan.children()), *_each(plan.subqueries())]
+    if not plan.children().size():
+        yield False, _name(plan)
+    for node in below:
+        yield from _reads(node)
+
+
 def _expressions(node) -> Iterator:
     def under(e):
         yield e
@@ -84,11 +98,14 @@ def check(spark: SparkSession, sql: str, views: tuple[str, ...]) -> str:
             allowed |= {pair._1().lower() for pair in _each(node.cteRelations())}
     for node in _nodes(plan):
         kind = _name(node)
-        if kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases") or kind.endswith("Command") or kind.startswith("Insert"):
+        if kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "PlanWithUnresolvedIdentifier") or kind.endswith("Command") or kind.startswith("Insert"):
             raise Refused(f"{kind} is not allowed")
         if kind == "UnresolvedRelation" and node.tableName().replace("`", "").lower() not in allowed:
             raise Refused(f"unknown table {node.tableName()}")
     analysed = spark.sql(sql)._jdf.queryExecution().analyzed()
+    for is_view, name in _reads(analysed):
+        if name not in ({v.lower() for v in views} if is_view else LEAVES):
+            raise Refused(f"{name} is not one of the views")
     for node in _nodes(analysed):
         for e in _expressions(node):
             if _name(e) in BARRED:

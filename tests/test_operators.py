@@ -212,6 +212,8 @@ def test_guard_accepts(spark, sql):
 @pytest.mark.parametrize("sql", [
     "DROP TABLE transactions", "SELECT 1; SELECT 2", "(SELECT 1)", "SELECT 1 UNION SELECT 2", "VALUES (1)", "SET x = 1", "SHOW TABLES", "INSERT INTO transactions VALUES (1)", "", "hello",
     "SELECT * FROM parquet.`/root/testdata`", "SELECT * FROM secrets", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT input_file_name() FROM accounts", "SELECT * FROM accounts WHERE id IN (SELECT id FROM other)", "SELECT * FROM range(5)",
+    "SELECT * FROM IDENTIFIER('other')", "SELECT * FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/region.parquet`')", "SELECT id FROM accounts WHERE id IN (SELECT id FROM IDENTIFIER('other'))",
+    "WITH t AS (SELECT * FROM IDENTIFIER('other')) SELECT * FROM t", "SELECT (SELECT max(id) FROM IDENTIFIER('other')) AS x",
 ])
 def test_guard_refuses(spark, sql):
     _views(spark)
