@@ -115,11 +115,13 @@ def secret_scan(docs: DataFrame, *, ledger: str | None = None, rules: tuple[Rule
         stash(scan(versions, old, rules), "ledger").write.mode("append").parquet(ledger)
         rows = spark.read.parquet(ledger)
     ids = [r.id for r in rules]
-    kinds = [r.kind for r in rules]
     with_any = rows.where("size(found) > 0 ").where(F.arrays_overlap("rules", F.array(*map(F.lit, ids))))
     if ledger is not None:  # findings of one blob may lie in several rows of the ledger
-        one = F.flatten(F.collect_list("found"))
-        with_any = with_any.groupBy("blob").agg(F.array_sort(F.array_distinct(F.filter(one, lambda x: x["kind"].isin(kinds)))).alias("found"))
+        # A row's findings of a kind are those of the version that the row was scanned for: only a current one counts.
+        current = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.id)))
+        own = F.filter("found", lambda x: F.coalesce(F.array_contains("rules", F.try_element_at(current, x["kind"])), F.lit(False)))
+        one = F.flatten(F.collect_list(own))
+        with_any = with_any.groupBy("blob").agg(F.array_sort(F.array_distinct(one)).alias("found"))
     return docs.select(*paths, F.sha2("text", 256).alias("blob")).join(with_any.select("blob", "found"), "blob", "left").select(*paths, "blob", F.coalesce("found", F.array().cast(FINDING)).alias("found"))
 
 

@@ -284,3 +284,11 @@ def test_odd_rows_and_empty_tables(spark):
         assert run(table).count() == n
         assert run(table.limit(0)).count() == 0
     assert runs[-1](table).count() >= n and runs[-1](table.limit(0)).count() == 0
+
+
+def test_secret_ledger_keeps_versions_of_a_rule_apart(spark, tmp_path):
+    old, new = secrets.Rule("x", 1, "a+", 0, 1), secrets.Rule("x", 2, "b+", 0, 1)
+    table, ledger = docs(spark, [(1, "aa bb"), (2, "aa"), (3, None)]), f"file://{tmp_path}/ledger"
+    for rule, want in ((old, {1: [(0, 2)], 2: [(0, 2)], 3: []}), (new, {1: [(3, 5)], 2: [], 3: []}), (old, {1: [(0, 2)], 2: [(0, 2)], 3: []})):
+        got = {r.doc_id: [(f.start, f.stop) for f in r.found] for r in secrets.secret_scan(table, ledger=ledger, rules=(rule,)).collect()}
+        assert got == want
