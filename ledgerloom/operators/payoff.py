@@ -28,28 +28,38 @@ def payment_for(balance: Column, apr: Column, months: int) -> Column:
     return F.ceil(exact * 100) / 100
 
 
-def payoff(balance: Column, apr: Column, payment: Column) -> Column:
-    """months, total_interest and series (the balance after each month), or null where the payment does not clear the
+def payoff(balance: Column, apr: Column, payment: Column, *, series: bool = True) -> Column:
+    """months, total_interest and, if asked for, series (the balance after each month), or null where the payment does not clear the
     balance within 600 months or not even its first interest. Nothing owed takes no months."""
     r = monthly_rate(apr)
-    start = F.struct(balance.alias("left"), F.lit(0.0).alias("interest"), F.array().cast(POINTS).alias("series"))
 
-    def month(state: Column, n: Column) -> Column:
+    def after(left: Column, interest: Column) -> Column:
+        return F.greatest(F.lit(0.0), py_round(left + interest - payment))
+
+    def month(state: Column, _: Column) -> Column:
         interest = py_round(state["left"] * r)
-        left = F.greatest(F.lit(0.0), py_round(state["left"] + interest - payment))
-        after = F.struct(
-            left.alias("left"), (state["interest"] + interest).alias("interest"),
-            F.concat(state["series"], F.array(F.struct(n.alias("month"), left.alias("balance")))).alias("series"),
-        )
-        return F.when(state["left"] > 0, after).otherwise(state)
+        paid = F.struct(after(state["left"], interest).alias("left"), (state["interest"] + interest).alias("interest"), (state["months"] + 1).alias("months"))
+        return F.when(state["left"] > 0, paid).otherwise(state)
+
+    def point(state: Column, n: Column) -> Column:
+        left = after(state["left"], py_round(state["left"] * r))
+        return F.struct(left.alias("left"), F.concat(state["series"], F.array(F.struct(n.alias("month"), left.alias("balance")))).alias("series"))
+
+    run = F.aggregate(F.sequence(F.lit(1), F.lit(MONTHS)), F.struct(balance.alias("left"), F.lit(0.0).alias("interest"), F.lit(0).alias("months")), month)
+    none = F.array().cast(POINTS)
+
+    def plan(s: Column) -> Column:
+        fields = [s["months"].alias("months"), py_round(s["interest"]).alias("total_interest")]
+        if series:  # the months are known by now, so that no longer array is copied than the plan has
+            start = F.struct(balance.alias("left"), none.alias("series"))
+            fields.append(F.aggregate(F.sequence(F.lit(1), s["months"]), start, point, lambda p: p["series"]).alias("series"))
+        return F.when(s["left"] <= 0, F.struct(*fields))
 
-    run = F.aggregate(F.sequence(F.lit(1), F.lit(MONTHS)), start, month)
-    done = F.transform(F.array(run), lambda s: F.when(s["left"] <= 0, F.struct(F.size(s["series"]).alias("months"), py_round(s["interest"]).alias("total_interest"), s["series"].alias("series"))))
-    nothing = F.struct(F.lit(0).alias("months"), F.lit(0.0).alias("total_interest"), F.array().cast(POINTS).alias("series"))
-    return F.when(balance <= 0, nothing).when((payment > 0) & (apr >= 0) & (payment > py_round(balance * r)), F.get(done, F.lit(0)))
+    nothing = F.struct(F.lit(0).alias("months"), F.lit(0.0).alias("total_interest"), *([none.alias("series")] if series else []))
+    return F.when(balance <= 0, nothing).when((payment > 0) & (apr >= 0) & (payment > py_round(balance * r)), F.get(F.transform(F.array(run), plan), F.lit(0)))
 
 
-def scenarios(balance: Column, apr: Column) -> Column:
+def scenarios(balance: Column, apr: Column, *, series: bool = True) -> Column:
     """An array of monthly_payment, label and plan, by payment: the minimum, clear in 36 months, a hundred over the
     minimum, clear in 12 months. One within a dollar of an earlier one, or that never clears, is left out."""
     least = minimum_payment(balance, apr)
@@ -59,7 +69,7 @@ def scenarios(balance: Column, apr: Column) -> Column:
         F.struct(py_round(least + EXTRA).alias("payment"), F.lit("minimum plus 100").alias("label")),
         F.struct(payment_for(balance, apr, TARGETS[1]).alias("payment"), F.lit("12 months").alias("label")),
     )
-    runs = F.transform(wanted, lambda w: F.struct(w["payment"].alias("monthly_payment"), w["label"].alias("label"), payoff(balance, apr, w["payment"]).alias("plan")))
+    runs = F.transform(wanted, lambda w: F.struct(w["payment"].alias("monthly_payment"), w["label"].alias("label"), payoff(balance, apr, w["payment"], series=series).alias("plan")))
     clears = F.filter(runs, lambda w: w["plan"].isNotNull())
 
     def accept(kept: Column, w: Column) -> Column:
@@ -69,12 +79,12 @@ def scenarios(balance: Column, apr: Column) -> Column:
     return F.array_sort(F.aggregate(clears, F.filter(clears, lambda w: F.lit(False)), accept))
 
 
-def payoff_table(debts: DataFrame) -> DataFrame:
+def payoff_table(debts: DataFrame, *, series: bool = True) -> DataFrame:
     """The columns of debts (with balance and apr) and one row a scenario: label, monthly_payment, months,
-    total_interest, series. Rows without a rate, or that owe nothing, have none."""
+    total_interest, and series if asked for. Rows without a rate, or that owe nothing, have none."""
     b, apr = F.col("balance"), F.col("apr")
-    each = debts.where((b > 0) & (apr >= 0)).select("*", F.explode(scenarios(b, apr)).alias("_s"))
-    return each.select(*debts.columns, "_s.label", "_s.monthly_payment", "_s.plan.months", "_s.plan.total_interest", "_s.plan.series")
+    each = debts.where((b > 0) & (apr >= 0)).select("*", F.explode(scenarios(b, apr, series=series)).alias("_s"))
+    return each.select(*debts.columns, "_s.label", "_s.monthly_payment", "_s.plan.months", "_s.plan.total_interest", *(["_s.plan.series"] if series else []))
 
 
 def series_by_month(table: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,11 @@ def eligible(txns: DataFrame) -> DataFrame:
     )
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, where x is computed once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
@@ -37,23 +42,29 @@ def _mean(xs: Column) -> Column:
 
 
 def _pstdev(xs: Column) -> Column:
-    mean = _mean(xs)
-    return F.sqrt(_sum(F.transform(xs, lambda x: (x - mean) * (x - mean))) / F.size(xs))
+    def around(v: Column) -> Column:
+        squares = _let(_mean(v), lambda mean: _sum(F.transform(v, lambda x: (x - mean) * (x - mean))))
+        return F.sqrt(squares / F.size(v))
+
+    return _let(xs, around)
 
 
 def _median(xs: Column) -> Column:
-    up, n = F.sort_array(xs), F.size(xs)
-    return (F.get(up, F.floor((n - 1) / 2).cast("int")) + F.get(up, F.floor(n / 2).cast("int"))) / 2
+    return _let(F.sort_array(xs), lambda up: (F.get(up, F.floor((F.size(up) - 1) / 2).cast("int")) + F.get(up, F.floor(F.size(up) / 2).cast("int"))) / 2)
 
 
-def _fit(gaps: Column, cadence: int) -> Column:
+def _fit(gaps: Column, cadence: Column) -> Column:
     """(payments missed, unsteadiness, cadence) of the gaps; null where they do not keep the cadence."""
-    periods = F.transform(gaps, lambda g: F.greatest(F.lit(1.0), F.bround(g / cadence)))
-    each = F.zip_with(gaps, periods, lambda g, p: g / p)
-    near = F.forall(each, lambda g: F.abs(g - cadence) <= TOLERANCE * cadence)
-    ratio = _pstdev(each) / _median(each)
-    fits = F.forall(periods, lambda p: p <= MOST_PERIODS) & near & (ratio < GAPS_STEADY)
-    return F.when(fits, F.struct(_sum(F.transform(periods, lambda p: p - 1)).alias("missed"), ratio.alias("ratio"), F.lit(cadence).alias("cadence")))
+
+    def judged(periods: Column) -> Column:
+        def steady(each: Column) -> Column:
+            near = F.forall(each, lambda g: F.abs(g - cadence) <= TOLERANCE * cadence) & F.forall(periods, lambda p: p <= MOST_PERIODS)
+            missed = _sum(F.transform(periods, lambda p: p - 1))
+            return F.when(near, _let(_pstdev(each) / _median(each), lambda ratio: F.when(ratio < GAPS_STEADY, F.struct(missed.alias("missed"), ratio.alias("ratio"), cadence.alias("cadence")))))
+
+        return _let(F.zip_with(gaps, periods, lambda g, p: g / p), steady)
+
+    return _let(F.transform(gaps, lambda g: F.greatest(F.lit(1.0), F.bround(g / cadence))), judged)
 
 
 def merchant_series(txns: DataFrame) -> DataFrame:
@@ -64,10 +75,9 @@ def merchant_series(txns: DataFrame) -> DataFrame:
     share of the rows.
     """
     daily = eligible(txns).groupBy("merchant", "date").agg(F.count("*").alias("_n"), F.first(F.struct("amount", "account_id", "category")).alias("_row"))
-    steps = daily.groupBy("merchant").agg(F.max("_n").alias("_most"), F.count("*").alias("_days"))
-    singles = steps.where((F.col("_most") == 1) & (F.col("_days") >= LEAST_ROWS)).select("merchant")
-    series = daily.join(singles, "merchant", "left_semi").groupBy("merchant")
-    return series.agg(F.array_sort(F.collect_list(F.struct("date", "_row.amount", "_row.account_id", "_row.category"))).alias("rows"))
+    days = F.collect_list(F.struct("date", "_row.amount", "_row.account_id", "_row.category"))
+    series = daily.groupBy("merchant").agg(F.max("_n").alias("_most"), days.alias("rows"))
+    return series.where((F.col("_most") == 1) & (F.size("rows") >= LEAST_ROWS)).select("merchant", F.array_sort("rows").alias("rows"))
 
 
 def _first_mode(categories: Column) -> Column:
@@ -88,7 +98,7 @@ def find_recurring(txns: DataFrame, natures: DataFrame | None = None) -> DataFra
     rows = F.col("rows")
     charges = F.transform(rows, lambda r: -r["amount"])
     gaps = F.transform(F.sequence(F.lit(1), F.size(rows) - 1), lambda i: F.datediff(F.get(rows, i)["date"], F.get(rows, i - 1)["date"]).cast("double"))
-    fits = reduce(lambda a, b: F.concat(a, b), [F.array(_fit(F.col("gaps"), c)) for c in PER_YEAR])
+    fits = F.transform(F.array(*map(F.lit, PER_YEAR)), lambda c: _fit(F.col("gaps"), c))
     found = merchant_series(txns).withColumn("gaps", gaps).withColumn("charges", charges)
     found = found.withColumn("fit", F.array_min(F.array_compact(fits))).where(F.col("fit").isNotNull())
     cadence, charges, last = F.col("fit.cadence"), F.col("charges"), F.element_at(rows, -1)
