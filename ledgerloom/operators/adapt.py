@@ -13,7 +13,8 @@ from ledgerloom.sources import statements as st
 
 def exploded(parsed: DataFrame) -> DataFrame:
     """parsed (statement_id, v) with one row each element of its list: pos from 0, and r; elements that are no objects go."""
-    return parsed.select("*", F.posexplode(st.rows_of(F.col("v"))).alias("pos", "r")).where(F.schema_of_variant("r").startswith("OBJECT"))
+    rows = parsed.select("*", F.posexplode(st.rows_of(F.col("v"))).alias("pos", "r")).where(F.schema_of_variant("r").startswith("OBJECT"))
+    return rows.withColumn("r", st.lower_keys(F.col("r")))
 
 
 def adapt_rows(parsed: DataFrame) -> DataFrame:

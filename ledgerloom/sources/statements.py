@@ -37,6 +37,16 @@ PERIOD_END = ("end", "end_date", "to", "finish", "ending")
 WRAPPERS = ("statement", "data", "result", "extracted_data")
 
 
+def lower_keys(v: Column) -> Column:
+    """An object with its keys trimmed and in lower case; of several that become one, that which sorts last (the one in
+    lower case) counts. Anything else as it is."""
+    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    plain = F.coalesce(F.forall(entries, lambda e: e["key"] == F.lower(F.trim(e["key"]))), F.lit(True))
+    keys = F.array_distinct(F.transform(entries, lambda e: F.lower(F.trim(e["key"]))))
+    values = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: F.lower(F.trim(e["key"])) == k), -1)["value"])
+    return F.when(plain, v).otherwise(F.to_variant_object(F.map_from_arrays(keys, values)))
+
+
 def field(v: Column, names: tuple[str, ...], kind: str = "string") -> Column:
     """The first of the fields that is there and not blank."""
     found = [F.try_variant_get(v, f"$.{n}", kind) for n in names]
@@ -53,7 +63,7 @@ def parse(documents: DataFrame, *, text: str = "json") -> tuple[DataFrame, DataF
     """(good, failures): the documents with `v`, the parsed object; and those that are empty, too large, no JSON, or hold
     no list of transactions, with `reason`."""
     size, v = F.octet_length(text), F.col("v")
-    parsed = documents.withColumn("v", F.when(size <= LARGEST, F.try_parse_json(text)))
+    parsed = documents.withColumn("v", F.when(size <= LARGEST, F.try_parse_json(text))).withColumn("v", lower_keys(v))
     listed = F.coalesce(*(F.try_variant_get(v, f"$.{n}", "array<variant>") for n in LISTS))
     reason = (
         F.when(F.col(text).isNull() | (F.trim(text) == ""), "empty").when(size > LARGEST, "too large").when(v.isNull(), "no JSON")
@@ -64,15 +74,16 @@ def parse(documents: DataFrame, *, text: str = "json") -> tuple[DataFrame, DataF
 
 
 def pages(documents: DataFrame, *, list_as: str = "auto", text: str = "json") -> DataFrame:
-    """Documents that are lists, or wrap their object, as one row an element: `page` and `v`. As `pages` the elements are
+    """Documents that are lists, or wrap an object that has a list of rows, as one row an element: `page` and `v`. As `pages` the elements are
     one statement's, as `statements` each is its own; `auto` says statements where the elements name different accounts.
     The column `unit` numbers the statements of a document."""
     if list_as not in ("auto", "pages", "statements"):
         raise ValueError("list_as must be auto, pages or statements")
     v = F.try_parse_json(text)
     items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
-    unwrapped = F.coalesce(*(F.when(F.schema_of_variant(F.try_variant_get(F.col("e"), f"$.{w}", "variant")).startswith("OBJECT"), F.try_variant_get(F.col("e"), f"$.{w}", "variant")) for w in WRAPPERS), F.col("e"))
-    rows = documents.select("*", F.posexplode(items).alias("page", "e")).where(F.schema_of_variant("e").startswith("OBJECT")).withColumn("v", unwrapped).drop("e")
+    rows = documents.select("*", F.posexplode(items).alias("page", "e")).where(F.schema_of_variant("e").startswith("OBJECT")).withColumn("e", lower_keys(F.col("e")))
+    rows = rows.withColumns({f"_{w}": lower_keys(F.try_variant_get("e", f"$.{w}", "variant")) for w in WRAPPERS})
+    rows = rows.withColumn("v", F.coalesce(*(F.when(rows_of(F.col(f"_{w}")).isNotNull(), F.col(f"_{w}")) for w in WRAPPERS), F.col("e"))).drop("e", *(f"_{w}" for w in WRAPPERS))
     if list_as != "auto":
         return rows.withColumn("unit", F.lit(0) if list_as == "pages" else F.col("page"))
     key = [c for c in documents.columns if c != text]
@@ -84,7 +95,7 @@ def pages(documents: DataFrame, *, list_as: str = "auto", text: str = "json") ->
 def header(v: Column) -> dict[str, Column]:
     """The head's fields as text, under their canonical names; the period may be an object or `X to Y`."""
     out = {name: field(v, names) for name, names in HEADER.items()}
-    boxes = [F.try_variant_get(v, f"$.{p}", "variant") for p in PERIODS]
+    boxes = [lower_keys(F.try_variant_get(v, f"$.{p}", "variant")) for p in PERIODS]
     spoken = F.coalesce(*(F.try_variant_get(v, f"$.{p}", "string") for p in PERIODS))
     halves = F.split(spoken, r"\s+(?:to|through|-|–|—)\s+")
     for name, keys, i in (("statement_period_start", PERIOD_START, 0), ("statement_period_end", PERIOD_END, 1)):
