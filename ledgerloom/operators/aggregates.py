@@ -81,6 +81,29 @@ def recent(txns: DataFrame, limit: int = 100, category: str | None = None, accou
     return txns.orderBy(F.desc("date"), "id").limit(limit)
 
 
+def page_total(txns: DataFrame, category: str | None = None, account_id: str | None = None) -> DataFrame:
+    """How many transactions the filters of `recent` leave, whatever the size of the page: one row, total."""
+    for name, wanted in (("category", category), ("account_id", account_id)):
+        if wanted is not None:
+            txns = txns.where(F.col(name) == F.lit(wanted))
+    return txns.agg(F.count("*").alias("total"))
+
+
+def top_categories(by_category: DataFrame, most: int = 8) -> DataFrame:
+    """The dearest categories, by name among equals: what a chart has room for."""
+    return by_category.orderBy(F.desc("amount"), "category").limit(most)
+
+
+def month_over_month(by_month: DataFrame) -> DataFrame:
+    """by_month (month as yyyy-MM, amount) with the amount of the calendar month before, the change, and the change in
+    percent; null where that month has no spending."""
+    following = F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM")
+    before = by_month.select(following.alias("month"), F.col("amount").alias("previous"))
+    change = F.col("amount") - F.col("previous")
+    pct = F.when(F.col("previous") != 0, py_round(change / F.col("previous") * 100, 1))
+    return by_month.join(before, "month", "left").select("month", "amount", "previous", py_round(change).alias("change"), pct.alias("change_pct"))
+
+
 def distinct_merchants(txns: DataFrame) -> DataFrame:
     return txns.where(F.col("merchant").isNotNull()).select("merchant").distinct()
 

@@ -83,6 +83,25 @@ def coverage(categorized: DataFrame) -> DataFrame:
     return layers.select("layer", "rows", py_round(F.col("rows") * 100.0 / F.sum("rows").over(Window.partitionBy()), 1).alias("share_pct"))
 
 
+def descriptions_to_ask(txns: DataFrame, aliases: DataFrame) -> DataFrame:
+    """description, trimmed and once each, for those that aliases (raw_description) have no row for, not even one that
+    found no merchant: what an enrichment is still to be asked for."""
+    wanted = txns.select(F.trim("description").alias("description")).where("description != ''").distinct()
+    return wanted.join(aliases.select(F.col("raw_description").alias("description")).distinct(), "description", "left_anti")
+
+
+def learn_aliases(aliases: DataFrame, answers: DataFrame) -> DataFrame:
+    """aliases (raw_description, merchant, category, confidence, source) and the answers (also with error) for
+    descriptions that they lack. A failed call is no answer and is left out; an answer without a merchant is kept, so
+    that nobody asks again. Of several answers to one description the surest counts."""
+    best = F.max_by(F.struct("merchant", "category", "confidence"), F.struct(F.col("confidence"), F.col("merchant"), F.col("category"))).alias("a")
+    given = answers.where("error IS NULL").join(aliases.select("raw_description"), "raw_description", "left_anti").groupBy("raw_description").agg(best)
+    merchant = F.coalesce("a.merchant", F.lit(""))
+    source = F.when(merchant == "", "nomerchant").otherwise("enrichment")
+    new = given.select("raw_description", merchant.alias("merchant"), F.coalesce("a.category", F.lit("")).alias("category"), F.coalesce(F.col("a.confidence").cast("string"), F.lit("")).alias("confidence"), source.alias("source"))
+    return aliases.select(*new.columns).unionByName(new)
+
+
 def build_dictionary(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merchant, category: the first by pos) and the merchants that were given several categories."""
     both = rows.select(F.explode(F.array_distinct(F.array("merchant", merchant_key(F.col("merchant"))))).alias("merchant"), "category", "pos")

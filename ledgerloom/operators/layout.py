@@ -77,6 +77,47 @@ def header_row(words: DataFrame, key: str = "page") -> DataFrame:
     return scored.where("score >= 3").groupBy(key).agg(F.max_by("row", F.struct("score", -F.col("row"))).alias("row"))
 
 
+def headings(words: DataFrame, head: DataFrame, key: str = "page") -> DataFrame:
+    """key, role, x1 and x2 of the headings in the header rows that header_row found; the leftmost, were one to repeat."""
+    role = F
+    for name, pattern in HEADINGS.items():
+        role = role.when(F.lower("text").rlike(f"^(?:{pattern})$"), name)
+    found = words.join(head, [key, "row"], "left_semi").withColumn("role", role).where(F.col("role").isNotNull())
+    return found.groupBy(key, "role").agg(F.min("x1").alias("x1"), F.min_by("x2", "x1").alias("x2"))
+
+
+#: Fields with amounts, from the left; how many columns' reaches a heading stands for.
+MONEY, UNDER = ("withdrawal", "deposit", "balance"), 1.5
+
+
+def recover_columns(words: DataFrame, found: DataFrame, heads: DataFrame, key: str = "page") -> DataFrame:
+    """found (key, column, edge) and the columns of one amount alone, which make no cluster: a heading of money without
+    a column near its right edge, but with amounts below it, gives one at their mean. Columns are numbered anew."""
+    near = UNDER * COLUMN_REACH
+    money = heads.where(F.col("role").isin(*MONEY)).select(key, "role", F.col("x2").alias("_right"))
+    amounts = words.where(is_currency(F.col("text"))).select(key, "width", F.col("x2").alias("_x2"))
+    under = amounts.join(money, key).where(F.abs(F.col("_x2") - F.col("_right")) <= near * F.col("width"))
+    edges = under.groupBy(key, "role").agg(F.avg("_x2").alias("edge"), F.first("_right").alias("_right"), F.first("width").alias("width"))
+    old = found.select(key, F.col("edge").alias("_edge"))
+    lone = edges.join(old, (edges[key] == old[key]) & (F.abs(F.col("_edge") - F.col("_right")) <= near * F.col("width")), "left_anti")
+    every = found.select(key, "edge").unionByName(lone.select(key, "edge"))
+    return every.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("edge")) - 1).alias("column"), "edge")
+
+
+def column_labels(count: Column, roles: Column) -> Column:
+    """What so many columns of amounts hold, from the left, given the headings of money that were read, from the left:
+    the headings if there are as many; else withdrawal, deposit and balance at the right; two are one of them and the
+    balance; one is an amount, or the balance if only that has a heading."""
+    fixed = lambda *names: F.array(*map(F.lit, names))
+    has = lambda name: F.array_contains(roles, name)
+    return (
+        F.when(count == 0, F.array().cast("array<string>")).when(F.size(roles) == count, roles)
+        .when(count >= 3, F.concat(F.array_repeat(F.lit("amount"), (count - 3).cast("int")), fixed(*MONEY)))
+        .when(count == 2, F.when(has("withdrawal"), fixed("withdrawal", "balance")).when(has("deposit"), fixed("deposit", "balance")).otherwise(fixed("amount", "balance")))
+        .when(has("balance"), fixed("balance")).otherwise(fixed("amount"))
+    )
+
+
 def lines(words: DataFrame, key: str = "page") -> DataFrame:
     """One row a line: text in order, amounts by column, mean confidence, doubtful, and kind: opening, closing, total,
     transaction (begins with a date and has an amount) or continuation."""

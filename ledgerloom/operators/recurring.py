@@ -131,6 +131,25 @@ def with_nature(found: DataFrame, natures: DataFrame | None = None) -> DataFrame
     return joined.withColumn("nature", F.coalesce(by_category, "_n", F.lit("unclear"))).drop("_m", "_n")
 
 
+#: Categories that may recur and do not settle how.
+UNSETTLED = ("Health", "Entertainment", "Education", "Travel", "Other")
+
+
+def natures_to_ask(dictionary: DataFrame, natures: DataFrame) -> DataFrame:
+    """merchant and category of the dictionary's merchants whose category does not settle their nature, that are no
+    cheques or cash, and that natures (merchant) have no row for."""
+    asked = dictionary.where(F.col("category").isin(*UNSETTLED) & ~F.col("merchant").rlike(NO_SUBSCRIPTION)).select("merchant", "category")
+    return asked.join(natures.select("merchant").distinct(), "merchant", "left_anti")
+
+
+def learn_natures(natures: DataFrame, answers: DataFrame) -> DataFrame:
+    """natures (merchant, nature) and the answers for merchants that they lack, trimmed and in lower case; unclear and
+    unknown natures are left out, so that such merchants stay repeated spending. The smallest counts, were one to repeat."""
+    nature = F.lower(F.trim("nature"))
+    given = answers.where(nature.isin(*NATURES) & (nature != "unclear")).groupBy("merchant").agg(F.min(nature).alias("nature"))
+    return natures.select("merchant", "nature").unionByName(given.join(natures.select("merchant"), "merchant", "left_anti"))
+
+
 def split_recurring(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(subscriptions and bills, repeated spending), dearest first."""
     ranked = [F.desc("annual_cost"), "merchant"]

@@ -93,3 +93,35 @@ def test_currency_and_clean_text(spark):
     assert one(spark, "Fuel", text.enrichment_category) == "Transportation"
     assert one(spark, "Uncategorized", text.enrichment_category) is None
     assert one(spark, None, text.enrichment_category) is None
+
+
+def test_row_date(spark):
+    from ledgerloom.functions.dates import row_date
+
+    cases = [
+        ("2003-10-14 x", "2003-10-14", 1), ("10/14/03 x", "2003-10-14", 1), ("14/10/2003 x", None, 1), ("Oct 14, 2003 x", "2003-10-14", 3),
+        ("Oct. 14 x", "2024-10-14", 2), ("sept 5 y", "2024-09-05", 2), ("14 Oct 2003", "2003-10-14", 3), ("14 Oct x", "2024-10-14", 2), ("rent 5", None, 0), ("14 x", None, 0), ("", None, 0),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string")
+    got = df.select("i", row_date(F.split("t", " "), F.lit(2024)).alias("r")).select("i", "r.*").orderBy("i").collect()
+    assert [(r.date, r.used) for r in got] == [(d, u) for _, d, u in cases]
+    unknown = spark.range(1).select(row_date(F.array(F.lit("Oct"), F.lit("14")), F.lit(None).cast("int")).alias("r")).first().r
+    assert (unknown.date, unknown.used) == (None, 2)
+
+
+def test_iso_text_short_years(spark):
+    from ledgerloom.functions.dates import iso_text
+
+    cases = [("10/14/24", "2024-10-14"), ("14-10-24", "2024-10-14"), ("14 October 2003", "2003-10-14"), ("Sept. 5, 03", "2003-09-05"), ("13/13/2024", None), ("Feb 30, 2024", "2024-02-30"), ("soon", None)]
+    df = spark.createDataFrame(cases, "t string, want string")
+    assert [(r.t, r.got) for r in df.select("t", iso_text(F.col("t")).alias("got")).collect()] == cases
+
+
+def test_lower_keys(spark):
+    from ledgerloom.sources import statements
+
+    texts = ['{"Bank_Name":"A","TRANSACTIONS":[{" Memo ":"x"}]}', '{"bank":"a","BANK":"b","transactions":[]}', '{"transactions":[]}', '{"Bank":"x"}']
+    good, bad = statements.parse(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, json string"))
+    rows = good.select("i", statements.field(F.col("v"), statements.HEADER["bank_name"]).alias("b"), F.size(statements.rows_of(F.col("v"))).alias("n")).orderBy("i").collect()
+    assert [(r.i, r.b, r.n) for r in rows] == [(0, "A", 1), (1, "a", 0), (2, None, 0)]
+    assert [(r.i, r.reason) for r in bad.collect()] == [(3, "no transactions")]
