@@ -7,14 +7,16 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import session_of, small, stash
 from .packing import groups_of
 
-#: Hashed word features; labelled documents that the fit takes at most, by a hash of the id; a worker's word memo.
-BUCKETS, FIT_DOCS, MEMO = 4096, 4000, 400_000
+#: Hashed word features; a worker's word memo.
+BUCKETS, MEMO = 4096, 400_000
+#: The fit's bounds: labelled documents at most (by a hash of the id), and bytes of each; longer ones teach nothing.
+FIT_DOCS, FIT_BYTES = 4000, 16_384
 #: A document stays if its probability is at least this.
 KEEP = 0.5
 SHAPES = 12
@@ -49,11 +51,13 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most: int = FIT_DOCS, label: str = "quality") -> np.ndarray:
-    """Weights of a logistic regression on at most `most` labelled documents; zeros if none is labelled."""
+def fit(docs: DataFrame, labels: DataFrame, *, most: int = FIT_DOCS, longest: int = FIT_BYTES, label: str = "quality") -> np.ndarray:
+    """Weights of a logistic regression on at most `most` labelled documents of at most `longest` bytes, whole ones, so
+    that no more than their product comes to the driver; zeros if none is labelled."""
     labels = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("o")).orderBy("o", "text").limit(2 * most).collect()
+    short = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= longest)).select("doc_id", "text")
+    rows = short.join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("o")).orderBy("o", "text").limit(most).collect()
     w = np.zeros(SHAPES + BUCKETS, np.float32)
     if not rows:
         return w
@@ -91,15 +95,24 @@ def _strength(groups: DataFrame) -> float:
     return min(1e6, within / max(between, 1e-9))
 
 
+def site_of(url: Column) -> tuple[Column, Column]:
+    """(host, path) of a url: the host in lower case without its port, and the first folder of its path, or / where the
+    page lies in no folder; null where the url is none."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    folder = F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), r"^(/[^/]+)/", 1)
+    return host, F.when(host.isNotNull(), F.coalesce(F.nullif(folder, F.lit("")), F.lit("/")))
+
+
 def _logit(p):
     p = F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", keep: float = KEEP) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", url: str | None = None, keep: float = KEEP) -> DataFrame:
     """One row per row of docs: doc_id, host, path, own (the text's log odds), host_mean, path_mean (posterior means of
     the documents' probabilities there), score (0 to 1) and keep_doc (score >= keep).
 
+    With `url`, host and path come from that column (see site_of); else the columns `host` and `path` stand for them.
     Sums of the documents' probabilities are grouped by host and path, combined before the shuffle, so that a hot host
     costs no more than others. The prior of a host is the mean of all documents, that of a path its host's posterior; a
     site with few documents stays near its prior, with a strength estimated from the spread of the sites. The score
@@ -109,7 +122,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path:
     null ids are kept. Repeated rows give a row each. Empty tables: no documents, no rows; no labels, no evidence, and
     a score of 0.5 all over.
     """
-    docs = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), "text")
+    site = (F.col(host), F.col(path)) if url is None else site_of(F.col(url))
+    docs = docs.select("doc_id", *(F.coalesce(x.cast("string"), F.lit("")).alias(n) for n, x in zip(("host", "path"), site, strict=True)), "text")
     rows = stash(evidence(docs, fit(docs, labels), ("doc_id", "host", "path")), "evidence")
     p = 1 / (1 + F.exp(-F.col("own")))
     paths = stash(rows.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")), "paths")
