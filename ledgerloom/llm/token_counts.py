@@ -8,42 +8,42 @@ from pyspark.sql import DataFrame
 
 from .common import texts
 from .packing import groups_of
-from .tokens import ByteCounts, byte_counts
+from .tokens import ByteCounts, byte_counts, stable
 
 #: Characters of a chunk and of the overlap of two chunks; texts of up to one chunk are encoded whole.
 CHUNK, OVERLAP = 32_768, 512
-#: No boundary this close to a chunk's end is trusted: a special string might be cut there.
+#: No boundary this close to either end of the overlap is trusted: a special string might be cut there.
 EDGE = 64
 
 
 def spliced(counts: ByteCounts, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of text from its chunks alone.
 
-    A boundary is stable if every tokenization of the text has it (see ByteCounts), so two chunks that share one split
-    the text there: the tokens before it come from the left chunk, those after it from the right one. Where the
-    overlap holds no common stable boundary it is doubled, and the left chunk is lengthened once the overlap fills it.
+    A boundary that both chunks have is taken if it is stable (see stable()): every tokenization of the text has it
+    then, so the tokens before it come from the left chunk, those after it from the right one. Where the overlap holds
+    none it is doubled, and once it fills the left chunk that one is doubled, so that what is encoded again stays in
+    proportion to the text.
     """
     total, start, lead = 0, 0, 0  # lead: tokens of the left chunk that an earlier chunk has counted
     end = min(chunk, len(text))
     at, before, n = counts.bounds(text[:end])
     while end < len(text):
-        wide = overlap
-        while True:
+        wide, p = overlap, None
+        while end < len(text):
             s = max(start, end - wide)
+            if s == start:
+                end = min(len(text), end + max(chunk, end - start))
+                at, before, n = counts.bounds(text[start:end])
+                continue
             e = min(len(text), s + chunk + wide)
             at2, before2, n2 = counts.bounds(text[s:e])
-            common = np.intersect1d(at + start, at2 + s)
-            common = common[(common > s) & (common < end - EDGE)]
-            if len(common) or end == len(text):
+            common = np.intersect1d(at + start, at2 + s, assume_unique=True)
+            common = common[(common > s + EDGE) & (common < end - EDGE)]
+            if (p := next((x for x in common[::-1].tolist() if stable(text, x)), None)) is not None:
                 break
-            if s == start:
-                end = min(len(text), end + chunk)
-                at, before, n = counts.bounds(text[start:end])
-            else:
-                wide *= 2
-        if end == len(text):
+            wide *= 2
+        if p is None:
             break
-        p = int(common[-1])
         total += int(before[np.searchsorted(at, p - start)]) - lead
         lead = int(before2[np.searchsorted(at2, p - s)])
         start, end, at, before, n = s, e, at2, before2, n2
