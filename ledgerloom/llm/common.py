@@ -53,13 +53,19 @@ def _forget_all() -> None:
             return
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a table that goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
+    _STASHED.append((spark, path))
+    return path
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: this cuts the lineage, and a lost executor costs
     no more than the tasks that it ran. Files go when the driver's Python ends."""
     spark = session_of(df)
-    path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    _STASHED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, packing, quality, secrets, suffix_dedup, token_counts
+from .common import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +29,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest_columns(secrets.secret_scan(_table(spark, sf_dir, "documents")))
+    """Two batches on one ledger: what the first has seen is not scanned again for the second."""
+    docs = _table(spark, sf_dir, "documents")
+    new, ledger = F.coalesce(exact_dedup.newer_half(docs), F.lit(False)), new_path(spark, "ledger")
+    for batch in (~new, new):
+        secrets.record(docs.where(batch), ledger)
+    return secrets.digest_columns(secrets.report(docs, spark.read.parquet(ledger)))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

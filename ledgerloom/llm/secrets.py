@@ -80,10 +80,10 @@ def scan(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]
     """Ledger rows (blob, rules, found) for the pairs of blob and rule version that `ledger` has not seen.
 
     versions: blob (SHA-256 of the text) and text of every version of every path, equal ones as often as they occur;
-    grouping by both keeps one of each, combined before the shuffle, so a hot blob is scanned once. A blob without
-    findings gets a row too, so that it counts as seen.
+    grouping keeps one of each, combined before the shuffle, so a hot blob is scanned once; the ledger's side is dealt
+    by blob too, so texts are shuffled once. A blob without findings gets a row too, so that it counts as seen.
     """
-    blobs = versions.groupBy("blob", "text").agg(F.lit(1).alias("one")).drop("one")
+    blobs = versions.groupBy("blob").agg(F.any_value("text").alias("text"))
     every = F.array(*(F.lit(r.id) for r in rules))
     if ledger is None:
         return findings(blobs, rules, every)
@@ -92,37 +92,47 @@ def scan(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]
     return findings(blobs.join(seen, "blob", "left").withColumn("left_over", left).where("size(left_over) > 0"), rules, F.col("left_over"))
 
 
+def _versions(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
+
+
+def record(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE + ADDED) -> None:
+    """Scan what the ledger (a Parquet folder, made by the first scan) has not seen of docs' texts, and append it."""
+    spark = session_of(docs)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+    old = spark.read.parquet(ledger) if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where) else None
+    stash(scan(_versions(docs), old, rules), "ledger").write.mode("append").parquet(ledger)
+
+
+def report(docs: DataFrame, rows: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, paths: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Findings of every row of docs from ledger rows that hold all of its blobs; see secret_scan(). Both sides are plain
+    shuffles of digests, so a hot blob's partition is split. A blob's findings may lie in several rows: a row's findings
+    of a kind are those of the version that the row was scanned for, and only a current one counts."""
+    current = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.id)))
+    own = F.filter("found", lambda x: F.coalesce(F.array_contains("rules", F.try_element_at(current, x["kind"])), F.lit(False)))
+    with_any = rows.where("size(found) > 0").where(F.arrays_overlap("rules", F.array(*(F.lit(r.id) for r in rules))))
+    with_any = with_any.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(own)))).alias("found"))
+    docs = docs.select(*paths, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"))
+    return docs.join(with_any, "blob", "left").select(*paths, "blob", F.coalesce("found", F.array().cast(FINDING)).alias("found"))
+
+
 def secret_scan(docs: DataFrame, *, ledger: str | None = None, rules: tuple[Rule, ...] = BASE + ADDED, paths: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Findings of every row of docs: its path columns, blob and found (start, rank, kind, stop; code points, stop
     exclusive; by start, then in the order of the rules).
 
     ledger: a Parquet folder that earlier scans have appended to; what it has seen is not scanned again, and the new
     rows are appended. Without one, the ledger is a new table in the shared folder. Findings are then joined back from
-    blobs to all paths; both sides are plain shuffles, so a hot blob's partition is split.
+    blobs to all paths. To put several batches into one result, record() each and report() once: Spark takes two reads
+    of one folder in one plan for the same, whenever they were made.
 
     Nulls: a null text counts as empty, which has no findings; null paths are kept. Repeated rows give a row each. An
     empty table gives no rows. Other columns of docs are ignored.
     """
-    spark = session_of(docs)
-    docs = docs.select(*paths, F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    versions = docs.select(F.sha2("text", 256).alias("blob"), "text")
     if ledger is None:
-        rows = stash(scan(versions, None, rules), "ledger")
-    else:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(ledger)
-        old = spark.read.parquet(ledger) if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where) else None
-        stash(scan(versions, old, rules), "ledger").write.mode("append").parquet(ledger)
-        rows = spark.read.parquet(ledger)
-    ids = [r.id for r in rules]
-    with_any = rows.where("size(found) > 0 ").where(F.arrays_overlap("rules", F.array(*map(F.lit, ids))))
-    if ledger is not None:  # findings of one blob may lie in several rows of the ledger
-        # A row's findings of a kind are those of the version that the row was scanned for: only a current one counts.
-        current = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.id)))
-        own = F.filter("found", lambda x: F.coalesce(F.array_contains("rules", F.try_element_at(current, x["kind"])), F.lit(False)))
-        one = F.flatten(F.collect_list(own))
-        with_any = with_any.groupBy("blob").agg(F.array_sort(F.array_distinct(one)).alias("found"))
-    return docs.select(*paths, F.sha2("text", 256).alias("blob")).join(with_any.select("blob", "found"), "blob", "left").select(*paths, "blob", F.coalesce("found", F.array().cast(FINDING)).alias("found"))
+        return report(docs, stash(scan(_versions(docs), None, rules), "ledger"), rules, paths)
+    record(docs, ledger, rules)
+    return report(docs, session_of(docs).read.parquet(ledger), rules, paths)
 
 
 def digest_columns(scanned: DataFrame) -> DataFrame:

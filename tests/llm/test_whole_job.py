@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from ledgerloom.llm import exact_dedup, jaccard_join, lang_id, queries, tokens
+from ledgerloom.llm import exact_dedup, jaccard_join, lang_id, queries, secrets, token_counts, tokens
 from ledgerloom.llm import html_extract as hx
 
 PAGES = "page_id bigint, url string, html string"
@@ -218,3 +218,60 @@ def test_exact_dedup_spreads_the_batch_over_buckets(spark, monkeypatch):
         got = exact_dedup.exact_dedup(spark.createDataFrame(rows, DOCS), new, bucket_size=50).collect()
         assert len(got) == 1000 and sum(r.kept for r in got) == 900 and all(r.keep_id % 900 == r.doc_id % 900 for r in got)
     assert len(seen) == 2 and max(seen) < 200
+
+
+def scripts():
+    """Texts whose words end at different kinds of places, and texts that hold no end of a word."""
+    rnd = np.random.default_rng(7)
+    letters = {"russian": (0x430, 32), "greek": (0x3B1, 24), "hindi": (0x915, 37), "arabic": (0x628, 20), "latin": (97, 26)}
+    for first, n in letters.values():
+        yield " ".join("".join(map(chr, first + rnd.integers(0, n, rnd.integers(1, 9)))) for _ in range(900))
+    yield "".join(chr(c) if c % 17 else "，。、！\u3000"[c % 5] for c in (0x4E00 + rnd.integers(0, 5000, 5000)).tolist())  # blanks are rare
+    yield "".join(map(chr, 0x4E00 + rnd.integers(0, 5000, 5000)))
+    yield "it's 'sad' we'll''s 12'd a'1 <|endoftext|>\u0301x\u200b\u180ey \x1c\x85z😀👍🏽 " * 90
+    yield "<|endoftext|>" * 400
+    yield "'" * 900 + "s" * 900 + " " * 900 + "\n\r\t " * 300
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(256, 40), (700, 150), (1000, 1000)])
+def test_token_counts_spliced_against_the_library(chunk, overlap):
+    own = tokens.byte_counts(queries.tokenizer_file("byte_bpe_50k.json"))
+    for text in [*scripts(), " ".join(scripts())]:
+        assert token_counts.spliced(own, text, chunk, overlap) == len(own.tokenizer.encode(text, add_special_tokens=False)), text[:40]
+
+
+def test_token_counts_stable_places():
+    """Every stable place is a boundary of the whole text, and each script has some."""
+    own = tokens.byte_counts(queries.tokenizer_file("byte_bpe_50k.json"))
+    for text in list(scripts())[:6]:
+        starts = {s for s, _ in own.tokenizer.encode(text, add_special_tokens=False).offsets}
+        places = {p for p in range(1, len(text)) if tokens.stable(text, p)}
+        assert len(places) > 100 and places <= starts
+
+
+@pytest.mark.parametrize("kind", [0, 5, 6])
+def test_token_counts_time_is_linear(kind):
+    own, text = tokens.byte_counts(queries.tokenizer_file("byte_bpe_50k.json")), list(scripts())[kind]
+
+    def took(n):
+        whole = (text * (n // len(text) + 1))[:n]
+        start = time.process_time()
+        token_counts.spliced(own, whole)
+        return time.process_time() - start
+
+    took(10_000)
+    assert took(1_000_000) < 30 * max(took(100_000), 0.05)
+
+
+def test_secret_scan_scans_by_increments(spark, tmp_path):
+    """A second batch adds ledger rows for its new blobs alone, and its old blobs' findings come from the ledger."""
+    key, ledger = "AKIA" + "A" * 16, f"file://{tmp_path}/ledger"
+    table = spark.createDataFrame([(1, key), (2, "plain"), (3, key), (4, f"so {key}"), (None, None), (5, "plain")], DOCS)
+    secrets.record(table.where("doc_id <= 2"), ledger)
+    assert spark.read.parquet(ledger).count() == 2
+    secrets.record(table.where("doc_id > 2 or doc_id is null"), ledger)
+    assert spark.read.parquet(ledger).count() == 4
+    got = secrets.digest_columns(secrets.report(table, spark.read.parquet(ledger))).collect()
+    assert Counter((r.doc_id, r.spans) for r in got) == Counter([(1, "access:0:20"), (2, ""), (3, "access:0:20"), (4, "access:3:23"), (None, ""), (5, "")])
+    whole = secrets.digest_columns(secrets.secret_scan(table)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, whole))
