@@ -21,8 +21,8 @@ ODD = re.compile(r" [ \t\n\r]|[\t\n\r] ")
 SPACES, UNSURE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000", "\u180e\u200b"
 #: Words that a worker remembers for good; those beyond are asked for anew in every group of texts.
 MEMO = 250_000
-#: Words that the library is asked for at once.
-ASK = 20_000
+#: Words that the library is asked for at once; words of a text that it is given for them.
+ASK, JOINED = 20_000, 200
 #: A mark after letters is a word of its own to either kind of tokenizer here.
 TAILS = ".,;:!?"
 
@@ -70,11 +70,23 @@ class WordIds:
     def _ask(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _ask_words(self, words: list[str]) -> list[bytes]:
+        """The same for lower-cased words without blanks and special strings: texts of many words cost the library less
+        than as many texts, and the ids of a word are those that start in it."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        out, size = [], self.kind.itemsize
+        for own, e in zip(groups, self.tokenizer.encode_batch(list(map(" ".join, groups)), add_special_tokens=False), strict=True):
+            starts = np.array([s for s, _ in e.offsets], np.int64)
+            begins = np.cumsum([0, *(len(w) + 1 for w in own)])
+            cuts, data = (np.searchsorted(starts, begins) * size).tolist(), np.array(e.ids, self.kind).tobytes()
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian numbers of `kind`."""
         # The lower-cased words must hold no special string either, which the library sees in texts as they are.
         split = [low.split() if SAFE.fullmatch(t) and not any(s in low or s in t for s in self.special) else None for t, low in zip(texts, map(str.lower, texts), strict=True)]
-        extra = self.memo.learn(set().union(*(w for w in split if w is not None)), self._ask)
+        extra = self.memo.learn(set().union(*(w for w in split if w is not None)), self._ask_words)
         get = self.memo.__getitem__
         out = [b"".join(map(get, w)) if w is not None else self._ask([t])[0] for t, w in zip(texts, split, strict=True)]
         self.memo.forget(extra)

@@ -198,6 +198,15 @@ def test_packing_special_strings_of_other_case():
     assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_packing_words_joined_as_alone():
+    own, rnd = tokens.word_ids(queries.tokenizer_file("word_bpe_49k.json")), np.random.default_rng(3)
+    kinds = [c for c in map(chr, range(33, 256)) if tokens.SAFE.fullmatch(c) and c == c.lower() and c.strip()]
+    words = ["".join(kinds[i] for i in rnd.integers(0, len(kinds), n)) for n in rnd.integers(1, 12, 3000)]
+    words += ["don't", "'s", "it's'", "a" * 5000, "1.5e-3", "|", "<|", "</w>", *kinds]
+    assert own._ask_words(words) == own._ask(words)
+    assert own._ask_words([]) == []
+
+
 def test_language_id_learns_every_language(spark):
     rows = [(10 * i + j, f"Text {chr(97 + i % 26) * 5} {chr(97 + i // 26) * 5}", f"l{i:03}") for i in range(230) for j in range(10)]
     net = lang_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
