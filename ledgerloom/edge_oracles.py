@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ledgerloom import edge_queries
 from ledgerloom.functions import text
-from ledgerloom.oracles import ORACLES, TXN, _list, _pick, _r
+from ledgerloom.oracles import KEYWORD, ORACLES, TXN, _list, _money, _pick, _r
 from ledgerloom.sources import lenses
 
 _NATURE = f"""f AS ({ORACLES["c8_find_recurring"]}), n AS (SELECT p_name || ' ' || p_partkey AS m, {_pick(("subscription", "bill", "habitual", "nonsense"), "p_partkey // 2")} AS v FROM part WHERE p_partkey % 2 = 0),
@@ -13,8 +13,23 @@ g AS (SELECT f.merchant, f.category, f.annual_cost, CASE f.category WHEN 'Subscr
   ELSE coalesce(nullif(n.v, 'nonsense'), 'unclear') END AS nature FROM f LEFT JOIN n ON f.merchant = n.m)"""
 _PART = f"p AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN 'Cheque ' ELSE '' END || 'm' || p_partkey AS merchant, {_pick(text.CATEGORIES, 'p_partkey')} AS category FROM part)"
 _KNOWN = _list(lenses.DESCRIPTIONS[::3])
+_LAYERS = f"""{TXN}, x AS (SELECT * REPLACE (CASE WHEN pos % 4 = 0 THEN 'ITEM ' || (pos // 4) % 12 ELSE description END AS description, CASE WHEN pos % 8 <> 0 THEN merchant END AS merchant) FROM txn),
+says(description, said, sure) AS (VALUES ('ITEM 0', 'Food & Drink', true), ('ITEM 1', 'Transportation', false), ('ITEM 2', 'Entertainment', true), ('ITEM 4', 'Health', false), ('ITEM 6', 'Utilities', false)),
+w AS (SELECT x.* EXCLUDE (category), TRY_CAST(replace(merchant, 'Shop ', '') AS INT) AS shop, said, coalesce(sure, false) AS sure, {KEYWORD} AS word,
+  CASE WHEN pos % 3 = 0 THEN ['Health', 'Transportation', NULL, 'Other'][CAST(pos // 12 % 4 + 1 AS INT)] END AS opinion FROM x LEFT JOIN says USING (description)),
+e AS (SELECT *, CASE WHEN merchant <> '' THEN first_value(coalesce(word, CASE WHEN sure THEN said END) IGNORE NULLS) OVER (PARTITION BY merchant ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS earlier FROM w),
+l AS (SELECT *, CASE WHEN shop < 25 THEN ['dict', 'Shopping', '1'] WHEN shop < 45 THEN ['cache', 'Travel', '0.9'] WHEN earlier IS NOT NULL THEN ['cache', earlier, '0.9'] WHEN word IS NOT NULL THEN ['keyword', word, '0.95']
+  WHEN sure THEN ['enriched', said, '0.85'] WHEN opinion = said THEN ['agreed', said, '0.85'] WHEN opinion IS NOT NULL THEN ['arbitrated', opinion, '0.75'] WHEN said IS NOT NULL THEN ['enriched_low', said, '0.5'] ELSE ['fallback', 'Other', '0'] END AS a FROM e)"""
 
 ORACLES.update({
+    "c4_all_layers": f"WITH {_LAYERS} SELECT id, a[2] AS category, CAST(a[3] AS DOUBLE) AS confidence, a[1] AS layer FROM l",
+    "c13_dashboard_lists": f"""WITH {_NATURE}, h AS (SELECT g.*, f.price_change_pct FROM g JOIN f USING (merchant))
+  SELECT CASE WHEN nature IN ('subscription', 'bill') THEN 'subscriptions' ELSE 'repeated' END AS block, merchant AS key, annual_cost AS value FROM h
+  UNION ALL SELECT 'recurring_totals', nature, {_r(_money("annual_cost"))} FROM h GROUP BY 2
+  UNION ALL SELECT 'price_increases', merchant, price_change_pct FROM h WHERE price_change_pct > 0
+  UNION ALL SELECT 'payoff', key || ' ' || label, total_interest FROM ({ORACLES["c11_payoff_scenarios"]})""",
+    "g10_account_numbers": """SELECT c_custkey AS page, CASE c_custkey % 3 WHEN 0 THEN '12-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0')
+  WHEN 1 THEN '005-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') ELSE '987654321' END AS account_number FROM customer""",
     "f13_odd_keys": """SELECT s_suppkey AS statement_id, 'Bank ' || s_suppkey AS bank_name, CASE WHEN s_suppkey % 4 = 0 THEN 'EUR' ELSE 'GBP' END AS currency, '2024-01-05' AS statement_period_start,
   '2024-02-04' AS statement_period_end, '2024-01-14' AS date, s_name AS description, CASE WHEN s_suppkey % 2 = 0 THEN abs(s_acctbal) END AS withdrawal, CASE WHEN s_suppkey % 2 = 1 THEN abs(s_acctbal) END AS deposit FROM supplier""",
     "s4_page_lists": """SELECT c_custkey AS key, u AS unit, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 3 END AS pages, CASE WHEN c_custkey % 2 = 0 THEN u + 1 ELSE 6 END AS rows

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, text
-from ledgerloom.operators import adapt, aggregates, categorize, layout, recurring
-from ledgerloom.plans import ask
-from ledgerloom.queries import query
+from ledgerloom.operators import adapt, aggregates, categorize, layout, reconcile, recurring
+from ledgerloom.plans import ask, dashboard
+from ledgerloom.queries import _statements, query
 from ledgerloom.sources import lenses, statements
 from ledgerloom.streaming import events
 
@@ -115,6 +115,54 @@ def c19_learned_aliases(spark, d):
     return categorize.learn_aliases(_aliases(spark, d), answers)
 
 
+#: What an enrichment says of some descriptions, in its own vocabulary, and how sure it is.
+ANSWERS = (("ITEM 0", "Cafes", 95.0), ("ITEM 1", "Fuel", 40.0), ("ITEM 2", "Gaming", 90.0), ("ITEM 3", "Uncategorized", 99.0), ("ITEM 4", "Fitness", 89.5), ("ITEM 5", "nonsense", 99.0), ("ITEM 6", " Utilities ", None))
+OPINIONS = ("Health", "Transportation", "Nonsense", "Other")
+
+
+@query
+def c4_all_layers(spark, d):
+    """Every fourth row has a description that no keyword knows, and every eighth has no merchant."""
+    k = F.col("pos")
+    item = F.concat(F.lit("ITEM "), (F.floor(k / 4) % 12).cast("string"))
+    txns = lenses.transactions(spark, d).withColumns({"description": F.when(k % 4 == 0, item).otherwise(F.col("description")), "merchant": F.when(k % 8 != 0, F.col("merchant"))})
+    dictionary = lenses.table(spark, d, "nation").select(F.concat(F.lit("Shop "), F.col("n_nationkey").cast("string")).alias("merchant"), F.lit("Shopping").alias("category"))
+    cache = lenses.table(spark, d, "nation").select(F.concat(F.lit("Shop "), (F.col("n_nationkey") + 20).cast("string")).alias("merchant"), F.lit("Travel").alias("category"))
+    opinions = txns.where(k % 3 == 0).select("pos", lenses.pick(OPINIONS, F.floor(k / 12)).alias("category"))
+    out = categorize.categorize(txns, dictionary, cache, spark.createDataFrame(ANSWERS, "description string, category string, confidence double"), opinions)
+    return out.select("id", "category", "confidence", "layer")
+
+
+@query
+def c13_dashboard_lists(spark, d):
+    """The blocks of a dashboard about what recurs and about debts."""
+    bills = lenses.bills(spark, d)
+    accounts = lenses.debts(spark, d).select(F.col("key").cast("string").alias("id"), F.lit("Bank").alias("bank_name"), F.lit("credit").alias("account_type"), F.col("balance").alias("closing_balance"), "apr")
+    blocks = dashboard.dashboard(accounts, bills, reconcile.reconcile(*_statements(spark, d)), _natures(spark, d))
+    named = {
+        "subscriptions": (F.col("merchant"), F.col("annual_cost")), "repeated": (F.col("merchant"), F.col("annual_cost")), "recurring_totals": (F.col("nature"), F.col("annual_cost")),
+        "price_increases": (F.col("merchant"), F.col("price_change_pct")), "payoff": (F.concat_ws(" ", "id", "label"), F.col("total_interest")),
+    }
+    out = None
+    for name, (key, value) in named.items():
+        rows = blocks[name].select(F.lit(name).alias("block"), key.alias("key"), value.cast("double").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def g10_account_numbers(spark, d):
+    """The head of a page for each customer: the number beside its heading, below it in two parts, or without a heading,
+    and a telephone number and a date before it."""
+    k = F.col("c_custkey")
+    word = lambda t, x1, row: F.struct((F.lit(t) if isinstance(t, str) else t).alias("text"), F.lit(x1).alias("x1"), F.lit(x1 + 40.0).alias("x2"), F.lit(row).alias("row"))
+    number = F.lpad(k.cast("string"), 7, "0")
+    words = [word("1-800-555-0199", 10.0, 0), word("2024-01-31", 60.0, 0), word("987654321", 10.0, 3), word(F.when(k % 3 != 2, "Account").otherwise("Client"), 300.0, 2), word(F.when(k % 2 == 0, "Number:").otherwise("No."), 345.0, 2)]
+    words += [word(F.when(k % 3 == 0, F.concat(F.lit("12-"), number)).otherwise("-"), 400.0, 2), word(F.when(k % 3 == 1, F.concat(F.lit("005"), F.lit("-"))).otherwise("-"), 310.0, 3), word(F.when(k % 3 == 1, number).otherwise("-"), 320.0, 4)]
+    found = lenses.table(spark, d, "customer").select(k.alias("page"), F.lit(600.0).alias("width"), F.explode(F.array(*words)).alias("w")).select("page", "width", "w.*")
+    return layout.account_numbers(found)
+
+
 @query
 def o1_page_total(spark, d):
     txns = lenses.transactions(spark, d)

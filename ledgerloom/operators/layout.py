@@ -145,6 +145,42 @@ def join_continuations(found: DataFrame, key: str = "page") -> DataFrame:
     return grouped.where("kind = 'transaction'").drop("_i")
 
 
+#: Rows of a page's head; rows below a heading and share of the page's width around it where its value may
+#: stand; digits of an account number that is taken at once; numbers that are none.
+HEAD, BELOW, AROUND, ENOUGH = 20, 4, 0.12, 6
+PHONE_OR_DATE = r"^\+?1?-?\(?\d{3}\)?-\d{3}-\d{4}$|^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$|^\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}$"
+
+
+def account_numbers(words: DataFrame, key: str = "page") -> DataFrame:
+    """key and account_number, for pages whose head (words with key, row, text, x1, x2, width) holds one.
+
+    Numbers are looked for to the right of the first "account" that "no", "number", "num" or "#" follows, and below
+    these two; on the whole head if it has no such heading. A number that ends with a dash goes on with the next one.
+    The first with six digits is taken, else the first.
+    """
+    line = Window.partitionBy(key, "row").orderBy("x1")
+    plain = lambda c: F.btrim(F.lower(c), F.lit(".:"))
+    head = words.where(F.col("row") < HEAD).withColumns({"_next": F.lead("text").over(line), "_end": F.lead("x2").over(line)})
+    named = (plain(F.col("text")) == "account") & plain(F.col("_next")).rlike("^(?:no.*|number|num|#)$")
+    at = head.where(named).groupBy(key).agg(F.min(F.struct("row", "x1", F.col("_end").alias("x2"))).alias("_at"))
+    numbers = head.where(F.trim("text").rlike(r"^\d[\d-]{2,}$") & ~F.trim("text").rlike(PHONE_OR_DATE)).join(at, key, "left")
+    middle, reach = (F.col("x1") + F.col("x2")) / 2, AROUND * F.col("width")
+    beside = (F.col("row") == F.col("_at.row")) & (F.col("x1") > F.col("_at.x1"))
+    below = F.col("row").between(F.col("_at.row") + 1, F.col("_at.row") + BELOW) & middle.between(F.col("_at.x1") - reach, F.col("_at.x2") + reach)
+    near = numbers.where(F.col("_at").isNull() | beside | below)
+    listed = near.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "x1", F.trim("text").alias("text")))), lambda w: w["text"]).alias("_n"))
+    last = lambda found: F.get(found, F.size(found) - 1)
+
+    def join(state: Column, n: Column) -> Column:
+        goes_on = state["open"]
+        found = F.when(goes_on, F.concat(F.slice(state["found"], 1, F.size(state["found"]) - 1), F.array(F.concat(last(state["found"]), n)))).otherwise(F.concat(state["found"], F.array(n)))
+        return F.struct(found.alias("found"), (~goes_on & n.endswith("-")).alias("open"))
+
+    whole = F.aggregate("_n", F.struct(F.array().cast("array<string>").alias("found"), F.lit(False).alias("open")), join, lambda s: s["found"])
+    long = F.filter("_whole", lambda n: F.length(F.regexp_replace(n, "-", "")) >= ENOUGH)
+    return listed.withColumn("_whole", whole).select(key, F.coalesce(F.get(long, F.lit(0)), F.get("_whole", F.lit(0))).alias("account_number"))
+
+
 def infer_signs(rows: DataFrame) -> DataFrame:
     """rows (statement_id, pos, value, balance, opening) with deposit and withdrawal: the side on which the amount takes
     the last known balance to this one; null where neither does."""
