@@ -16,7 +16,7 @@ _KNOWN = _list(lenses.DESCRIPTIONS[::3])
 _LAYERS = f"""{TXN}, x AS (SELECT * REPLACE (CASE WHEN pos % 4 = 0 THEN 'ITEM ' || (pos // 4) % 12 ELSE description END AS description, CASE WHEN pos % 8 <> 0 THEN merchant END AS merchant) FROM txn),
 says(description, said, sure) AS (VALUES ('ITEM 0', 'Food & Drink', true), ('ITEM 1', 'Transportation', false), ('ITEM 2', 'Entertainment', true), ('ITEM 4', 'Health', false), ('ITEM 6', 'Utilities', false)),
 w AS (SELECT x.* EXCLUDE (category), TRY_CAST(replace(merchant, 'Shop ', '') AS INT) AS shop, said, coalesce(sure, false) AS sure, {KEYWORD} AS word,
-  CASE WHEN pos % 3 = 0 THEN ['Health', 'Transportation', NULL, 'Other'][CAST(pos // 12 % 4 + 1 AS INT)] END AS opinion FROM x LEFT JOIN says USING (description)),
+  CASE WHEN pos % 5 = 0 THEN ['Health', 'Transportation', NULL, 'Other'][CAST(pos // 20 % 4 + 1 AS INT)] END AS opinion FROM x LEFT JOIN says USING (description)),
 e AS (SELECT *, CASE WHEN merchant <> '' THEN first_value(coalesce(word, CASE WHEN sure THEN said END) IGNORE NULLS) OVER (PARTITION BY merchant ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS earlier FROM w),
 l AS (SELECT *, CASE WHEN shop < 25 THEN ['dict', 'Shopping', '1'] WHEN shop < 45 THEN ['cache', 'Travel', '0.9'] WHEN earlier IS NOT NULL THEN ['cache', earlier, '0.9'] WHEN word IS NOT NULL THEN ['keyword', word, '0.95']
   WHEN sure THEN ['enriched', said, '0.85'] WHEN opinion = said THEN ['agreed', said, '0.85'] WHEN opinion IS NOT NULL THEN ['arbitrated', opinion, '0.75'] WHEN said IS NOT NULL THEN ['enriched_low', said, '0.5'] ELSE ['fallback', 'Other', '0'] END AS a FROM e)"""

@@ -128,7 +128,7 @@ def c4_all_layers(spark, d):
     txns = lenses.transactions(spark, d).withColumns({"description": F.when(k % 4 == 0, item).otherwise(F.col("description")), "merchant": F.when(k % 8 != 0, F.col("merchant"))})
     dictionary = lenses.table(spark, d, "nation").select(F.concat(F.lit("Shop "), F.col("n_nationkey").cast("string")).alias("merchant"), F.lit("Shopping").alias("category"))
     cache = lenses.table(spark, d, "nation").select(F.concat(F.lit("Shop "), (F.col("n_nationkey") + 20).cast("string")).alias("merchant"), F.lit("Travel").alias("category"))
-    opinions = txns.where(k % 3 == 0).select("pos", lenses.pick(OPINIONS, F.floor(k / 12)).alias("category"))
+    opinions = txns.where(k % 5 == 0).select("pos", lenses.pick(OPINIONS, F.floor(k / 20)).alias("category"))
     out = categorize.categorize(txns, dictionary, cache, spark.createDataFrame(ANSWERS, "description string, category string, confidence double"), opinions)
     return out.select("id", "category", "confidence", "layer")
 
