@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, packing, quality, secrets, suffix_dedup, token_counts
+from . import decontaminate, exact_dedup, fill_middle, html_extract, jaccard_join, lang_id, packing, quality, secrets, suffix_dedup, token_counts, token_files
 from .common import new_path
 
 
@@ -67,10 +67,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    token_files.write(_table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
+    return token_files.documents(token_files.read(spark, path))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest_columns(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     own = (
         op1_exact_dedup, op2_quality_classifier, op3_secret_scan, op4_language_id, op5_html_extraction,
         op6_suffix_dedup, op7_token_counts, op8_jaccard_join, op9_decontamination, op10_packing,
+        op11_token_files, op12_fill_in_middle,
     )
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
@@ -82,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": OP3_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": OP3_SQL, "op12_fill_in_middle": OP12_SQL}
 
 
 OP1_SQL = """
@@ -113,3 +124,15 @@ s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)
 """
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y,
+  CAST('0x' || h[17:24] AS BIGINT) % 100 AS z, CAST('0x' || h[25:32] AS BIGINT) % 100 AS w FROM d),
+c AS (SELECT doc_id, t, n, CASE WHEN n = 0 OR z >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN w < 20 THEN 'spm' ELSE 'psm' END AS form,
+  least(x, y) AS a, greatest(x, y) AS b FROM r),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1, n - b) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
