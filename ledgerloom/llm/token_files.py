@@ -6,8 +6,8 @@ A shard holds whole documents (SHARD ids, or one longer document) in one byte st
     documents u64, ids u64, blocks u64, exceptions u64
     ids of each document u64, documents of them
     for each block: start of its words u64, number of its first exception u64, least id u32, width in bits u8
-    words of all blocks, u64
-    exceptions: place in the block u8 each, then what is above the width u32 each
+    words of all blocks, u32
+    exceptions: place in the block u8 each, then what is above the width each, as wide as the ids
 
 A block is BLOCK ids (the last one is filled up with its least id). Its least id is taken off, and what is left is packed
 at the width that holds SHARE of the block's ids; those that need more keep their low bits in place, and their high bits
@@ -30,35 +30,35 @@ from .packing import groups_of
 from .tokens import word_ids
 
 #: Ids of a block; the share of a block's ids that its width holds; ids of a shard, unless one document has more.
-BLOCK, SHARE, SHARD = 256, 0.9, 1 << 20
+BLOCK, SHARE, SHARD = 256, 0.95, 1 << 20
 HEAD = struct.Struct("<4sHHQQQQ")
 INDEX = np.dtype([("start", "<u8"), ("first", "<u8"), ("least", "<u4"), ("width", "u1")])
 #: Values that are packed together: as many words hold them as they have bits.
-LANE = 64
+LANE = 32
 
 
 def _spread(values: np.ndarray, width: int) -> np.ndarray:
     """Words of rows of LANE values of `width` bits: value i lies at bits i * width and on of its row."""
-    lanes = np.ascontiguousarray(values.T, np.uint64)
-    words = np.zeros((width, values.shape[0]), np.uint64)
+    lanes = np.ascontiguousarray(values.T)
+    words = np.zeros((width, values.shape[0]), np.uint32)
     for i in range(LANE):
-        word, bit = divmod(i * width, 64)
-        words[word] |= lanes[i] << np.uint64(bit)
-        if bit + width > 64:
-            words[word + 1] |= lanes[i] >> np.uint64(64 - bit)
+        word, bit = divmod(i * width, LANE)
+        words[word] |= lanes[i] << np.uint32(bit)
+        if bit + width > LANE:
+            words[word + 1] |= lanes[i] >> np.uint32(LANE - bit)
     return np.ascontiguousarray(words.T)
 
 
 def _gather(words: np.ndarray, width: int) -> np.ndarray:
     """The values that _spread has packed."""
     lanes = np.ascontiguousarray(words.T)
-    values, mask = np.empty((LANE, words.shape[0]), np.uint32), np.uint64((1 << width) - 1)
+    values, mask = np.empty((LANE, words.shape[0]), np.uint32), np.uint32((1 << width) - 1)
     for i in range(LANE):
-        word, bit = divmod(i * width, 64)
-        x = lanes[word] >> np.uint64(bit)
-        if bit + width > 64:
-            x = x | lanes[word + 1] << np.uint64(64 - bit)
-        values[i] = x & mask
+        word, bit = divmod(i * width, LANE)
+        x = lanes[word] >> np.uint32(bit)
+        if bit + width > LANE:
+            x |= lanes[word + 1] << np.uint32(LANE - bit)
+        np.bitwise_and(x, mask, out=values[i])
     return np.ascontiguousarray(values.T)
 
 
@@ -79,18 +79,20 @@ def _blocks(ids: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.n
     values -= index["least"][:, None]
     rank = min(BLOCK, max(1, int(np.ceil(share * BLOCK)))) - 1
     index["width"] = _bits(np.partition(values, rank, axis=1)[:, rank])
-    over = values.astype(np.uint64) >> index["width"].astype(np.uint64)[:, None]
-    at, place = np.nonzero(over)
+    over = values >> np.minimum(index["width"], 31).astype(np.uint32)[:, None]
+    over[index["width"] == 32] = 0
+    odd = np.flatnonzero(over)
+    at, place = np.divmod(odd, BLOCK)
     index["first"] = np.searchsorted(at, np.arange(count))
     words = np.concatenate(([0], np.cumsum(index["width"].astype(np.int64) * (BLOCK // LANE))))
     index["start"] = words[:-1]
-    packed = np.zeros(int(words[-1]), "<u8")
+    packed = np.zeros(int(words[-1]), "<u4")
     for w in np.unique(index["width"]).tolist():
         own = np.flatnonzero(index["width"] == w)
         if w:
             rows = _spread((values[own] & np.uint32((1 << w) - 1)).reshape(-1, LANE), w).reshape(len(own), -1)
             packed[words[own][:, None] + np.arange(rows.shape[1])] = rows
-    return index, packed, place.astype(np.uint8), over[at, place].astype("<u4")
+    return index, packed, place.astype(np.uint8), over.ravel()[odd]
 
 
 def encode_shard(ids: np.ndarray, lengths: np.ndarray, *, share: float = SHARE) -> bytes:
@@ -102,6 +104,7 @@ def encode_shard(ids: np.ndarray, lengths: np.ndarray, *, share: float = SHARE)
         index["start"] += words
         index["first"] += exceptions
         words, exceptions = words + len(packed), exceptions + len(place)
+    parts = [(*p[:3], p[3].astype(f"<u{size}")) for p in parts]
     head = HEAD.pack(b"PFOR", 1, size, len(lengths), len(ids), sum(len(p[0]) for p in parts), exceptions)
     return b"".join((head, lengths.astype("<u8").tobytes(), *(x.tobytes() for column in zip(*parts) for x in column)))
 
@@ -119,10 +122,10 @@ class Shard:
         self.index = np.frombuffer(data, INDEX, blocks, at := at + 8 * documents)
         at += INDEX.itemsize * blocks
         words = int(self.index[-1]["start"]) + int(self.index[-1]["width"]) * (BLOCK // LANE) if blocks else 0
-        self.words = np.frombuffer(data, "<u8", words, at)
-        self.place = np.frombuffer(data, np.uint8, exceptions, at := at + 8 * words)
-        self.high = np.frombuffer(data, "<u4", exceptions, at := at + exceptions)
-        if len(data) != at + 4 * exceptions:
+        self.words = np.frombuffer(data, "<u4", words, at)
+        self.place = np.frombuffer(data, np.uint8, exceptions, at := at + 4 * words)
+        self.high = np.frombuffer(data, f"<u{self.size}", exceptions, at := at + exceptions)
+        if len(data) != at + self.size * exceptions:
             raise ValueError("the shard is cut short")
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
