@@ -10,22 +10,29 @@ from ledgerloom.functions.num import printed
 IDENTITY = ("account_id", "date", "description", "amount", "reference")
 
 
-def occurrence(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with pos, which rises in the order of the keys (nulls first): sorted by ranges, so that no one task holds all."""
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id())
+
+
+def occurrence(rows: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """rows with `occurrence`: how many equal rows (account, date, description, amount, reference; nulls equal) stand
-    before it by pos.
+    before it by pos, among those that are equal in the columns of `within` too.
 
     Counted in two steps, so that one row repeated very many times isn't one task's: ranks within ranges of pos, and
     for each range the number of equal rows in the ranges before.
     """
-    keys = [F.col(c) for c in IDENTITY]
+    names = (*IDENTITY, *within)
+    keys = [F.col(c) for c in names]
     ranged = rows.withColumn("_range", F.floor(F.col("pos") / 100_000))
     sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    several = sizes.groupBy(*keys).agg(F.count("*").alias("_ranges")).where("_ranges > 1").toDF(*(f"_s_{c}" for c in IDENTITY), "_ranges")
-    before = sizes.join(several, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in IDENTITY], "left_semi").withColumn(
+    several = sizes.groupBy(*keys).agg(F.count("*").alias("_ranges")).where("_ranges > 1").toDF(*(f"_s_{c}" for c in names), "_ranges")
+    before = sizes.join(several, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in names], "left_semi").withColumn(
         "_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
-    ).toDF(*(f"_{c}" for c in IDENTITY), "_r", "_n", "_before")
+    ).toDF(*(f"_{c}" for c in names), "_r", "_n", "_before")
     within = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("pos")) - 1)
-    joined = within.join(before, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in IDENTITY] + [F.col("_range") == F.col("_r")], "left")
+    joined = within.join(before, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names] + [F.col("_range") == F.col("_r")], "left")
     return joined.select(*rows.columns, (F.col("_rank") + F.coalesce("_before", F.lit(0))).cast("int").alias("occurrence"))
 
 
@@ -35,8 +42,9 @@ def transaction_id(occurrence: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts, occurrence.cast("string")), 256), 1, 16)
 
 
-def with_ids(rows: DataFrame) -> DataFrame:
-    return occurrence(rows).withColumn("id", transaction_id(F.col("occurrence"))).drop("occurrence")
+def with_ids(rows: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """rows with id; equal rows are told apart within a statement, say, so that one that two statements hold has one id."""
+    return occurrence(rows, within).withColumn("id", transaction_id(F.col("occurrence"))).drop("occurrence")
 
 
 def new_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
@@ -62,11 +70,17 @@ def insert(spark: SparkSession, path: str, rows: DataFrame) -> int:
     return fresh.count()
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+def latest(rows: DataFrame, key: str, fields: tuple[str, ...], order: str) -> DataFrame:
+    """One row a key: of each field the value of the last row by `order` in which it is not null."""
+    return rows.groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields))
+
+
+def upsert(stored: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """Rows of both tables by key; where both have one, the new values that are not null win. Of several new rows of a key
-    the largest values hold."""
-    others = [c for c in stored.columns if c != key]
-    fresh = new.groupBy(key).agg(*(F.max(c).alias(f"_{c}") for c in others))
+    the last by `order` counts, field by field; without an order a key may come once."""
+    others = tuple(c for c in stored.columns if c != key)
+    new = new if order else new.withColumn("_order", F.lit(0))
+    fresh = latest(new, key, others, order or "_order").toDF(key, *(f"_{c}" for c in others))
     return stored.join(fresh, key, "full_outer").select(key, *(F.coalesce(f"_{c}", c).alias(c) for c in others))
 
 
@@ -76,12 +90,12 @@ def update_flags(stored: DataFrame, flags: DataFrame, names: tuple[str, ...] = (
     return stored.join(fresh, "id", "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in names else F.col(c) for c in stored.columns))
 
 
-def extraction_log(verdicts: DataFrame) -> DataFrame:
-    """A row for the log of each statement's verdict; a statement read again is logged again."""
-    return verdicts.select(
-        F.expr("uuid()").alias("id"), F.col("statement_id").alias("account_id"), F.current_timestamp().alias("uploaded_at"),
-        "reconciled", "delta", "checks_run", "rows_flagged",
-    )
+def extraction_log(verdicts: DataFrame, owners: DataFrame) -> DataFrame:
+    """A row for the log of each statement's verdict, under its account (owners: statement_id, account_id); a statement read
+    again is logged again."""
+    return verdicts.join(owners, "statement_id").select(
+        F.expr("uuid()").alias("id"), "account_id", F.current_timestamp().alias("uploaded_at"), "reconciled", "delta", "checks_run", "rows_flagged",
+    )
 
 
 def create_tables(spark: SparkSession, database: str = "default", *, reset: bool = False) -> None:

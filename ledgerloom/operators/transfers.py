@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.num import CENT, finite
-from ledgerloom.functions.text import transfer_word
+from ledgerloom.functions.text import TRANSFER_WORDS, transfer_word
 from ledgerloom.session import written
 
 #: Days between the legs at most.
 WINDOW = 3
+#: Legs that one task sweeps; cents and days on the sides of a block, from all legs in one block to the smallest blocks.
+BLOCK_LEGS = 200_000
+GRIDS = ((0, 0), (1 << 18, 1 << 10), (1 << 14, 512), (1 << 11, 256), (256, 128), (64, 64), (16, 32))
+
+
+def _words(out_pos: Column, out_text: Column, in_pos: Column, in_text: Column) -> Column:
+    """Whether the texts of both legs, the earlier row's first, hold a transfer word."""
+    return F.when(out_pos < in_pos, transfer_word(out_text, in_text)).otherwise(transfer_word(in_text, out_text))
 
 
 def candidates(txns: DataFrame, *, window: int = WINDOW) -> DataFrame:
@@ -37,33 +51,236 @@ def candidates(txns: DataFrame, *, window: int = WINDOW) -> DataFrame:
     pairs = out.join(into, ["cents", "bin"]).where(
         ~F.col("out_account_id").eqNullSafe(F.col("in_account_id")) & (F.abs(F.col("out_amount") + F.col("in_amount")) <= CENT) & (gap <= window)
     )
-    return pairs.select("out_pos", "in_pos", transfer_word(F.col("out_description"), F.col("in_description")).alias("has_word"), gap.alias("gap"))
+    words = _words(F.col("out_pos"), F.col("out_description"), F.col("in_pos"), F.col("in_description"))
+    return pairs.select("out_pos", "in_pos", words.alias("has_word"), gap.alias("gap"))
+
+
+def _split_words() -> list[tuple[str, str]]:
+    """Transfer words of several words, parted at each blank: they may begin in one leg's text and end in the other's."""
+    parts = [w.split(" ") for w in TRANSFER_WORDS]
+    return [(" ".join(p[:i]), " ".join(p[i:])) for p in parts for i in range(1, len(p))]
+
+
+def _legs(txns: DataFrame) -> DataFrame:
+    """pos, account_id, amount, cents, day (a number) and what its text holds: word, ends and starts (bits of the parts of
+    words in _split_words that its text ends or starts with)."""
+    amount, text = finite(F.col("amount")), F.upper(F.coalesce("description", F.lit("")))
+    bits = lambda test, side: sum((F.when(test(text, F.lit(w[side])), 1 << i).otherwise(0) for i, w in enumerate(_split_words())), F.lit(0))
+    legs = txns.select(
+        F.col("pos").cast("bigint").alias("pos"), F.col("account_id").cast("string").alias("account_id"), amount.alias("amount"),
+        F.round(F.abs(amount) * 100).cast("bigint").alias("cents"), F.unix_date("date").alias("day"),
+        F.coalesce(transfer_word(text), F.lit(False)).alias("word"), bits(F.endswith, 0).alias("ends"), bits(F.startswith, 1).alias("starts"),
+    )
+    return legs.where((F.col("amount") != 0) & F.col("day").isNotNull())
+
+
+class _Queue:
+    """Legs by account in order of position: the first one of another account than a given one."""
+
+    def __init__(self):
+        self.own: dict[int, deque[int]] = {}
+        self.heads: list[tuple[int, int]] = []
+
+    def _top(self) -> tuple[int, int] | None:
+        while self.heads:
+            leg, account = self.heads[0]
+            if self.own[account] and self.own[account][0] == leg:
+                return self.heads[0]
+            heapq.heappop(self.heads)
+        return None
+
+    def first(self, account: int) -> int | None:
+        top = self._top()
+        if top is None or top[1] != account:
+            return top and top[0]
+        heapq.heappop(self.heads)
+        second = self._top()
+        heapq.heappush(self.heads, top)
+        return second and second[0]
+
+    def push(self, leg: int, account: int) -> None:
+        queue = self.own.setdefault(account, deque())
+        queue.append(leg)
+        if len(queue) == 1:
+            heapq.heappush(self.heads, (leg, account))
+
+    def pop(self, account: int) -> None:
+        queue = self.own[account]
+        queue.popleft()
+        if queue:
+            heapq.heappush(self.heads, (queue[0], account))
+
+
+class _Least:
+    """Of legs that come in any order, the least one of another account than a given one."""
+
+    def __init__(self):
+        self.best: list[tuple[int, int]] = []
+
+    def push(self, leg: int, account: int) -> None:
+        each = dict((a, x) for x, a in reversed(self.best))
+        each[account] = min(leg, each.get(account, leg))
+        self.best = sorted((x, a) for a, x in each.items())[:2]
+
+    def first(self, account: int) -> int | None:
+        return next((leg for leg, own in self.best if own != account), None)
+
+
+def sweep(legs: dict[str, np.ndarray], outside: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[int, int, bool, int]], list[int]]:
+    """Pairs (earlier leg, later leg, has_word, gap) of a block's legs, in order of position, that the greedy choice takes
+    whatever legs are outside the block; and the legs about which the block alone can't say.
+
+    The ranks' first two parts are classes: word or none, then the gap. Within a class the choice is a sweep by position:
+    a leg is taken by the earliest one still waiting that it fits. outside holds, for each leg, the first class in which
+    a leg outside might take it; from then on it is in doubt, and so is each leg that would wait for it or take it, were
+    it there. A pair is taken only if no leg in doubt stands before it.
+    """
+    n = len(legs["pos"])
+    size = np.abs(legs["amount"])
+    values, at = np.unique(size, return_inverse=True)
+    low, high = np.searchsorted(values, values - 2 * CENT), np.searchsorted(values, values + 2 * CENT)
+    near = [[j for j in range(a, b) if abs(values[j] - values[i]) <= CENT] for i, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True))]
+    signs = np.zeros((len(values), 2), bool)
+    inward = (legs["amount"] > 0).astype(int)
+    signs[at, inward] = True
+    met = np.array([[signs[near[i], 1].any(), signs[near[i], 0].any()] for i in range(len(values))]).reshape(-1, 2)
+    active = np.flatnonzero(met[at, inward]).tolist() if n else []
+    at, inward, day = at.tolist(), inward.tolist(), legs["day"].tolist()
+    names: dict = {}
+    account = [names.setdefault(x, len(names)) for x in legs["account_id"].tolist()]
+    kinds: dict = {}
+    kind = [kinds.setdefault(x, len(kinds)) for x in zip(legs["word"].tolist(), legs["ends"].tolist(), legs["starts"].tolist(), strict=True)]
+    holds = [[bool(a[0] or b[0] or a[1] & b[2]) for b in kinds] for a in kinds]  # of an earlier and a later leg
+    fits = {(word, b): [a for a in range(len(kinds)) if holds[a][b] == word] for word in (True, False) for b in range(len(kinds))}
+    doubt, taken, pairs, first_doubt = bytearray(n), bytearray(n), [], outside.tolist()
+    for rank in range(2 * (window + 1)):
+        word, gap = rank <= window, rank % (window + 1)
+        sure: dict[tuple, _Queue] = {}
+        unsure: dict[tuple, _Least] = {}
+        for q in active:
+            if taken[q]:
+                continue
+            if first_doubt[q] <= rank:
+                doubt[q] = 1
+            own, u, v, waiting = account[q], None, None, None
+            for d in (day[q],) if gap == 0 else (day[q] - gap, day[q] + gap):
+                for j in near[at[q]]:
+                    for k in fits[word, kind[q]]:
+                        cell = (1 - inward[q], j, d, k)
+                        if cell in sure and (x := sure[cell].first(own)) is not None and (u is None or x < u):
+                            u, waiting = x, cell
+                        if cell in unsure and (x := unsure[cell].first(own)) is not None and (v is None or x < v):
+                            v = x
+            here = (inward[q], at[q], day[q], kind[q])
+            if not doubt[q] and u is not None and (v is None or u < v):
+                sure[waiting].pop(account[u])
+                taken[u] = taken[q] = 1
+                pairs.append((u, q, word, gap))
+                continue
+            if not doubt[q] and v is None:
+                sure.setdefault(here, _Queue()).push(q, own)
+                continue
+            doubt[q] = 1
+            if u is not None:
+                sure[waiting].pop(account[u])
+                doubt[u] = 1
+                unsure.setdefault(waiting, _Least()).push(u, account[u])
+            unsure.setdefault(here, _Least()).push(q, own)
+    last = 2 * (window + 1)
+    return pairs, [i for i in range(n) if not taken[i] and (doubt[i] or first_doubt[i] < last)]
+
+
+_COLUMNS = "pos long, account_id string, amount double, cents long, day int, word boolean, ends int, starts int"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
+    """The legs of each block, of batches in which a block's rows follow one another."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        sides = np.stack([batch.column(c).to_numpy() for c in ("across", "along")])
+        cuts = [0, *(np.flatnonzero((sides[:, 1:] != sides[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            key = tuple(sides[:, a].tolist())
+            if held and key != now:
+                yield *now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield *now, pa.Table.from_batches(held)
+
+
+def _round(left: DataFrame, grid: tuple[int, int], turn: int, window: int) -> DataFrame:
+    """One sweep of every block: rows with a partner are pairs, those without are still to be judged."""
+    cents, days = grid
+    shift = (cents // 2 * (turn % 2), days // 2 * (turn // 2 % 2))
+    side = lambda c, width, moved: F.floor((F.col(c) + moved) / width).cast("bigint") if width else F.lit(0).cast("bigint")
+    placed = left.withColumns({"across": side("cents", cents, shift[0]), "along": side("day", days, shift[1])})
+    names = [x.split(" ")[0] for x in _COLUMNS.split(", ")]
+
+    def run(batches):
+        for across, along, table in _blocks(batches):
+            legs = {c: table.column(c).to_numpy() for c in names if c != "account_id"} | {"account_id": table.column("account_id")}
+            legs["account_id"] = np.array(table.column("account_id").to_pylist(), object)
+            outside = np.full(len(table), 2 * (window + 1))
+            if cents:
+                edge = legs["cents"] + shift[0] - across * cents
+                outside[(edge < 2) | (edge >= cents - 2)] = 0
+            if days:
+                edge = legs["day"] + shift[1] - along * days
+                outside = np.minimum(outside, np.where((beyond := np.minimum(edge + 1, days - edge)) <= window, beyond, outside))
+            pairs, rest = sweep(legs, outside, window)
+            for rows, partners, words, gaps in (([p[0] for p in pairs], [p[1] for p in pairs], [p[2] for p in pairs], [p[3] for p in pairs]), (rest, None, None, None)):
+                if rows:
+                    own = table.take(pa.array(rows)).select(names).combine_chunks()
+                    more = [
+                        pa.array(legs["pos"][partners]) if partners else pa.nulls(len(rows), pa.int64()),
+                        pa.array(words, pa.bool_()) if partners else pa.nulls(len(rows), pa.bool_()),
+                        pa.array(gaps, pa.int32()) if partners else pa.nulls(len(rows), pa.int32()),
+                    ]
+                    for batch in own.to_batches():
+                        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "partner", "has_word", "gap"])
+
+    ordered = placed.repartition("across", "along").sortWithinPartitions("across", "along", "pos")
+    return ordered.mapInArrow(run, f"{_COLUMNS}, partner long, has_word boolean, gap int")
+
 
+def pair_legs(txns: DataFrame, *, window: int = WINDOW, block_legs: int = BLOCK_LEGS) -> DataFrame:
+    """out_pos, in_pos, has_word and gap: the pairs that a greedy choice by rank takes among all candidates, each row once.
+    Rank: with a transfer word first, then fewer days, then the lower and the higher position.
 
-def match(pairs: DataFrame) -> DataFrame:
-    """Pairs that a greedy choice by rank takes, each row once. Rank: with a transfer word first, then fewer days, then
-    the lower and the higher position.
+    No list of candidates is made. Legs lie on a plane of cents and days; each task sweeps a block of it, and takes the
+    pairs that no leg outside its block can change. What is left are the legs in doubt, near the borders: they are swept
+    again in blocks half a side further on, which are the larger the fewer legs there are, until they fit into one. So
+    the rounds follow the logarithm of the rows, and a hot amount costs no round of its own. A block takes time in
+    proportion to its legs; the legs of one amount within the days of the smallest block are one task's, as numbers.
 
-    Rounds of what is best at both of its ends: such a pair is taken whatever else is, so that the rounds give what the
-    one-by-one choice gives. Each round is written to the shared folder; the best pair left is always taken, so the
-    rounds end. The driver sees no pair, only whether any is left.
+    Rows need pos (unique), account_id (a null one equals another), amount, date and description; zero, null or
+    non-finite amounts and null days make no pairs. An empty table gives none. Rounds are written to the shared folder.
     """
-    rank = F.struct(F.when(F.col("has_word"), 0).otherwise(1).alias("w"), "gap", F.least("out_pos", "in_pos").alias("a"), F.greatest("out_pos", "in_pos").alias("b"))
-    left = written(pairs.withColumn("rank", rank), "pairs")
-    taken: DataFrame | None = None
+    left, taken, turn = written(_legs(txns), "legs"), None, 0
     while True:
-        best_out = left.groupBy("out_pos").agg(F.min("rank").alias("rank"))
-        best_in = left.groupBy("in_pos").agg(F.min("rank").alias("rank"))
-        won = written(left.join(best_out, ["out_pos", "rank"]).join(best_in, ["in_pos", "rank"]).select("out_pos", "in_pos", "has_word", "gap"), "taken")
-        taken = won if taken is None else taken.unionByName(won)
-        if won.isEmpty():
-            return taken
-        left = written(left.join(won.select("out_pos"), "out_pos", "left_anti").join(won.select("in_pos"), "in_pos", "left_anti"), "pairs")
+        for grid in GRIDS:
+            sides = [F.floor(F.col(c) / w) for c, w in zip(("cents", "day"), grid, strict=True) if w]
+            largest = left.groupBy(*sides).count().agg(F.max("count")).first()[0] or 0
+            if largest <= block_legs:
+                break
+        swept = written(_round(left, grid, turn, window), "swept")
+        pairs = swept.where(F.col("partner").isNotNull())
+        inward = F.col("amount") > 0
+        pairs = pairs.select(F.when(inward, F.col("partner")).otherwise(F.col("pos")).alias("out_pos"), F.when(inward, F.col("pos")).otherwise(F.col("partner")).alias("in_pos"), "has_word", "gap")
+        taken = pairs if taken is None else taken.unionByName(pairs)
+        left, turn = swept.where(F.col("partner").isNull()).drop("partner", "has_word", "gap"), turn + 1
+        if grid == GRIDS[0]:
+            return taken  # one block has nothing outside
 
 
 def mark_transfers(txns: DataFrame, *, window: int = WINDOW, sticky: bool = True) -> DataFrame:
     """txns with is_transfer: true on both legs of a matched pair; with sticky, what was true before stays so."""
-    pairs = match(candidates(txns, window=window))
+    pairs = pair_legs(txns, window=window)
     used = pairs.select(F.explode(F.array("out_pos", "in_pos")).alias("_p"))
     joined = txns.join(used, txns["pos"] == used["_p"], "left")
     flag = F.col("_p").isNotNull()

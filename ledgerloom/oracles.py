@@ -137,9 +137,9 @@ IDS = """i0 AS (SELECT o_orderkey AS pos, 'c' || (o_custkey % 50) AS account_id,
   floor(o_totalprice / 100000) * CAST(-12.25 AS DOUBLE) AS amount, CASE WHEN o_orderkey % 4 <> 0 THEN '0064' END AS reference FROM orders),
 occ AS (SELECT *, row_number() OVER (PARTITION BY account_id, date, description, amount, reference ORDER BY pos) - 1 AS occurrence FROM i0),
 ids AS (SELECT pos, date, occurrence, sha256(concat_ws('|', account_id, strftime(date, '%Y-%m-%d'), description, regexp_replace(printf('%.2f', amount), '0$', ''), coalesce(reference, 'None'), occurrence))[:16] AS id FROM occ)"""
-RAW = f"""raw AS (SELECT p_partkey AS key, {_pick(("SQ *", "TST* ", "POS DEBIT ", "PAYPAL *", "CHECKCARD 0412 ", "", "0313 "), "p_partkey")} || upper(p_name)
-  || CASE WHEN p_partkey % 3 = 0 THEN ' #' || (p_partkey % 1000) ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN ' 555-123-4567' ELSE '' END || CASE WHEN p_partkey % 8 = 0 THEN ' 2K4LM8' ELSE '' END
-  || CASE WHEN p_partkey % 6 = 0 THEN ' THU' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN ' CA' ELSE '' END || CASE WHEN p_partkey % 25 = 1 THEN ' 00012345' ELSE '' END AS description, p_name FROM part)"""
+RAW = f"""raw AS (SELECT p_partkey AS key, {_pick(("SQ *", "TST* ", "POS DEBIT ", "PAYPAL *", "CHECKCARD 0907 ", "", "1126 "), "p_partkey")} || upper(p_name)
+  || CASE WHEN p_partkey % 3 = 0 THEN ' #' || (p_partkey % 1000) ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN ' 555-018-2233' ELSE '' END || CASE WHEN p_partkey % 8 = 0 THEN ' 7Q2WZ9' ELSE '' END
+  || CASE WHEN p_partkey % 6 = 0 THEN ' MON' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN ' CA' ELSE '' END || CASE WHEN p_partkey % 25 = 1 THEN ' 00098760' ELSE '' END AS description, p_name FROM part)"""
 
 
 def _title(x: str) -> str:

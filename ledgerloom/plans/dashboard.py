@@ -32,10 +32,8 @@ def ingest(documents: DataFrame, aliases: DataFrame, dictionary: DataFrame, cach
     verdicts = reconcile.reconcile(heads, rows)
     accounts = heads.select("statement_id", F.col("id").alias("account_id"))
     txns = rows.join(accounts, "statement_id")
-    # a number for each row in the order of statements and lines: sorted by ranges, so that no one task holds all
-    numbered = txns.withColumnRenamed("pos", "line").repartitionByRange("statement_id", "line").sortWithinPartitions("statement_id", "line")
-    txns = written(numbered.withColumn("pos", F.monotonically_increasing_id()), "numbered")
-    txns = store.with_ids(categorize.categorize(categorize.resolve_merchants(txns, aliases), dictionary, cache))
+    txns = written(store.numbered(txns.withColumnRenamed("pos", "line"), "statement_id", "line"), "numbered")
+    txns = store.with_ids(categorize.categorize(categorize.resolve_merchants(txns, aliases), dictionary, cache), within=("statement_id",))
     txns = written(store.new_rows(txns, txns.select("id").limit(0)), "ledger")
     marked = written(transfers.mark_transfers(txns, window=window), "marked")
     flagged = recurring.flag_recurring(marked, recurring.find_recurring(marked))

@@ -331,7 +331,7 @@ def j7_transfer_candidates(spark, d):
 
 @query
 def j8_transfer_pairs(spark, d):
-    return transfers.match(transfers.candidates(lenses.legs(spark, d))).select("out_pos", "in_pos")
+    return transfers.pair_legs(lenses.legs(spark, d))
 
 
 @query

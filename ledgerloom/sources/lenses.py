@@ -165,14 +165,39 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Years of each upload: 1995, 1998, 2020 and 2021 are in two of them.
+UPLOADS = ((1995, 1996, 2020), (1995, 1997, 1998, 2020, 2021), (1998, 1999, 2000, 2001, 2021, 2022, 2023, 2024, 2025))
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """upload (from 1), statement_id and json: the legs and bills as statements, one for each account and upload, so that
+    rows of some years are submitted twice."""
+    row = ("owner", "number", "date", "description", "amount", "ord")
+    number = F.regexp_replace("account_id", r"\D", "").cast("int")
+    some = legs(spark, sf_dir).select(F.lit("Acme").alias("owner"), number.alias("number"), "date", "description", "amount", F.col("pos").alias("ord"))
+    more = bills(spark, sf_dir).select(F.lit("Globe").alias("owner"), number.alias("number"), "date", F.col("merchant").alias("description"), "amount", F.col("pos").alias("ord"))
+    sent = F.array(*(F.when(F.year("date").isin(*years), i) for i, years in enumerate(UPLOADS, 1)))
+    rows = some.unionByName(more).select(*row, F.explode(F.array_compact(sent)).alias("upload"))
+    line = F.to_json(F.struct(
+        F.date_format("date", "yyyy-MM-dd").alias("date"), "description",
+        F.when(F.col("amount") < 0, -F.col("amount")).alias("withdrawal"), F.when(F.col("amount") > 0, F.col("amount")).alias("deposit"),
+    ))
+    lists = rows.groupBy("owner", "number", "upload").agg(F.array_sort(F.collect_list(F.struct("date", "ord", line.alias("line")))).alias("lines"))
+    head = F.to_json(F.struct(F.col("owner").alias("bank_name"), F.format_string("77-%07d", "number").alias("account_number"), F.lit("Everyday Chequing").alias("account_type")))
+    return lists.withColumn("h", head).select(
+        "upload", F.concat_ws("-", "owner", F.col("number").cast("string"), F.col("upload").cast("string")).alias("statement_id"),
+        F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"transactions":['), F.array_join(F.transform("lines", lambda r: r["line"]), ","), F.lit("]}")).alias("json"),
+    )
+
+
 def raw_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions as processors print them: prefix, name, store, phone, code, day and state."""
     k = F.col("p_partkey")
     parts = (
-        pick(("SQ *", "TST* ", "POS DEBIT ", "PAYPAL *", "CHECKCARD 0412 ", "", "0313 "), k), F.upper("p_name"),
+        pick(("SQ *", "TST* ", "POS DEBIT ", "PAYPAL *", "CHECKCARD 0907 ", "", "1126 "), k), F.upper("p_name"),
         F.when(k % 3 == 0, F.concat(F.lit(" #"), (k % 1000).cast("string"))).otherwise(""),
-        F.when(k % 4 == 0, " 555-123-4567").otherwise(""), F.when(k % 8 == 0, " 2K4LM8").otherwise(""),
-        F.when(k % 6 == 0, " THU").otherwise(""), F.when(k % 5 == 0, " CA").otherwise(""), F.when(k % 25 == 1, " 00012345").otherwise(""),
+        F.when(k % 4 == 0, " 555-018-2233").otherwise(""), F.when(k % 8 == 0, " 7Q2WZ9").otherwise(""),
+        F.when(k % 6 == 0, " MON").otherwise(""), F.when(k % 5 == 0, " CA").otherwise(""), F.when(k % 25 == 1, " 00098760").otherwise(""),
     )
     return table(spark, sf_dir, "part").select(k.alias("key"), F.concat(*parts).alias("description"))
 

@@ -9,7 +9,7 @@ from ledgerloom.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-WITHOUT_SQL = {"j8_transfer_pairs", "c7_mark_transfers"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")
