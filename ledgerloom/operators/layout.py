@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerloom.functions.num import agree, to_number
 
 #: Of the median height, a row's reach; of a page's width, a column's; columns' reach for a word; words of a
 #: column at least; mean confidence under which a row is doubtful.
 ROW_REACH, COLUMN_REACH, ASSIGN, LEAST_WORDS, DOUBTFUL = 0.6, 0.02, 2.5, 2, 70.0
-BORDERS = r"^[|\[\]{}_=~‘’“”—–-]+$"
-CURRENCY = r"^\(?-?[$€£¥]?\s?\d{1,3}(?:,?\d{3})*\.\d{2}\)?-?$"
+#: Fixed value: a row's reach where no word has a height.
+NO_HEIGHT = 5.0
+BORDERS = r"^[|_—―–=~<>*·•¦ ]+$"
+CURRENCY = r"^[($€£-]*\d{1,3}(?:,\d{3})*(?:\.\d{2})?[)-]?$|^[($€£-]*\d+\.\d{2}[)-]?$"
 
 
 def words_only(words: DataFrame) -> DataFrame:
@@ -23,26 +28,46 @@ def words_only(words: DataFrame) -> DataFrame:
 
 
 def is_currency(text: Column) -> Column:
-    return F.trim(text).rlike(CURRENCY)
+    return F.regexp_replace(text, " ", "").rlike(CURRENCY)
 
 
 def number_rows(words: DataFrame, key: str = "page") -> DataFrame:
     """words (key, text, x1, x2, y1, y2, conf) with `row`: from the top, a word joins the row before if its middle is
-    within 0.6 median heights of that row's mean. A page is one array, of as many words as a page holds."""
-    names = [c for c in words.columns if c != key]
-    word = F.struct(((F.col("y1") + F.col("y2")) / 2).alias("_m"), F.col("x1").alias("_x"), *names)
-    pages = words.groupBy(key).agg(F.array_sort(F.collect_list(word)).alias("_w"), (ROW_REACH * F.median(F.col("y2") - F.col("y1"))).alias("_reach"))
-
-    def place(state: Column, w: Column) -> Column:
-        joins = (state["n"] > 0) & (F.abs(w["_m"] - state["total"] / F.greatest(state["n"], F.lit(1))) <= F.col("_reach"))
-        row = state["row"] + F.when(joins, 0).otherwise(1)
-        total, n = F.when(joins, state["total"]).otherwise(0.0) + w["_m"], F.when(joins, state["n"]).otherwise(0) + 1
-        return F.struct(row.alias("row"), total.alias("total"), n.alias("n"), F.concat(state["rows"], F.array(row)).alias("rows"))
-
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("rows"))
-    placed = pages.withColumn("_rows", F.aggregate("_w", start, place, lambda s: s["rows"]))
-    each = placed.select(key, F.explode(F.arrays_zip("_w", "_rows")).alias("_e"))
-    return each.select(key, *(F.col(f"_e._w.{c}").alias(c) for c in names), F.col("_e._rows").alias("row"))
+    within 0.6 median heights of that row's mean. Words come sorted by page; one page is held at a time."""
+    order = ((F.col("y1") + F.col("y2")) / 2, "x1")
+    names = words.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            keys = batch.column(names.index(key))
+            cuts = [0, *(i for i in range(1, len(batch)) if keys[i] != keys[i - 1]), len(batch)] if len(batch) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and keys[a] != now:
+                    yield from placed(held)
+                    held = []
+                now = keys[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from placed(held)
+
+    def placed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page = pa.Table.from_batches(batches).combine_chunks()
+        top, bottom = (page.column(c).to_numpy() for c in ("y1", "y2"))
+        heights = (bottom - top)[bottom > top]
+        reach = ROW_REACH * float(np.median(heights)) if len(heights) else NO_HEIGHT
+        rows, row, total, n = [], -1, 0.0, 0
+        for middle in ((top + bottom) / 2).tolist():
+            if n and abs(middle - total / n) <= reach:
+                total, n = total + middle, n + 1
+            else:
+                row, total, n = row + 1, middle, 1
+            rows.append(row)
+        for batch in page.append_column("row", pa.array(rows, pa.int32())).to_batches():
+            yield batch
+
+    whole = words.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("y1", "y2")})
+    return whole.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, StructType([*whole.schema, StructField("row", IntegerType())]))
 
 
 def columns(words: DataFrame, key: str = "page") -> DataFrame:

@@ -205,3 +205,54 @@ def raw_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def debts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(k.alias("key"), F.col("s_acctbal").alias("balance"), (k % 30 + F.lit(4.99)).alias("apr"))
+
+
+HOLDERS = ("ANNA BELL", "JOHN Q DOE", "ELLA VON STEIN")
+ROWS_A_PAGE = 6
+
+
+def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, page, width and word boxes of the statements of statement_rows, printed six rows to a page: a head on the first
+    page, headings on each, an opening line, rows of which some lack the date, have a second line or furniture below, and
+    totals and the closing balance at the end. A third of the documents print one column of unsigned amounts."""
+    k, row = F.col("row_key"), F.col("pos") % ROWS_A_PAGE
+    lone = F.col("key") % 3 == 0
+    word = lambda text, x1, x2, y, conf=95.0: F.struct(text.alias("text"), F.lit(x1).cast("double").alias("x1"), F.lit(x2).cast("double").alias("x2"), F.lit(y).cast("double").alias("y1"), F.lit(conf).cast("double").alias("conf"))
+    lit = lambda text, x1, x2, y, conf=95.0: word(F.lit(text), x1, x2, y, conf)
+    money = lambda x, right, y, conf=95.0: word(F.format_number(x, 2), right + F.col("key") % 4 - 50, right + F.col("key") % 4, y, conf)
+    run = lambda text, x, y: F.transform(F.split(F.lit(text) if isinstance(text, str) else text, " "), lambda t, i: word(t, x + 40 * i, x + 40 * i + 35, y))
+    rows = statement_rows(spark, sf_dir).withColumn("page", F.floor(F.col("pos") / ROWS_A_PAGE).cast("int"))
+    y, conf = 140 + 40 * row, F.when(k % 13 == 0, 60.0).otherwise(95.0)
+    said = F.transform(F.split(F.replace("description", F.lit("UNIT 7"), F.lit("UNIT B")), " "), lambda t, i: word(t, 60 + 40 * i, 95 + 40 * i, y, conf))
+    side = F.when(lone | F.col("deposit").isNotNull(), 480).otherwise(400)
+    below = (
+        F.when(k % 5 == 0, run("Store north", 62, y + 20)).when(k % 7 == 0, run("Member FDIC insured", 62, y + 20))
+        .when(k % 11 == 0, run("please see the other side for terms", 62, y + 20)).when(k % 17 == 0, run("carried over", 350, y + 20))
+    )
+    printed = F.concat(
+        F.array(F.when(k % 9 != 0, word(F.date_format("date", "yyyy-MM-dd"), 10, 50, y, conf))), said, F.array(F.when(k % 4 != 0, word(F.lpad((k % 100).cast("string"), 4, "0"), 252, 278, y, conf))),
+        F.array(money(F.coalesce("deposit", "withdrawal"), side, y, conf), F.when((k % 89 != 0) | (k % 9 == 0), money(F.coalesce("balance", F.lit(500.0)), 560, y, conf))), F.coalesce(below, F.array().cast(BOXES)),
+    )
+    lines = rows.select("statement_id", "page", F.explode(F.array_compact(printed)).alias("w"))
+    ends = rows.groupBy("statement_id", "key").agg(F.max("pos").alias("last"))
+    heads = statement_headers(spark, sf_dir).join(ends.drop("key"), "statement_id")
+    titles = F.concat(F.array(lit("Date", 10, 40, 100, 3.0), lit("Description", 60, 140, 100, 3.0), lit("Ref", 250, 280, 100, 3.0)), F.when(lone, F.array(lit("Amount", 430, 480, 100, 3.0))).otherwise(F.array(lit("Withdrawals", 330, 400, 100, 3.0), lit("Deposits", 430, 480, 100, 3.0))), F.array(lit("Balance", 510, 560, 100, 3.0)))
+    every = heads.select("statement_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / ROWS_A_PAGE).cast("int"))).alias("page"), F.explode(titles).alias("w"))
+    first = F.concat(
+        run("ab Harbour Trust Bank", 10, 0), run("Statement of Account", 400, 0), run("12 Quay Street", 10, 20), run("Account Number:", 400, 20), F.array(word(F.concat(F.lit("12-"), F.lpad(F.col("key").cast("string"), 7, "0")), 480, 560, 20)),
+        run(pick(HOLDERS, F.col("key")), 10, 40), F.array(word(pick(("Chequing", "Savings"), F.col("key")), 400, 440, 40)),
+        F.array(word(F.col("statement_period_start"), 400, 450, 60), lit("to", 455, 465, 60), word(F.col("statement_period_end"), 470, 520, 60)), run("Opening Balance", 60, 120), F.array(money(F.col("opening_balance"), 560, 120)),
+    )
+    foot = 140 + 40 * (F.col("last") % ROWS_A_PAGE) + 40
+    last = F.concat(
+        F.array(F.when(~lone, lit("Totals", 60, 95, foot)), F.when(~lone, money(F.col("outward"), 400, foot)), F.when(~lone, money(F.col("inward"), 480, foot))),
+        run("Closing Balance", 60, foot + 20), F.array(money(F.coalesce("closing_balance", F.lit(0.0)), 560, foot + 20)),
+    )
+    sums = rows.groupBy("statement_id").agg(*(F.coalesce(F.sum(F.col(c).cast("decimal(18,2)")), F.lit(0)).cast("double").alias(n) for c, n in (("withdrawal", "outward"), ("deposit", "inward"))))
+    top = heads.select("statement_id", F.lit(0).alias("page"), F.explode(first).alias("w"))
+    end = heads.join(sums, "statement_id").select("statement_id", F.floor(F.col("last") / ROWS_A_PAGE).cast("int").alias("page"), F.explode(F.array_compact(last)).alias("w"))
+    boxes = lines.unionByName(every).unionByName(top).unionByName(end)
+    return boxes.select(F.col("statement_id").alias("doc"), "page", F.lit(600.0).alias("width"), "w.text", "w.x1", "w.x2", "w.y1", (F.col("w.y1") + 10).alias("y2"), "w.conf")
+
+
+BOXES = "array<struct<text:string,x1:double,x2:double,y1:double,conf:double>>"
