@@ -56,9 +56,6 @@ ORACLES.update({
     "g4_header_rows": "SELECT o_orderkey AS page, 1 AS row, CASE WHEN o_orderkey % 2 = 0 THEN 'balance,date,description,withdrawal' ELSE 'balance,date,deposit,description' END AS roles FROM orders",
     "g5_column_labels": """SELECT o_orderkey AS page, CASE WHEN o_orderkey % 3 <> 0 THEN 2 ELSE 1 END AS n, CASE WHEN o_orderkey % 3 <> 0 THEN 503.0::DOUBLE ELSE 301.0::DOUBLE END AS last_edge,
   CASE WHEN o_orderkey % 3 = 0 THEN 'balance' WHEN o_orderkey % 2 = 0 THEN 'withdrawal,balance' ELSE 'deposit,balance' END AS labels FROM orders""",
-    "w8_continuations": """WITH l AS (SELECT o_custkey AS page, o_orderkey AS row, CASE WHEN o_orderkey % 3 = 0 THEN 'transaction' WHEN o_orderkey % 7 = 0 THEN 'closing' ELSE 'continuation' END AS kind, o_totalprice AS amount FROM orders),
-  i AS (SELECT *, sum(CASE WHEN kind <> 'continuation' THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY row) AS island FROM l)
-  SELECT page, min(row) AS row, string_agg('p' || row, ' ' ORDER BY row) AS text, arg_min(amount, row) AS amount FROM i GROUP BY page, island HAVING arg_min(kind, row) = 'transaction'""",
     "q1_refusals": "SELECT * FROM (VALUES " + ", ".join("('" + s.replace("'", "''") + f"', {str(r).lower()})" for s, r in edge_queries.STATEMENTS) + ") t(statement, refused)",
     "st2_doubled_stream": ORACLES["st2_deduplicated_stream"],
 })

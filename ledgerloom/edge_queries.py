@@ -216,14 +216,6 @@ def g5_column_labels(spark, d):
     return counted.join(roles, "page").select("page", "n", "last_edge", F.array_join(layout.column_labels(F.col("n"), F.col("roles")), ",").alias("labels"))
 
 
-@query
-def w8_continuations(spark, d):
-    k = F.col("o_orderkey")
-    kind = F.when(k % 3 == 0, "transaction").when(k % 7 == 0, "closing").otherwise("continuation")
-    line = lenses.table(spark, d, "orders").select(F.col("o_custkey").alias("page"), k.alias("row"), kind.alias("kind"), F.array(F.col("o_totalprice")).alias("amounts"), F.concat(F.lit("p"), k.cast("string")).alias("text"), F.lit(90.0).alias("conf"))
-    return layout.join_continuations(line).select("page", "row", "text", F.get("amounts", F.lit(0)).alias("amount"))
-
-
 @query
 def q1_refusals(spark, d):
     lenses.transactions(spark, d).createOrReplaceTempView("transactions")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ledgerloom.functions.num import agree, to_number
+from ledgerloom.functions.num import agree
 
 #: Of the median height, a row's reach; of a page's width, a column's; columns' reach for a word; words of a
 #: column at least; mean confidence under which a row is doubtful.
@@ -143,33 +143,6 @@ def column_labels(count: Column, roles: Column) -> Column:
     )
 
 
-def lines(words: DataFrame, key: str = "page") -> DataFrame:
-    """One row a line: text in order, amounts by column, mean confidence, doubtful, and kind: opening, closing, total,
-    transaction (begins with a date and has an amount) or continuation."""
-    ordered = F.array_sort(F.collect_list(F.struct("x1", "text", "column")))
-    out = words.groupBy(key, "row").agg(ordered.alias("_w"), F.avg("conf").alias("conf"))
-    text = F.array_join(F.transform(F.filter("_w", lambda w: w["column"].isNull()), lambda w: w["text"]), " ")
-    amounts = F.transform(F.filter("_w", lambda w: w["column"].isNotNull()), lambda w: F.struct(w["column"].alias("column"), to_number(w["text"]).alias("value")))
-    low = F.lower("text")
-    kind = (
-        F.when(low.rlike("opening balance|balance forward|previous balance"), "opening").when(low.rlike("closing balance|ending balance|new balance"), "closing")
-        .when(low.rlike(r"\btotals?\b"), "total").when(low.rlike(r"^(?:\d{1,4}[/-]\d{1,2}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d)") & (F.size("amounts") > 0), "transaction")
-        .otherwise("continuation")
-    )
-    return out.withColumns({"text": text, "amounts": amounts}).withColumns({"kind": kind, "doubtful": F.col("conf") < DOUBTFUL}).drop("_w")
-
-
-def join_continuations(found: DataFrame, key: str = "page") -> DataFrame:
-    """Transactions with the texts of the continuation lines that follow them."""
-    order = Window.partitionBy(key).orderBy("row")
-    island = F.sum((F.col("kind") != "continuation").cast("int")).over(order)
-    grouped = found.withColumn("_i", island).groupBy(key, "_i").agg(
-        F.min("row").alias("row"), F.min_by("kind", "row").alias("kind"), F.min_by("amounts", "row").alias("amounts"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), " ").alias("text"), F.avg("conf").alias("conf"),
-    )
-    return grouped.where("kind = 'transaction'").drop("_i")
-
-
 #: Rows of a page's head; rows below a heading and share of the page's width around it where its value may
 #: stand; digits of an account number that is taken at once; numbers that are none.
 HEAD, BELOW, AROUND, ENOUGH = 20, 4, 0.12, 6

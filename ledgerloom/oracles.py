@@ -244,9 +244,12 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 3, count(DISTINCT dayofweek(date) IN (0, 6)), {_money("-amount")} FROM txn WHERE {SPENT} AND amount < 0""",
     "g2_number_rows": f"WITH {BOXES} SELECT page, count(DISTINCT l_linenumber) AS rows, count(*) * 3 AS words FROM box GROUP BY 1",
     "g3_columns": f"WITH {BOXES}, {COLUMNS} SELECT page, row_number() OVER (PARTITION BY page ORDER BY edge) - 1 AS \"column\", {_r('edge', 3)} AS edge FROM cols",
-    "g8_lines": f"""WITH {BOXES}, {COLUMNS}, near AS (SELECT box.*, EXISTS (SELECT 1 FROM cols WHERE cols.page = box.page AND abs(cols.edge - box.x2) <= 30) AS assigned FROM box),
-        per AS (SELECT page, l_linenumber, bool_or(assigned) AS assigned, avg(conf) AS conf, sum(CASE WHEN assigned THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END) AS value FROM near GROUP BY 1, 2)
-        SELECT page, count(*) FILTER (assigned) AS transactions, count(*) FILTER (conf < 70) AS doubtful, {_money("value")} AS total FROM per GROUP BY 1""",
+    "g8_lines": f"""WITH {BOXES}, {COLUMNS}, near AS (SELECT box.*, (SELECT arg_min(c, abs(cols.edge - box.x2)) FROM cols WHERE cols.page = box.page AND abs(cols.edge - box.x2) <= 30) AS c FROM box),
+        -- of two amounts in one column of a line the rightmost counts
+        held AS (SELECT page, l_linenumber, c, arg_max(value, {{'x': x2, 't': format('{{:,.2f}}', value)}}) AS value FROM near WHERE c IS NOT NULL GROUP BY 1, 2, 3),
+        per AS (SELECT page, l_linenumber, bool_or(c IS NOT NULL) AS assigned, avg(conf) FILTER (conf < 100) AS conf FROM near GROUP BY 1, 2),
+        counts AS (SELECT page, count(*) FILTER (assigned) AS transactions, count(*) FILTER (assigned AND conf < 70) AS doubtful FROM per GROUP BY 1)
+        SELECT page, transactions, doubtful, coalesce(total, 0) AS total FROM counts LEFT JOIN (SELECT page, {_money("value")} AS total FROM held GROUP BY 1) USING (page)""",
     "w5_infer_signs": f"""WITH {LINES}, q AS (SELECT row_key, coalesce(deposit, withdrawal) AS value, balance, coalesce(last_value(balance IGNORE NULLS) OVER (PARTITION BY statement_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1000) AS prior FROM lines)
         SELECT row_key, CASE WHEN abs(balance - prior - value) <= {CENT} THEN value END AS deposit, CASE WHEN abs(balance - prior + value) <= {CENT} THEN value END AS withdrawal FROM q""",
     "st1_tumbling_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2",

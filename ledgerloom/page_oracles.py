@@ -32,4 +32,11 @@ ORACLES |= {
         CASE WHEN key % 2 = 0 THEN 'Chequing' ELSE 'Savings' END AS account_type, first AS statement_period_start, final AS statement_period_end, '12-' || lpad(CAST(key AS VARCHAR), 7, '0') AS account_number FROM page_heads""",
     "g13_adapted_pages": f"""WITH {PRINTED} SELECT doc AS statement_id, 'harbour-trust-bank-' || lpad(CAST(key AS VARCHAR), 7, '0')[-4:] AS account_id, coalesce(closing_balance, first_value(balance) OVER (PARTITION BY doc ORDER BY pos DESC)) AS closing_balance, pos, coalesce(date, first) AS date, description,
         {_r("coalesce(deposit, 0) - coalesce(withdrawal, 0)")} AS amount, balance FROM page_rows JOIN page_heads ON doc = page_heads.statement_id QUALIFY coalesce(deposit, 0) <> coalesce(withdrawal, 0)""",
+    "w8_continuations": """SELECT doc, pos, nullif(day, '') AS date, description, amount, nullif(total, -1) AS balance FROM (WITH l AS (SELECT o_custkey % 50 AS page, o_orderkey AS k, o_totalprice AS price, o_orderdate, o_orderkey % 3 = 0 AS dated, o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 AS sure, o_orderkey % 5 = 0 AS lone FROM orders),
+        b AS (SELECT *, min(k) FILTER (sure OR lone) OVER (PARTITION BY page) AS begun FROM l),
+        t AS (SELECT *, sure OR (lone AND k = begun) AS own FROM b WHERE sure OR (lone AND k >= begun) OR (k > begun AND k % 11 <> 0)),
+        i AS (SELECT *, count(*) FILTER (own) OVER (PARTITION BY page ORDER BY k) AS island,
+          CASE WHEN dated THEN 'buy' WHEN sure THEN 'fee' WHEN lone THEN 'plus' ELSE 'note' END || ' n' || k AS said FROM t)
+        SELECT CAST(page AS VARCHAR) AS doc, row_number() OVER (PARTITION BY page ORDER BY min(k)) - 1 AS pos, arg_min(CASE WHEN dated THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END, k) AS day,
+          string_agg(said, ' ' ORDER BY k) AS description, arg_min(price, k) AS amount, arg_min(CASE WHEN sure THEN price * 2 ELSE -1 END, k) AS total FROM i GROUP BY page, island)""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, num, text
-from ledgerloom.operators import adapt, aggregates, categorize, layout, payoff, reconcile, recurring, store, transfers
+from ledgerloom.operators import adapt, aggregates, categorize, layout, pages, payoff, reconcile, recurring, store, transfers
 from ledgerloom.plans import ask, dashboard
 from ledgerloom.sources import lenses, statements
 from ledgerloom.streaming import events
@@ -419,7 +419,7 @@ def _boxes(spark, d):
     amount = F.format_number(F.col("l_extendedprice"), 2)
     right = F.when(F.col("l_returnflag") == "R", 480.0).otherwise(400.0) + (F.col("l_suppkey") % 4)
     boxes = F.array(
-        F.struct(F.date_format("l_shipdate", "MM/dd").alias("text"), F.lit(10.0).alias("x1"), F.lit(50.0).alias("x2")),
+        F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("text"), F.lit(10.0).alias("x1"), F.lit(50.0).alias("x2")),
         F.struct(F.lit("|").alias("text"), F.lit(52.0).alias("x1"), F.lit(53.0).alias("x2")),
         F.struct(F.concat(F.lit("part"), F.col("l_partkey").cast("string")).alias("text"), F.lit(60.0).alias("x1"), F.lit(140.0).alias("x2")),
         F.struct(amount.alias("text"), (right - 50).alias("x1"), right.alias("x2")),
@@ -441,9 +441,12 @@ def g3_columns(spark, d):
 
 @query
 def g8_lines(spark, d):
-    words = layout.number_rows(layout.words_only(_boxes(spark, d)))
-    assigned = layout.assign_columns(words, layout.columns(words))
-    return layout.lines(assigned).groupBy("page").agg(F.count_if(F.col("kind") == "transaction").alias("transactions"), F.count_if("doubtful").alias("doubtful"), num.money_sum(F.aggregate("amounts", F.lit(0.0), lambda a, x: a + x["value"])).alias("total"))
+    words = _boxes(spark, d).withColumns({"doc": F.col("page").cast("string"), "page": F.lit(0)})
+    rows, heads = pages.read_pages(words)
+    money = F.coalesce("amount", F.lit(0.0)) + F.coalesce("balance", F.lit(0.0))
+    found = rows.groupBy("doc").agg(F.count("*").alias("transactions"), F.count_if("doubtful").alias("doubtful"), num.money_sum(money).alias("total"))
+    found = heads.select("doc").join(found, "doc", "left")
+    return found.select(F.col("doc").cast("bigint").alias("page"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("transactions", "doubtful", "total")))
 
 
 @query
