@@ -8,6 +8,7 @@ from ledgerloom.functions import dates, text
 from ledgerloom.operators import adapt, aggregates, categorize, layout, reconcile, recurring
 from ledgerloom.plans import ask, dashboard
 from ledgerloom.queries import _statements, query
+from ledgerloom.session import new_path
 from ledgerloom.sources import lenses, statements
 from ledgerloom.streaming import events
 
@@ -218,21 +219,20 @@ def g5_column_labels(spark, d):
 
 @query
 def q1_refusals(spark, d):
-    lenses.transactions(spark, d).createOrReplaceTempView("transactions")
-    lenses.accounts(spark, d).createOrReplaceTempView("accounts")
-
-    def refused(sql: str) -> bool:
+    def refused(inner, sql: str) -> bool:
         try:
-            ask.check(spark, sql, ("transactions", "accounts"))
+            ask.check(inner, sql, ("transactions", "accounts"))
         except ask.Refused:
             return True
         return False
 
-    return spark.createDataFrame([(sql, refused(sql)) for sql, _ in STATEMENTS], "statement string, refused boolean")
+    with ask.isolated(spark, transactions=lenses.transactions(spark, d), accounts=lenses.accounts(spark, d)) as inner:
+        found = [(sql, refused(inner, sql)) for sql, _ in STATEMENTS]
+    return spark.createDataFrame(found, "statement string, refused boolean")
 
 
 @query
 def st2_doubled_stream(spark, d):
     """Every event delivered twice."""
     stream = events.read(spark, f"{d}/events.parquet")
-    return events.drain(events.once(stream.unionByName(stream)).select("event_id", "event_type", "value"), "doubled", "append")
+    return events.drain(events.once(stream.unionByName(stream)).select("event_id", "event_type", "value"), new_path(spark, "doubled"), "append")

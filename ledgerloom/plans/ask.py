@@ -6,6 +6,7 @@ import re
 import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -15,13 +16,20 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.aggregates import is_empty_result, rounded
 
 ROW_LIMIT, SUMMARY_ROWS, MERCHANTS_LISTED, SECONDS = 500, 50, 150, 3.0
+#: Characters of a statement, and seconds that its analysis and its plan may take, which no job is there to be cancelled for.
+LONGEST, PLANNING = 20_000, 10.0
+#: What would be computed while planning, on the driver: in a session of its own it waits for a task.
+_FOLDING = ",".join(f"org.apache.spark.sql.catalyst.optimizer.{r}" for r in ("ConstantFolding", "ConvertToLocalRelation", "OptimizeOneRowPlan"))
 #: Plan nodes that may stand over the one SELECT, and nodes that are one.
 OVER = {"Sort", "GlobalLimit", "LocalLimit", "Offset", "UnresolvedHaving", "UnresolvedWith", "Distinct", "SubqueryAlias", "WithWindowDefinition"}
 SELECTS = {"Project", "Aggregate"}
 #: What a plan may read besides the views, once analysed: nothing at all, literal rows, and its own WITH.
 LEAVES = {"OneRowRelation", "LocalRelation", "CTERelationRef"}
-#: Expressions that reach files or the JVM, and plan nodes that call table functions by name.
-BARRED = {"CallMethodViaReflection", "TryReflect", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "PythonUDF", "ScalaUDF"}
+#: Expressions that reach files or the JVM, and those that make values of any size out of a few characters.
+BARRED = {
+    "CallMethodViaReflection", "TryReflect", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "PythonUDF", "ScalaUDF",
+    "Sequence", "ArrayRepeat", "StringRepeat", "StringSpace",
+}
 
 
 class Refused(ValueError):
@@ -77,10 +85,49 @@ def _expressions(node) -> Iterator:
         yield from under(e)
 
 
+@contextmanager
+def isolated(spark: SparkSession, **views: DataFrame) -> Iterator[SparkSession]:
+    """A session that has these views and nothing else of the caller's: not its views, functions or settings. The caller's
+    own views stay as they are. Constants are not computed while planning there."""
+    inner, shared = spark.newSession(), []
+    try:
+        for name, df in views.items():
+            shared.append(f"ask_{uuid.uuid4().hex}")
+            df.createGlobalTempView(shared[-1])
+            inner.sql(f"CREATE TEMPORARY VIEW {name} AS SELECT * FROM global_temp.{shared[-1]}")
+        inner.conf.set("spark.sql.optimizer.excludedRules", _FOLDING)
+        yield inner
+    finally:
+        for name in shared:
+            spark.catalog.dropGlobalTempView(name)
+
+
+def _within(seconds: float, work: Callable):
+    """What work gives; Refused if it takes longer. The thread it runs in is not waited for."""
+    done: list = []
+
+    def run() -> None:
+        try:
+            done.append((work(), None))
+        except BaseException as failed:
+            done.append((None, failed))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not done:
+        raise Refused(f"the statement could not be planned within {seconds:g} seconds")
+    if done[0][1] is not None:
+        raise done[0][1]
+    return done[0][0]
+
+
 def check(spark: SparkSession, sql: str, views: tuple[str, ...]) -> str:
     """The statement without fences, if it is one SELECT over the views alone; Refused otherwise. Top-level UNION,
     parentheses around the whole, commands, paths as tables, and functions that reach files or the JVM are refused."""
     sql = strip_fences(sql)
+    if len(sql) > LONGEST:
+        raise Refused(f"a statement has at most {LONGEST} characters")
     if not re.match(r"(?i)(select|with)\b", re.sub(r"(?s)^(\s*(--[^\n]*\n|/\*.*?\*/))*\s*", "", sql)):
         raise Refused("only SELECT is allowed")
     try:
@@ -114,8 +161,15 @@ def check(spark: SparkSession, sql: str, views: tuple[str, ...]) -> str:
 
 
 def run(spark: SparkSession, sql: str, views: tuple[str, ...], *, limit: int = ROW_LIMIT, seconds: float = SECONDS) -> list[dict]:
-    """Rows of a checked statement, its floats rounded, `limit` at most; the job is cancelled after `seconds`."""
-    df = rounded(spark.sql(check(spark, sql, views)).limit(limit))
+    """Rows of a checked statement, its floats rounded, `limit` at most; planning may take PLANNING seconds, and its job is
+    cancelled after `seconds`."""
+
+    def planned() -> DataFrame:
+        df = rounded(spark.sql(check(spark, sql, views)).limit(limit))
+        df._jdf.queryExecution().executedPlan()
+        return df
+
+    df = _within(PLANNING, planned)
     group = f"ask-{uuid.uuid4().hex}"
     spark.sparkContext.setJobGroup(group, "ask", interruptOnCancel=True)
     timer = threading.Timer(seconds, lambda: spark.sparkContext.cancelJobGroup(group))
@@ -182,24 +236,24 @@ def ask(
     generate: Callable[[str], dict] = by_template, summarize: Callable[[str, list[dict]], str] = _plain_summary,
 ) -> Answer:
     """A question's statement, rows and summary. generate takes a prompt and gives {sql} or {refusal}; a statement that
-    fails is asked for once more with the error. Never raises for what a generator or a summary does."""
-    accounts.createOrReplaceTempView("accounts")
-    txns.createOrReplaceTempView("transactions")
+    fails is asked for once more with the error. Statements run in a session of their own. Never raises for what a
+    generator or a summary does."""
     sql, error, rows = None, None, None
     try:
         known = inventory(accounts, txns)
-        for _ in range(2):
-            reply = generate(prompt(question, known, error))
-            if reply.get("refusal"):
-                return Answer(reply["refusal"], sql)
-            sql = reply.get("sql") or ""
-            try:
-                rows = run(spark, sql, ("transactions", "accounts"))
-                break
-            except (Refused, PySparkException) as bad:
-                error = str(bad).splitlines()[0]
-            except Exception as bad:  # a cancelled job
-                error = type(bad).__name__
+        with isolated(spark, accounts=accounts, transactions=txns) as inner:
+            for _ in range(2):
+                reply = generate(prompt(question, known, error))
+                if reply.get("refusal"):
+                    return Answer(reply["refusal"], sql)
+                sql = reply.get("sql") or ""
+                try:
+                    rows = run(inner, sql, ("transactions", "accounts"))
+                    break
+                except (Refused, PySparkException) as bad:
+                    error = str(bad).splitlines()[0]
+                except Exception as bad:  # a cancelled job
+                    error = type(bad).__name__
     except Exception as bad:
         return Answer(f"No statement could be written: {type(bad).__name__}.", sql)
     if rows is None:
@@ -212,4 +266,4 @@ def ask(
         return Answer(f"{len(rows)} rows.", sql, rows)
 
 
-__all__ = ["Answer", "Refused", "ask", "check", "inventory", "is_empty_result", "prompt", "run", "strip_fences"]
+__all__ = ["Answer", "Refused", "ask", "check", "inventory", "is_empty_result", "isolated", "prompt", "run", "strip_fences"]

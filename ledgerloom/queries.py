@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates, num, text
 from ledgerloom.operators import adapt, aggregates, categorize, layout, pages, payoff, reconcile, recurring, store, transfers
 from ledgerloom.plans import ask, dashboard
+from ledgerloom.session import new_path
 from ledgerloom.sources import lenses, statements
 from ledgerloom.streaming import events
 
@@ -401,14 +402,12 @@ def c13_dashboard(spark, d):
 @query
 def q2_ask_templates(spark, d):
     """Each suggested question's statement through the guard, over the whole ledger."""
-    txns, accounts = _txns(spark, d), lenses.accounts(spark, d)
-    txns.createOrReplaceTempView("transactions")
-    accounts.createOrReplaceTempView("accounts")
     out = None
-    for i, sql in enumerate(ask.TEMPLATES.values()):
-        df = spark.sql(ask.check(spark, sql, ("transactions", "accounts")))
-        rows = df.groupBy().agg(F.count("*").alias("n"), num.money_sum(F.col("spent")).alias("spent")).select(F.lit(i).alias("template"), "n", "spent")
-        out = rows if out is None else out.unionByName(rows)
+    with ask.isolated(spark, transactions=_txns(spark, d), accounts=lenses.accounts(spark, d)) as inner:
+        for i, sql in enumerate(ask.TEMPLATES.values()):
+            df = inner.sql(ask.check(inner, sql, ("transactions", "accounts")))
+            rows = df.groupBy().agg(F.count("*").alias("n"), num.money_sum(F.col("spent")).alias("spent")).select(F.lit(i).alias("template"), "n", "spent")
+            out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -457,19 +456,18 @@ def w5_infer_signs(spark, d):
 
 @query
 def st1_tumbling_windows(spark, d):
-    return events.drain(events.tumbling(events.read(spark, f"{d}/events.parquet")), "tumbling")
+    return events.drain(events.tumbling(events.read(spark, f"{d}/events.parquet")), new_path(spark, "tumbling"))
 
 
 @query
 def st2_deduplicated_stream(spark, d):
     stream = events.once(events.read(spark, f"{d}/events.parquet"))
-    return events.drain(stream.select("event_id", "event_type", "value"), "once", "append")
+    return events.drain(stream.select("event_id", "event_type", "value"), new_path(spark, "once"), "append")
 
 
 @query
 def st3_sessions(spark, d):
-    rows = lenses.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.sessions(rows)
+    return events.drain(events.sessions(events.read(spark, f"{d}/events.parquet")), new_path(spark, "sessions"))
 
 
 HEADLINE = ("a1_summary", "a2_by_category", "a3_by_month", "j1_accounts_with_counts", "c2_reconcile", "c4_categorize", "c8_find_recurring", "c11_payoff_scenarios", "j7_transfer_candidates", "f6_transaction_id", "c1_adapt_rows", "f1_merchant_key")

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import shared_dir
-
 #: How late an event may come.
 LATE = "1 hour"
 
@@ -36,14 +32,16 @@ def once(events: DataFrame, keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
     return events.dropDuplicatesWithinWatermark([*keys])
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now, and give what its sink then holds. A restart goes on from the checkpoint."""
+def drain(stream: DataFrame, base: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there now, and give what its sink then holds. base is a folder of the caller's, for the
+    checkpoint and the sink: with the same one, a later call goes on where the last one ended, be it that more has
+    come or that it broke off. Each batch has a folder by its number, so that one that is run twice counts once; in
+    complete mode the newest batch is all."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/{number:012d}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")

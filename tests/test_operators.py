@@ -1,6 +1,7 @@
 """Operators against small cases and against plain Python."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import adapt, aggregates, categorize, layout, payoff, reconcile, recurring, store, transfers
 from ledgerloom.plans import ask, dashboard
 from ledgerloom.sources import statements
+from ledgerloom.streaming import events
 
 DAY = dt.date(2024, 1, 1)
 TXN = "pos bigint, id string, account_id string, date date, description string, merchant string, category string, amount double, reference string, is_transfer boolean"
@@ -239,6 +241,46 @@ def test_ask(spark):
     assert ask.ask(spark, "q", acc, led, generate=lambda _: 1 / 0).rows == []
 
 
+def test_ask_leaves_the_session_alone(spark):
+    acc, led = _views(spark)
+    spark.sql("SELECT 'mine' AS x").createOrReplaceTempView("transactions")
+    spark.sql("SELECT 'secret' AS x").createOrReplaceTempView("other")
+    seen = []
+
+    def look(text):
+        seen.append(text)
+        return {"sql": "SELECT x FROM other" if len(seen) == 1 else "SELECT count(*) AS n FROM transactions"}
+
+    assert ask.ask(spark, "q", acc, led, generate=look).rows == [{"n": 2}] and "other" in seen[1]
+    assert spark.table("transactions").first().x == "mine" and spark.conf.get("spark.sql.optimizer.excludedRules", "") == ""
+    assert not [t for t in spark.catalog.listTables("global_temp") if t.name.startswith("ask_")]
+    with ask.isolated(spark, transactions=led) as inner:
+        for sql in ("SELECT sequence(1, 1000000000)", "SELECT size(array_repeat(1, 1000000000))", "SELECT repeat('x', 1000000000)", "SELECT " + "1 + " * 10_000 + "1", "SELECT * FROM accounts", "SELECT * FROM global_temp.x"):
+            with pytest.raises(ask.Refused):
+                ask.check(inner, sql, ("transactions",))
+        assert ask.run(inner, "SELECT 1 + 1 AS x", ("transactions",), seconds=60) == [{"x": 2}]
+    with pytest.raises(ask.Refused):
+        ask._within(0.05, lambda: __import__("time").sleep(2))
+
+
+def test_streams_go_on(spark, tmp_path):
+    source, base, schema = tmp_path / "in", str(tmp_path / "stream"), "event_id long, ts timestamp, user_id long, event_type string, value double"
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    batches = [[(1, at(0), 7, "view", 1.0), (2, at(10), 7, "view", 2.0), (2, at(10), 7, "view", 2.0)], [(3, at(20), 7, "buy", 3.0), (1, at(0), 7, "view", 1.0), (4, at(90), 7, "view", 4.0)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        once = events.drain(events.once(events.read(spark, str(source))).select("event_id"), f"{base}/once", "append")
+        assert sorted(r.event_id for r in once.collect()) == ([1, 2], [1, 2, 3, 4])[i]
+        sessions = events.drain(events.sessions(events.read(spark, str(source))), f"{base}/sessions")
+    assert sorted((r.session_start, r.events) for r in sessions.collect()) == [("2024-01-01 00:00:00", 5), ("2024-01-01 01:30:00", 1)]
+    # the last batch broke off before it was committed: it is run again, and counts once
+    last = max(int(f) for f in os.listdir(f"{base}/once/checkpoint/commits") if f.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        os.remove(f"{base}/once/checkpoint/commits/{name}")
+    again = events.drain(events.once(events.read(spark, str(source))).select("event_id"), f"{base}/once", "append")
+    assert sorted(r.event_id for r in again.collect()) == [1, 2, 3, 4]
+
+
 def test_layout(spark):
     words = [(1, 600.0, t, x1, x2, y, y + 10, c) for t, x1, x2, y, c in [
         ("Date", 10.0, 50.0, 0.0, 90.0), ("Description", 60.0, 140.0, 1.0, 90.0), ("Withdrawals", 300.0, 400.0, 0.0, 90.0), ("01/02", 10.0, 50.0, 20.0, 60.0), ("Rent", 60.0, 140.0, 21.0, 60.0), ("40.00", 350.0, 400.0, 20.0, 60.0),
