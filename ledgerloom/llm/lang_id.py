@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +97,11 @@ def windows(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L, as isalpha has it: ², ½ or Ⅷ are numbers."""
+    return any(map(str.isalpha, text))
+
+
 def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5, F.lit(0)) == 0
 
@@ -116,8 +120,8 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     sample = known.where(draw < F.col("_share")).select(F.col(lang).alias("lang"), F.substring(F.col(text), start, F.lit(FIT_CHARS)).alias("text"), F.xxhash64(key, text).alias("o")).orderBy("o", "text").limit(2 * some * len(counts)).collect()
     langs = sorted(counts)
     place = {k: i for i, k in enumerate(langs)}
-    each = [windows(r.text.encode()) for r in sample if re.search(r"[^\W\d_]", r.text)]
-    labels = [place[r.lang] for r in sample if re.search(r"[^\W\d_]", r.text)]
+    each = [windows(r.text.encode()) for r in sample if has_letter(r.text)]
+    labels = [place[r.lang] for r in sample if has_letter(r.text)]
     if not each:
         return None
     x, y = np.concatenate(each), np.repeat(labels, [len(w) for w in each])
@@ -131,14 +135,13 @@ def identify(docs: DataFrame, net: ByteNet | None, *, keep: tuple[str, ...] = ("
     Repeated rows give a row each; an empty table gives none; null ids are kept; other columns are ignored.
     """
     shared = session_of(docs).sparkContext.broadcast(net)
-    letter = re.compile(r"[^\W\d_]")
 
     def run(batches):
         net = shared.value
         for batch in batches:
             for piece in groups_of(batch, "_text", 2_000_000):
                 own = piece.column("_text").to_pylist()
-                data = [t.encode() if net and t and letter.search(t) else b"" for t in own]
+                data = [t.encode() if net and t and has_letter(t) else b"" for t in own]
                 some = [i for i, d in enumerate(data) if d]
                 lang, score = [UNKNOWN] * len(own), np.zeros(len(own))
                 if some:
