@@ -56,6 +56,7 @@ ORACLES.update({
     "g4_header_rows": "SELECT o_orderkey AS page, 1 AS row, CASE WHEN o_orderkey % 2 = 0 THEN 'balance,date,description,withdrawal' ELSE 'balance,date,deposit,description' END AS roles FROM orders",
     "g5_column_labels": """SELECT o_orderkey AS page, CASE WHEN o_orderkey % 3 <> 0 THEN 2 ELSE 1 END AS n, CASE WHEN o_orderkey % 3 <> 0 THEN 503.0::DOUBLE ELSE 301.0::DOUBLE END AS last_edge,
   CASE WHEN o_orderkey % 3 = 0 THEN 'balance' WHEN o_orderkey % 2 = 0 THEN 'withdrawal,balance' ELSE 'deposit,balance' END AS labels FROM orders""",
+    "f21_generated_statements": ORACLES["c1_adapt_rows"],
     "q1_refusals": "SELECT * FROM (VALUES " + ", ".join("('" + s.replace("'", "''") + f"', {str(r).lower()})" for s, r in edge_queries.STATEMENTS) + ") t(statement, refused)",
     "st2_doubled_stream": ORACLES["st2_deduplicated_stream"],
 })

@@ -217,6 +217,14 @@ def g5_column_labels(spark, d):
     return counted.join(roles, "page").select("page", "n", "last_edge", F.array_join(layout.column_labels(F.col("n"), F.col("roles")), ",").alias("labels"))
 
 
+@query
+def f21_generated_statements(spark, d):
+    """Statements as a model writes them: fenced, with some amounts as text."""
+    told = F.regexp_replace("json", r'"(withdrawal|deposit)":(\d+\.\d+)([,}])', r'"$1":" \$$2 "$3')
+    docs = lenses.statement_documents(spark, d).withColumn("json", F.concat(F.lit("Here it is:\n```json\n"), told, F.lit("\n```\nAsk for more.")))
+    return adapt.adapt_rows(statements.parse(statements.generated(docs))[0]).select("statement_id", "pos", "date", "description", "amount", "balance")
+
+
 @query
 def q1_refusals(spark, d):
     def refused(inner, sql: str) -> bool:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ledgerloom.functions import text
 from ledgerloom.operators import recurring
-from ledgerloom.oracles import BILLS, CENT, KEYWORD, LEGS, ORACLES, _money, _r
+from ledgerloom.oracles import BILLS, CENT, KEYWORD, LEGS, ORACLES, TXN, _r
 from ledgerloom.sources import lenses
 
 _WORDS = "|".join(text.TRANSFER_WORDS)
@@ -54,4 +54,7 @@ ORACLES |= {
         m.id IS NOT NULL AS is_transfer, a.id IS NOT NULL AS is_recurring, CAST(upload AS BIGINT) AS upload FROM stored s LEFT JOIN moved m USING (id) LEFT JOIN again a USING (id)""",
     "a14_new_rows": f"""WITH {SENT} SELECT n.upload, owner || '-' || number || '-' || n.upload AS statement_id, any_value(n.account_id) AS account_id, count(*) AS submitted,
         count(*) FILTER (s.upload = n.upload) AS inserted, FALSE AS reconciled FROM named n JOIN stored s USING (id) GROUP BY n.upload, owner, number""",
+    "o2_recurring_order": f"SELECT merchant, annual_cost, row_number() OVER (ORDER BY annual_cost DESC, merchant) AS rank FROM ({ORACLES['c8_find_recurring']}) WHERE nature IN ('subscription', 'bill')",
+    "o3_result_cap": f"WITH {TXN} SELECT row_number() OVER (ORDER BY date DESC, id) AS rank, id, amount FROM txn QUALIFY rank <= 500",
+    "o5_candidate_order": f"SELECT out_pos, in_pos, has_word, gap, row_number() OVER (ORDER BY has_word DESC, gap, least(out_pos, in_pos), greatest(out_pos, in_pos)) AS rank FROM ({ORACLES['j7_transfer_candidates']})",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.num import printed
+from ledgerloom.session import written
 
 IDENTITY = ("account_id", "date", "description", "amount", "reference")
 
@@ -16,6 +17,17 @@ def numbered(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id())
 
 
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with rank, from 1, in an order that leaves no ties: the place in a sorted range, and the rows of the ranges
+    before it. Rows are sorted once, by ranges; what is sent to all tasks is one number for each range."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed = written(placed, "ranked").withColumn("_range", F.shiftrightunsigned("_place", 33))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_range").alias("_r"), (F.sum("_n").over(Window.partitionBy().orderBy("_range")) - F.col("_n")).alias("_before"))
+    joined = placed.join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    return joined.select(*rows.columns, (F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1).alias("rank"))
+
+
 def occurrence(rows: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """rows with `occurrence`: how many equal rows (account, date, description, amount, reference; nulls equal) stand
     before it by pos, among those that are equal in the columns of `within` too.
@@ -63,8 +75,6 @@ def insert(spark: SparkSession, path: str, rows: DataFrame) -> int:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = new_rows(rows, rows.limit(0))
-    from ledgerloom.session import written
-
     fresh = written(rows, "fresh")
     fresh.write.mode("append").parquet(path)
     return fresh.count()

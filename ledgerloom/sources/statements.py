@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of an upload at most.
 LARGEST = 10 * 1024 * 1024
+WHITE = " \t\n\x0b\x0c\r"
 # Spellings of fields, the canonical one first.
 HEADER = {
     "bank_name": ("bank_name", "bank", "institution", "institution_name", "vendor_name"),
@@ -34,6 +35,7 @@ LISTS = ("transactions", "transaction", "lines", "entries", "rows", "activity",
 PERIODS = ("statement_period", "period", "statement_dates")
 PERIOD_START = ("start", "start_date", "from", "begin", "beginning")
 PERIOD_END = ("end", "end_date", "to", "finish", "ending")
+AMOUNTS = ("opening_balance", "closing_balance", "total_withdrawals", "total_deposits", "withdrawal", "deposit", "balance")
 WRAPPERS = ("statement", "data", "result", "extracted_data")
 
 
@@ -59,6 +61,35 @@ def read_files(spark: SparkSession, *paths: str, glob: str = "*.json") -> DataFr
     return whole.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("json"))
 
 
+def unfenced(text: Column) -> Column:
+    """What stands between the first fence of three backticks and the next, trimmed; the whole text without them."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    return F.btrim(F.when(text.rlike(r"(?s)```.*?```"), fenced).otherwise(text), F.lit(WHITE))
+
+
+def plain_number(v: Column) -> Column:
+    """A field as a number where it is text that holds one (`$1,234.50`, `(62.47)`, `-5`): its digits and points, negative
+    with parentheses around or a dash before; blank text as null; anything else as it is."""
+    text = F.btrim(F.try_variant_get(v, "$", "string"), F.lit(WHITE))
+    digits = F.regexp_replace(text, r"[^\d.]", "")
+    number = digits.try_cast("double")
+    signed = F.when(text.rlike(r"(?s)^\(.*\)$|^-"), -number).otherwise(number)
+    return F.when(F.schema_of_variant(v) != "STRING", v).when(text == "", F.lit(None).cast("variant")).when(number.isNotNull(), signed.cast("variant")).otherwise(v)
+
+
+def generated(documents: DataFrame, *, text: str = "json") -> DataFrame:
+    """documents whose texts a model has written, as JSON to be parsed: out of their fences, and with numbers for the
+    amounts of the head and of each row. What is no object then is left as it stands, for parse to say why."""
+    amounts = lambda v: F.to_variant_object(F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: F.when(k.isin(*AMOUNTS), plain_number(x)).otherwise(x)))
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    bare = documents.withColumn(text, unfenced(F.col(text))).withColumn("_v", F.try_parse_json(text))
+    rows = F.try_variant_get("_v", "$.transactions", "array<variant>")
+    cleaned = F.transform(rows, lambda r: F.when(is_object(r), amounts(r)).otherwise(r))
+    head = F.try_variant_get(amounts(F.col("_v")), "$", "map<string,variant>")
+    whole = F.when(rows.isNull(), head).otherwise(F.map_concat(F.map_filter(head, lambda k, _: k != "transactions"), F.create_map(F.lit("transactions"), F.to_variant_object(cleaned))))
+    return bare.withColumn(text, F.when(is_object(F.col("_v")), F.to_json(F.to_variant_object(whole))).otherwise(F.col(text))).drop("_v")
+
+
 def parse(documents: DataFrame, *, text: str = "json") -> tuple[DataFrame, DataFrame]:
     """(good, failures): the documents with `v`, the parsed object; and those that are empty, too large, no JSON, or hold
     no list of transactions, with `reason`."""

@@ -94,6 +94,15 @@ def test_latest_fields(spark):
     assert {tuple(r) for r in store.upsert(old, rows, order="n").collect()} == {("k", 2.0, "x"), ("z", 1.0, "stays"), ("m", None, None)}
 
 
+def test_ranks(spark):
+    values = [5, None, 3, 3, 9, None, 1] * 40
+    rows = spark.createDataFrame([*enumerate(values)], "i int, v int").repartition(7)
+    got = {r.i: r["rank"] for r in store.ranked(rows, store.F.col("v").desc_nulls_last(), store.F.col("i")).collect()}
+    want = sorted(range(len(values)), key=lambda i: (values[i] is None, -(values[i] or 0), i))
+    assert got == {i: n for n, i in enumerate(want, 1)}
+    assert store.ranked(rows.limit(0), store.F.col("i")).count() == 0
+
+
 # --- uploads
 
 

@@ -1,6 +1,7 @@
 """Operators against small cases and against plain Python."""
 
 import datetime as dt
+import json
 import os
 import random
 
@@ -187,6 +188,17 @@ def test_statements(spark):
     assert (head.opening_balance, head.closing_balance, head.total_withdrawals, head.total_deposits) == (100.0, 60.0, 40.0, 15.5)
 
 
+def test_generated_json(spark):
+    rows = [
+        ("a", 'Sure!\n```json\n{"opening_balance": "$1,000.00", "bank": "12", "transactions": [{"withdrawal": "(62.47)", "deposit": "", "balance": "-5 CAD", "n": "7"}, 3, {"deposit": 5, "balance": null, "withdrawal": "n/a"}]}\n``` ok'),
+        ("b", "```\n[1]\n```"), ("c", "{bad"), ("d", None), ("e", '{"closing_balance": " 1.2.3 ", "x": {"balance": "1"}}'), ("f", ' {"transactions": [], "balance": "7-"}\n'), ("g", "```{}```"), ("h", "``` {}"),
+    ]
+    got = {r.statement_id: r.json for r in statements.generated(spark.createDataFrame(rows, "statement_id string, json string")).collect()}
+    assert json.loads(got.pop("a")) == {"bank": "12", "opening_balance": 1000.0, "transactions": [{"balance": -5.0, "deposit": None, "n": "7", "withdrawal": -62.47}, 3, {"balance": None, "deposit": 5, "withdrawal": "n/a"}]}
+    assert json.loads(got.pop("e")) == {"closing_balance": " 1.2.3 ", "x": {"balance": "1"}} and json.loads(got.pop("f")) == {"transactions": [], "balance": 7.0}
+    assert got == {"b": "[1]", "c": "{bad", "d": None, "g": "{}", "h": "``` {}"}
+
+
 def test_pages(spark):
     docs = spark.createDataFrame([("p", '[{"account_number": "1", "x": 1}, {"data": {"account_number": "1"}}, 5]'), ("q", '[{"account_number": "1"}, {"account_number": "2"}]')], "source string, json string")
     got = {(r.source, r.page): r.unit for r in statements.pages(docs).collect()}
