@@ -124,14 +124,16 @@ def kinds(placed: DataFrame) -> DataFrame:
     """placed with kind: opening, closing, total, transaction, continuation, or null for what says nothing.
 
     A line with amounts is a summary by its words, else a transaction if it has a date, a balance, or no transaction
-    above it; without all three its words go on with the transaction above. A line without amounts does so if it has
+    above it; without all three its words go on with the transaction above. A dated line below a header whose amount no
+    column holds is a transaction too; the amount stays among its words. A line without amounts goes on if it has
     at most six words, none of the furniture's, no date, and starts at the description's column.
     """
     low, words = F.lower("description"), F.btrim(F.regexp_replace(_text(F.col("words")), r"\s+", " "), F.lit(EDGES))
     money = F.size("_money") > 0
     spoken = (F.col("description") != "") | F.col("date").isNotNull()
     summary = F.when(_any_in(low, OPENING), "opening").when(_any_in(low, CLOSING), "closing").when(low.contains("total") & F.col("date").isNull(), "total")
-    own = F.when(money & summary.isNull() & spoken, F.when(F.col("date").isNotNull() | F.col("balance").isNotNull(), "sure").otherwise("loose"))
+    bare = F.col("heads").isNotNull() & F.col("has_money") & F.col("date").isNotNull()
+    own = F.when((money | bare) & summary.isNull() & spoken, F.when(F.col("date").isNotNull() | F.col("balance").isNotNull(), "sure").otherwise("loose"))
     begun = F.min(F.when(own.isNotNull(), F.col("row"))).over(Window.partitionBy("doc", "page")) < F.col("row")
     at, reach = F.col("heads")["description"], COLUMN_REACH * F.col("width")
     left = F.array_min(F.transform("words", lambda w: w["x1"]))

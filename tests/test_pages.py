@@ -125,3 +125,11 @@ def test_rows_of_long_pages(spark, n):
     words = spark.createDataFrame([(i % 2, str(i), 0.0, 1.0, 20.0 * (i // 4), 20.0 * (i // 4) + 10, 90.0) for i in range(4 * n)], "page int, text string, x1 double, x2 double, y1 double, y2 double, conf double")
     got = {(r.page, int(r.text)): r.row for r in layout.number_rows(words).collect()}
     assert got == {(i % 2, i): i // 4 for i in range(4 * n)}
+
+
+def test_dated_line_whose_amount_no_column_holds(spark):
+    header = [*HEADER[:3], ("Amount", 430, 480), HEADER[5]]
+    row = [("2024-01-02", 10, 50, 60.0), *((*w, 60.0) for w in said("Corner market")), (*money("12.00", 480), 60.0)]
+    rows, heads = read(boxes(spark, ("a", [[header, row, [*said("unit B")]]]), ("b", [[row]])))
+    assert rows == [("a", "2024-01-02", "Corner market 12.00 unit B", None, None, None, None, None)]  # without a header it is none
+    assert heads["a"].low_confidence_rows == ["Corner market 12.00"]
