@@ -5,11 +5,14 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import TRANSFER_WORDS
 from ledgerloom.operators import store, transfers
 from ledgerloom.plans import ledger as plans
 from ledgerloom.plans.ledger import Ledger
+from ledgerloom.session import written
+from ledgerloom.sources import statements
 from ledgerloom.sources.versions import Conflict, Versions
 
 DAY = datetime.date(2024, 1, 1)
@@ -173,3 +176,12 @@ def test_three_batches_are_one(spark, tmp_path):
     assert [u.statements.first().inserted for u in news] == [28, 14, 0]
     upload(spark, one, statement("Mill", "1", "Chequing", by_month[1] + by_month[2]), statement("Mill", "1", "Chequing", by_month[2] + by_month[3]), statement("Mill", "1", "Chequing", by_month[3]))
     assert [r[:4] for r in stored(three)] == [r[:4] for r in stored(one)] and len(stored(one)) == 42
+
+
+def test_large_statements_are_parsed_whole(spark):
+    row = F.lit('{"date":"2020-01-01","description":"' + "memo " * 20 + '","withdrawal":12.5}')
+    text = F.concat(F.lit('{"transactions":['), F.array_join(F.array_repeat(row, F.col("id").cast("int") + 90_000), ","), F.lit("]}"))
+    docs = written(spark.range(1).select(F.lit("a").alias("statement_id"), text.alias("json")), "large")
+    good, failures = statements.parse(docs)
+    assert good.select(F.size(statements.rows_of(F.col("v")))).first()[0] == 90_000 and not failures.count()
+    assert [r.reason for r in statements.parse(docs, largest=10 * 1024 * 1024)[1].collect()] == ["too large"]
