@@ -67,3 +67,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """df dealt to tasks of about so many rows: a small file is one task's, whatever is made of its rows."""
+    n = -(-df.count() // rows)
+    return df.repartition(n) if n > 1 else df
