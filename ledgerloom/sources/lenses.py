@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import spread
+
 DESCRIPTIONS = (
     "PAYROLL NORTHWIND", "Monthly service charge", "E-TRANSFER TO SAM", "ATM WITHDRAWAL 0042", "AUTOMATIC PAYMENT - THANK YOU",
     "RENT UNIT 7", "CITY HYDRO BILL", "Lakeside Pharmacy", "SUNRISE YOGA", "CORNER MARKET #123", "BEAN COFFEE CA", "ESSO 44117",
@@ -13,6 +15,8 @@ DESCRIPTIONS = (
 ACCOUNT_KINDS = ("Everyday Chequing", "Visa Signature", "High Interest Savings", "Acme Credit Union Checking", "Brokerage")
 GAPS = (7, 14, 30, 90, 365)
 OFFSETS_OUT_OF_STEP = (0, 7, 9, 22, 40, 41)
+#: Parts that one task makes bills of.
+PARTS_A_TASK = 50_000
 BILL_CATEGORIES = ("Subscriptions", "Utilities", "Food & Drink", "Health", "Other")
 
 
@@ -153,7 +157,7 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("i")
     day = F.when(k % 10 == 3, pick(OFFSETS_OUT_OF_STEP, i)).otherwise(i * gap + F.when((k % 9 == 0) & (i >= 3), gap).otherwise(0) + (k + i) % 2)
     base = 5 + F.col("p_retailprice") % 97
-    rows = table(spark, sf_dir, "part").select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    rows = spread(table(spark, sf_dir, "part"), PARTS_A_TASK).select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
     return rows.select(
         (k * 6 + i).alias("pos"),
         F.concat(F.lit("v"), (k % 30).cast("string")).alias("account_id"),

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import payoff
+from ledgerloom.sources import lenses
 from tests.test_operators import _plan
 
 
@@ -33,3 +34,8 @@ def test_plans_as_one_debt_at_a_time_has_them(spark):
             wanted = _plan(row.b, row.r, row.p)
             assert wanted == (row.x and (row.x.months, row.x.total_interest)), row
             assert row.x is None or [p.month for p in row.x.series] == list(range(1, row.x.months + 1)) and row.x.series[-1].balance == 0
+
+
+def test_bills_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lenses, "PARTS_A_TASK", 50, raising=False)
+    assert _tasks(lenses.bills(spark, "/root/testdata/sf0.001")) > 2
