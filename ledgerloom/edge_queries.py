@@ -8,7 +8,7 @@ from ledgerloom.functions import dates, text
 from ledgerloom.operators import adapt, aggregates, categorize, layout, reconcile, recurring
 from ledgerloom.plans import ask, dashboard
 from ledgerloom.queries import _statements, query
-from ledgerloom.session import new_path
+from ledgerloom.session import new_path, written
 from ledgerloom.sources import lenses, statements
 from ledgerloom.streaming import events
 
@@ -139,7 +139,8 @@ def c13_dashboard_lists(spark, d):
     """The blocks of a dashboard about what recurs and about debts."""
     bills = lenses.bills(spark, d)
     accounts = lenses.debts(spark, d).select(F.col("key").cast("string").alias("id"), F.lit("Bank").alias("bank_name"), F.lit("credit").alias("account_type"), F.col("balance").alias("closing_balance"), "apr")
-    blocks = dashboard.dashboard(accounts, bills, reconcile.reconcile(*_statements(spark, d)), _natures(spark, d))
+    found = written(recurring.find_recurring(bills, _natures(spark, d)), "found")
+    blocks = dashboard.dashboard(accounts, bills, reconcile.reconcile(*_statements(spark, d)), found=found)
     named = {
         "subscriptions": (F.col("merchant"), F.col("annual_cost")), "repeated": (F.col("merchant"), F.col("annual_cost")), "recurring_totals": (F.col("nature"), F.col("annual_cost")),
         "price_increases": (F.col("merchant"), F.col("price_change_pct")), "payoff": (F.concat_ws(" ", "id", "label"), F.col("total_interest")),
