@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -31,40 +32,54 @@ def is_currency(text: Column) -> Column:
     return F.regexp_replace(text, " ", "").rlike(CURRENCY)
 
 
+def _starts(keys: pa.Array | pa.ChunkedArray) -> list[int]:
+    """Where each run of equal keys begins; nulls are equal."""
+    a, b = keys.slice(1), keys.slice(0, len(keys) - 1)
+    new = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+    return [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False) if isinstance(new, pa.Array) else new.to_numpy()) + 1).tolist()]
+
+
 def number_rows(words: DataFrame, key: str = "page") -> DataFrame:
     """words (key, text, x1, x2, y1, y2, conf) with `row`: from the top, a word joins the row before if its middle is
-    within 0.6 median heights of that row's mean. Words come sorted by page; one page is held at a time."""
+    within 0.6 median heights of that row's mean. Words come sorted by page; one page is held at a time, with
+    the whole ones that came with it."""
     order = ((F.col("y1") + F.col("y2")) / 2, "x1")
     names = words.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
+            if not len(batch):
+                continue
             keys = batch.column(names.index(key))
-            cuts = [0, *(i for i in range(1, len(batch)) if keys[i] != keys[i - 1]), len(batch)] if len(batch) else [0]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and keys[a] != now:
-                    yield from placed(held)
-                    held = []
-                now = keys[a]
-                held.append(batch.slice(a, b - a))
+            cut = _starts(keys)[-1]  # where the last page begins
+            if cut or (held and keys[0].as_py() != now):
+                yield from placed([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+            now = keys[-1].as_py()
         if held:
             yield from placed(held)
 
     def placed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page = pa.Table.from_batches(batches).combine_chunks()
-        top, bottom = (page.column(c).to_numpy() for c in ("y1", "y2"))
-        heights = (bottom - top)[bottom > top]
-        reach = ROW_REACH * float(np.median(heights)) if len(heights) else NO_HEIGHT
-        rows, row, total, n = [], -1, 0.0, 0
-        for middle in ((top + bottom) / 2).tolist():
-            if n and abs(middle - total / n) <= reach:
-                total, n = total + middle, n + 1
-            else:
-                row, total, n = row + 1, middle, 1
-            rows.append(row)
-        for batch in page.append_column("row", pa.array(rows, pa.int32())).to_batches():
-            yield batch
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        starts = _starts(whole.column(names.index(key)))
+        top, bottom = (whole.column(c).to_numpy() for c in ("y1", "y2"))
+        middles, heights = ((top + bottom) / 2).tolist(), (bottom - top).tolist()
+        real = (bottom > top).tolist()
+        rows = []
+        for a, b in zip(starts, [*starts[1:], len(whole)]):
+            known = sorted(h for h, yes in zip(heights[a:b], real[a:b]) if yes)
+            half = len(known) // 2
+            reach = ROW_REACH * (known[half] if len(known) % 2 else (known[half - 1] + known[half]) / 2) if known else NO_HEIGHT
+            row, total, n = -1, 0.0, 0
+            for middle in middles[a:b]:
+                if n and abs(middle - total / n) <= reach:
+                    total, n = total + middle, n + 1
+                else:
+                    row, total, n = row + 1, middle, 1
+                rows.append(row)
+        yield from whole.append_column("row", pa.array(rows, pa.int32())).to_batches()
 
     whole = words.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("y1", "y2")})
     return whole.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, StructType([*whole.schema, StructField("row", IntegerType())]))

@@ -2,10 +2,12 @@
 
 import math
 import random
+import statistics
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import payoff
+from ledgerloom.operators import layout, payoff
 from ledgerloom.sources import lenses
 from tests.test_operators import _plan
 
@@ -39,3 +41,37 @@ def test_plans_as_one_debt_at_a_time_has_them(spark):
 def test_bills_are_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(lenses, "PARTS_A_TASK", 50, raising=False)
     assert _tasks(lenses.bills(spark, "/root/testdata/sf0.001")) > 2
+
+
+def test_rows_of_many_pages_in_one_batch(spark):
+    """Pages that end inside a batch, go on in the next, or have no key; as one page at a time has them, in few batches."""
+    rng = random.Random(3)
+    words = [(None if p == 7 else f"p{p}", i, float(y), float(y) + rng.choice((0.0, 8.0, 10.0))) for p in range(60) for i in range(rng.choice((1, 2, 5, 40))) for y in (rng.randrange(200),)]
+    wanted = {}
+    for page in {w[0] for w in words}:
+        own = sorted((w for w in words if w[0] == page), key=lambda w: ((w[2] + w[3]) / 2, w[1]))
+        heights = [w[3] - w[2] for w in own if w[3] > w[2]]
+        reach = layout.ROW_REACH * statistics.median(heights) if heights else layout.NO_HEIGHT
+        row, held = -1, []
+        for w in own:
+            middle = (w[2] + w[3]) / 2
+            if held and abs(middle - sum(held) / len(held)) <= reach:
+                held.append(middle)
+            else:
+                row, held = row + 1, [middle]
+            wanted[w[0], w[1]] = row
+    df = spark.createDataFrame(words, "page string, x1 int, y1 double, y2 double")
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert {(r.page, r.x1): r.row for r in layout.number_rows(df).collect()} == wanted
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_where_pages_begin(spark):
+    """Pages are told apart for a whole batch at once."""
+    df = spark.range(3000).select(F.floor(F.col("id") / 3).alias("page"), F.col("id").cast("double").alias("y1"), (F.col("id") + 1).cast("double").alias("y2"), F.lit(1.0).alias("x1")).coalesce(1)
+    run = layout.number_rows(df)
+    assert run.count() == 3000 and run.select("page", "row").distinct().count() == 3000
+    assert layout._starts(pa.array([1, 1, None, None, 2])) == [0, 2, 4]
