@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import written
+
 #: Bytes that a VARIANT holds at most: a larger text may still fit, as its keys are kept once.
 HELD = 128 * 1024 * 1024
 WHITE = " \t\n\x0b\x0c\r"
@@ -106,6 +108,11 @@ def parse(documents: DataFrame, *, text: str = "json", largest: int | None = Non
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL").drop("v")
 
 
+def kept(parsed: DataFrame, text: str = "json") -> DataFrame:
+    """Good documents, written without their texts: heads and rows are then read from what was parsed once."""
+    return written(parsed.drop(text), "parsed")
+
+
 def pages(documents: DataFrame, *, list_as: str = "auto", text: str = "json") -> DataFrame:
     """Documents that are lists, or wrap an object that has a list of rows, as one row an element: `page` and `v`. As `pages` the elements are
     one statement's, as `statements` each is its own; `auto` says statements where the elements name different accounts.

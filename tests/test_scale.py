@@ -7,8 +7,8 @@ import statistics
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import layout, payoff
-from ledgerloom.sources import lenses
+from ledgerloom.operators import adapt, layout, payoff
+from ledgerloom.sources import lenses, statements
 from tests.test_operators import _plan
 
 
@@ -75,3 +75,11 @@ def test_where_pages_begin(spark):
     run = layout.number_rows(df)
     assert run.count() == 3000 and run.select("page", "row").distinct().count() == 3000
     assert layout._starts(pa.array([1, 1, None, None, 2])) == [0, 2, 4]
+
+
+def test_heads_and_rows_come_from_one_parse(spark):
+    docs = spark.createDataFrame([("a", '{"Bank":"B","transactions":[{"date":"2024-01-02","withdrawal":1.5}]}'), ("b", "{")], "statement_id string, json string")
+    parsed = statements.kept(statements.parse(docs)[0])
+    joined = adapt.adapt_accounts(parsed, adapt.adapt_rows(parsed))
+    assert "parse_json" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.statement_id, r.bank_name, r.total_withdrawals) for r in joined.collect()] == [("a", "B", 1.5)]
