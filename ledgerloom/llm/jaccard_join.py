@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ from .packing import groups_of
 SLACK, SMALL = 1.6, 8
 #: For the allocation: a candidate costs as much as so many index rows; a passage that strangers share has so many shingles.
 CANDIDATE, PASSAGE = 100, 64
+#: Bits of a sketch for each difference that a link of two of the band's largest sets allows.
+SPREAD = 8
 #: Bytes of text that a worker turns into sets at once.
 PIECE = 2_000_000
 
@@ -158,11 +160,28 @@ def allocation(top: int, sim: Similarity) -> tuple[int, int]:
     return int(SLACK * max(0, need - 2 * best)), best
 
 
+def _levels(size: int, sim: Similarity) -> list[tuple[int, int]]:
+    """The band of a size, and the next where a link may lead there; with their largest sizes."""
+    band, top = bands(size)
+    return [(band, top), (band + 1, 2 * top)][: 1 + (sim.top(size) > top)]
+
+
+def parities(x: np.ndarray, sim: Similarity) -> list[np.ndarray]:
+    """Sketches of a set, as 64-bit numbers, for each of its levels: a bit says whether an odd number of the set's shingles
+    fall to it. In one level two sets' sketches differ in no more bits than the sets do in shingles, and in little fewer
+    while these are few for the bits."""
+    out = []
+    for band, top in _levels(len(x), sim):
+        n = 64 * (1 + SPREAD * sim.differ(top, top) // 64)
+        at = (mix(x ^ mix(np.array([~band], np.int64).view(np.uint64))[0]) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+        out.append(np.packbits(np.bincount(at.astype(np.int64), minlength=n).astype(np.uint8) & 1).view(np.int64))
+    return out
+
+
 def keys(x: np.ndarray, sim: Similarity) -> np.ndarray:
     """Index keys of a set: equal for two linked sets in one key at least."""
     size, out = len(x), []
-    band, top = bands(size)
-    for band, top in [(band, top), (band + 1, 2 * top)][: 1 + (sim.top(size) > top)]:
+    for band, top in _levels(size, sim):
         salt = mix(np.array([band + 1], np.uint64))[0]
         subsets, deletions = allocation(top, sim)
         units = subsets + 2 * deletions
@@ -308,34 +327,56 @@ def _living(shared: DataFrame, sizes: DataFrame, sets: DataFrame, width: int, si
     return shared, nodes
 
 
-def _apart(rows: DataFrame, home: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket, lie in two components and may link for all that a bound says.
+def _sketches(nodes: DataFrame, sets: DataFrame, width: int, sim: Similarity) -> DataFrame:
+    """node, band, bits and up: the sketches of these nodes in their band and, null where no link leads there, the next."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in groups_of(batch, most=PIECE):
+                values, ends = shingles(piece.column("text"), width)
+                each = [parities(values[a:b], sim) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                band = pa.array([bands(n)[0] for n in np.diff(ends).tolist()], pa.int32())
+                bits, up = (pa.array([x[i] if i < len(x) else None for x in each], pa.list_(pa.int64())) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([piece.column("node"), band, bits, up], ["node", "band", "bits", "up"])
+
+    return sets.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, band int, bits array<long>, up array<long>")
+
+
+def _apart(rows: DataFrame, home: DataFrame, nodes: DataFrame, sets: DataFrame, width: int, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, lie in two components and may link for all that bounds say.
 
     Shingles that a node alone has count in its symmetric difference to any other. Where two nodes have been compared
     with one lead, what they differ by is the symmetric difference of their differences to the lead: these have their
     own shingles apart, and the rest of one covers that of the other at best. With far the difference of a node to the
     lead, own its own shingles and near = far - 2 own, a link of a and b needs far(a) - near(b) and far(b) - near(a)
-    within what it allows, so nodes of one lead meet by ranges of near, once each, instead of in buckets.
+    within what it allows, so nodes of one lead meet by ranges of near, once each, instead of in buckets. What these
+    bounds leave is a share of all pairs of a large group of variants; the sketches tell nearly all of it apart.
     """
     open_ = stash(rows, "open")
     named = open_.select("node", "comp").distinct().join(home.select(F.col("b").alias("node"), F.col("a").alias("lead"), "apart"), "node", "left")
-    nodes = stash(named.join(nodes, "node").join(nodes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n")), "lead", "left"), "nodes")
+    named = named.join(nodes, "node").join(nodes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n")), "lead", "left")
+    nodes = stash(named.join(_sketches(open_, sets, width, sim), "node"), "nodes")
 
     def side(table: DataFrame, p: str, *keep: str) -> DataFrame:
-        return table.select(*keep, *(F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "lead", "own", "far", "near")))
+        return table.select(*keep, *(F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "n", "lead", "own", "far", "near", "band", "bits", "up")))
+
+    def unlike(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, m: n + m)
 
     differ = lambda a, b: F.floor((sim.den - sim.num) * (a + b) / (sim.den + sim.num))
     nodes = nodes.withColumns({"far": F.col("apart"), "near": F.col("apart") - 2 * F.col("own")})
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
     allowed, two = differ(a("n"), b("n")), (a("node") < b("node")) & (a("comp") != b("comp"))
+    level = a("band") - b("band")
+    close = F.when(level == 0, unlike(a("bits"), b("bits"))).when(level == 1, unlike(a("bits"), b("up"))).when(level == -1, unlike(a("up"), b("bits"))) <= allowed
     step, most = F.greatest(F.lit(1), F.floor(differ(F.col("lead_n"), F.col("lead_n")) / 4)), differ(F.col("n"), F.floor(F.col("n") * sim.den / sim.num))
     same = nodes.where("lead is not null")
     by_range = side(same.withColumn("place", F.floor(F.col("near") / step)), "a", "lead", "place").join(
         side(same.withColumn("place", F.explode(F.sequence(F.floor((F.col("far") - most) / step), F.greatest(F.floor((F.col("far") - most) / step), F.floor((F.col("near") + most) / step))))), "b", "lead", "place"), ["lead", "place"])
-    by_range = by_range.where(two & (a("far") - b("near") <= allowed) & (b("far") - a("near") <= allowed))
+    by_range = by_range.where(two & (a("far") - b("near") <= allowed) & (b("far") - a("near") <= allowed) & close)
     bucket = open_.select("key", "node").join(nodes, "node")
     by_key = side(bucket, "a", "key").join(side(bucket, "b", "key"), "key").where(
-        two & ~F.coalesce(a("lead") == b("lead"), F.lit(False)) & (a("own") + b("own") + F.abs(a("n") - a("own") - b("n") + b("own")) <= allowed))
+        two & ~F.coalesce(a("lead") == b("lead"), F.lit(False)) & (a("own") + b("own") + F.abs(a("n") - a("own") - b("n") + b("own")) <= allowed) & close)
     return by_range.unionByName(by_key, allowMissingColumns=True).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
@@ -401,7 +442,7 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, sim: Similarity = Similarit
         comps = components(links)
     done = home.select("a", "b").unionByName(second.select("a", "b"))
     done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = stash(_apart(_several(shared, comps), home, living, sim).join(done, ["a", "b"], "left_anti"), "pairs")
+    pairs = stash(_apart(_several(shared, comps), home, living, sets, width, sim).join(done, ["a", "b"], "left_anti"), "pairs")
     third = stash(_verified(pairs, sets, width, sim).where("linked"), "links")
     if third.limit(1).count():
         comps = components(links.unionByName(third))

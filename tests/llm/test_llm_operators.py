@@ -176,6 +176,35 @@ def test_jaccard_join_on_variants_of_one_text(spark, fresh):
     assert got == _components(rows)
 
 
+def test_jaccard_join_verifies_few_of_the_pairs_of_variants(spark, monkeypatch):
+    """Variants just beyond a link to their lead are told apart by sketches, not one pair after another."""
+    rnd, counts, verified = random.Random(5), [], jaccard_join._verified
+
+    def counted(pairs, *more):
+        counts.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    rows = list(enumerate(_variants(rnd, 300, 150, 7, False)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs(spark, rows)).collect()}
+    assert got == _components(rows)
+    assert counts[-1] < 2 * len(rows), counts
+
+
+def test_sketches_differ_no_more_than_sets():
+    rnd, sim = np.random.default_rng(2), jaccard_join.Similarity()
+    for size in (1, 8, 9, 30, 146, 900):
+        x = rnd.integers(0, 1 << 63, size, dtype=np.uint64)
+        for cut in {0, size // 20, size // 9, size // 6}:
+            y = np.concatenate((x[cut:], rnd.integers(0, 1 << 63, cut // 2, dtype=np.uint64)))
+            a, b = (dict(zip((n for n, _ in jaccard_join._levels(len(s), sim)), jaccard_join.parities(s, sim), strict=True)) for s in (x, y))
+            assert a.keys() & b.keys() or not sim.linked(np.array([size - cut]), np.array([size]), np.array([len(y)]))[0]
+            for level in a.keys() & b.keys():
+                apart = np.unpackbits((a[level] ^ b[level]).view(np.uint8)).sum()
+                assert apart <= cut + cut // 2
+                assert apart >= 0.8 * (cut + cut // 2) or size < 100
+
+
 def test_shingles_are_exact():
     rnd = random.Random(3)
     texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randrange(40))) for _ in range(60)] + ["", " ", "A  b\tC\x0b", "a b", "\u00e9 \u00c9\x1cx", "a b c d e"]
