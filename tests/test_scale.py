@@ -83,3 +83,14 @@ def test_heads_and_rows_come_from_one_parse(spark):
     joined = adapt.adapt_accounts(parsed, adapt.adapt_rows(parsed))
     assert "parse_json" not in joined._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.statement_id, r.bank_name, r.total_withdrawals) for r in joined.collect()] == [("a", "B", 1.5)]
+
+
+def test_statements_are_parsed_once_a_row(spark):
+    """Filters on what was parsed are not written out as its parsing, over and over."""
+    docs = spark.createDataFrame([("a", 'So:\n```json\n{"transactions":[{"date":"2024-01-02","withdrawal":"$1.50"},{"date":null}]}\n```'), ("b", "{")], "statement_id string, json string")
+    good, failures = statements.parse(statements.generated(docs))
+    rows = adapt.adapt_rows(good)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.lower().count("parse_json") < 8 and plan.count("regexp_replace") < 100
+    assert [(r.statement_id, r.pos, str(r.date), r.amount) for r in rows.collect()] == [("a", 0, "2024-01-02", -1.5)]
+    assert [(r.statement_id, r.reason) for r in failures.collect()] == [("b", "no JSON")]
