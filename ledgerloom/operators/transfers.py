@@ -17,8 +17,9 @@ from ledgerloom.session import written
 
 #: Days between the legs at most.
 WINDOW = 3
-#: Legs that one task sweeps; cents and days on the sides of a block, from all legs in one block to the smallest blocks.
-BLOCK_LEGS = 200_000
+#: Legs that one task sweeps in one block, and in all its blocks on average; cents and days on the sides of a block, from all
+#: legs in one block to the smallest blocks.
+BLOCK_LEGS, LEGS_A_TASK = 200_000, 100_000
 GRIDS = ((0, 0), (1 << 18, 1 << 10), (1 << 14, 512), (1 << 11, 256), (256, 128), (64, 64), (16, 32))
 
 
@@ -126,6 +127,15 @@ class _Least:
         return next((leg for leg, own in self.best if own != account), None)
 
 
+def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row, the same where the columns are equal, and a row for each number."""
+    number = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        each = np.unique(column, return_inverse=True)[1]
+        _, first, number = np.unique(number * (each.max() + 1) + each, return_index=True, return_inverse=True)
+    return number, first
+
+
 def sweep(legs: dict[str, np.ndarray], outside: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[int, int, bool, int]], list[int]]:
     """Pairs (earlier leg, later leg, has_word, gap) of a block's legs, in order of position, that the greedy choice takes
     whatever legs are outside the block; and the legs about which the block alone can't say.
@@ -134,44 +144,56 @@ def sweep(legs: dict[str, np.ndarray], outside: np.ndarray, window: int = WINDOW
     a leg is taken by the earliest one still waiting that it fits. outside holds, for each leg, the first class in which
     a leg outside might take it; from then on it is in doubt, and so is each leg that would wait for it or take it, were
     it there. A pair is taken only if no leg in doubt stands before it.
+
+    Legs of one sign, amount, day and kind of text are a cell; what may take from what is found once for the cells, and a
+    class goes through the legs of those cells only that have one to take from or to wait for.
     """
     n = len(legs["pos"])
-    size = np.abs(legs["amount"])
-    values, at = np.unique(size, return_inverse=True)
-    low, high = np.searchsorted(values, values - 2 * CENT), np.searchsorted(values, values + 2 * CENT)
-    near = [[j for j in range(a, b) if abs(values[j] - values[i]) <= CENT] for i, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True))]
-    signs = np.zeros((len(values), 2), bool)
+    if not n:
+        return [], []
+    values, at = np.unique(np.abs(legs["amount"]), return_inverse=True)
+    low, high = np.searchsorted(values, values - 2 * CENT).tolist(), np.searchsorted(values, values + 2 * CENT).tolist()
     inward = (legs["amount"] > 0).astype(int)
-    signs[at, inward] = True
-    met = np.array([[signs[near[i], 1].any(), signs[near[i], 0].any()] for i in range(len(values))]).reshape(-1, 2)
-    active = np.flatnonzero(met[at, inward]).tolist() if n else []
-    at, inward, day = at.tolist(), inward.tolist(), legs["day"].tolist()
+    kind, of_kind = _numbered(legs["word"], legs["ends"], legs["starts"])
+    kinds = list(zip(*(legs[c][of_kind].tolist() for c in ("word", "ends", "starts"))))
+    holds = [[bool(a[0] or b[0] or a[1] & b[2]) for b in kinds] for a in kinds]  # of an earlier and a later leg
+    cells, of_cell = _numbered(inward, at, legs["day"], kind)
+    places: dict[tuple[int, int], dict[int, list[int]]] = {}
+    known = list(zip(*(x[of_cell].tolist() for x in (inward, at, legs["day"], kind))))
+    for c, (way, i, day, _) in enumerate(known):
+        places.setdefault((way, i), {}).setdefault(day, []).append(c)
+    values = values.tolist()
+    takes: list[dict[int, list[int]]] = [{} for _ in range(2 * (window + 1))]  # for each rank, from which cells a cell takes
+    for c, (way, i, day, k) in enumerate(known):
+        for j in range(low[i], high[i]):
+            days = places.get((1 - way, j))
+            if days is None or abs(values[j] - values[i]) > CENT:
+                continue
+            for d in range(day - window, day + window + 1):
+                for x in days.get(d, ()):
+                    takes[abs(d - day) + (0 if holds[known[x][3]][k] else window + 1)].setdefault(c, []).append(x)
     names: dict = {}
     account = [names.setdefault(x, len(names)) for x in legs["account_id"].tolist()]
-    kinds: dict = {}
-    kind = [kinds.setdefault(x, len(kinds)) for x in zip(legs["word"].tolist(), legs["ends"].tolist(), legs["starts"].tolist(), strict=True)]
-    holds = [[bool(a[0] or b[0] or a[1] & b[2]) for b in kinds] for a in kinds]  # of an earlier and a later leg
-    fits = {(word, b): [a for a in range(len(kinds)) if holds[a][b] == word] for word in (True, False) for b in range(len(kinds))}
+    cell = cells.tolist()
     doubt, taken, pairs, first_doubt = bytearray(n), bytearray(n), [], outside.tolist()
-    for rank in range(2 * (window + 1)):
+    for rank, sources in enumerate(takes):
         word, gap = rank <= window, rank % (window + 1)
-        sure: dict[tuple, _Queue] = {}
-        unsure: dict[tuple, _Least] = {}
-        for q in active:
+        met = np.zeros(len(known), bool)
+        met[list(sources)] = True
+        met[[x for found in sources.values() for x in found]] = True
+        sure: dict[int, _Queue] = {}
+        unsure: dict[int, _Least] = {}
+        for q in np.flatnonzero(met[cells]).tolist():  # for others this rank changes nothing
             if taken[q]:
                 continue
             if first_doubt[q] <= rank:
                 doubt[q] = 1
-            own, u, v, waiting = account[q], None, None, None
-            for d in (day[q],) if gap == 0 else (day[q] - gap, day[q] + gap):
-                for j in near[at[q]]:
-                    for k in fits[word, kind[q]]:
-                        cell = (1 - inward[q], j, d, k)
-                        if cell in sure and (x := sure[cell].first(own)) is not None and (u is None or x < u):
-                            u, waiting = x, cell
-                        if cell in unsure and (x := unsure[cell].first(own)) is not None and (v is None or x < v):
-                            v = x
-            here = (inward[q], at[q], day[q], kind[q])
+            own, here, u, v, waiting = account[q], cell[q], None, None, None
+            for c in sources.get(here, ()):
+                if c in sure and (x := sure[c].first(own)) is not None and (u is None or x < u):
+                    u, waiting = x, c
+                if c in unsure and (x := unsure[c].first(own)) is not None and (v is None or x < v):
+                    v = x
             if not doubt[q] and u is not None and (v is None or u < v):
                 sure[waiting].pop(account[u])
                 taken[u] = taken[q] = 1
@@ -213,7 +235,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Ta
         yield *now, pa.Table.from_batches(held)
 
 
-def _round(left: DataFrame, grid: tuple[int, int], turn: int, window: int) -> DataFrame:
+def _round(left: DataFrame, grid: tuple[int, int], turn: int, window: int, tasks: int) -> DataFrame:
     """One sweep of every block: rows with a partner are pairs, those without are still to be judged."""
     cents, days = grid
     shift = (cents // 2 * (turn % 2), days // 2 * (turn // 2 % 2))
@@ -223,8 +245,7 @@ def _round(left: DataFrame, grid: tuple[int, int], turn: int, window: int) -> Da
 
     def run(batches):
         for across, along, table in _blocks(batches):
-            legs = {c: table.column(c).to_numpy() for c in names if c != "account_id"} | {"account_id": table.column("account_id")}
-            legs["account_id"] = np.array(table.column("account_id").to_pylist(), object)
+            legs = {c: table.column(c).to_numpy() for c in names if c != "account_id"} | {"account_id": table.column("account_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()}
             outside = np.full(len(table), 2 * (window + 1))
             if cents:
                 edge = legs["cents"] + shift[0] - across * cents
@@ -244,7 +265,7 @@ def _round(left: DataFrame, grid: tuple[int, int], turn: int, window: int) -> Da
                     for batch in own.to_batches():
                         yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "partner", "has_word", "gap"])
 
-    ordered = placed.repartition("across", "along").sortWithinPartitions("across", "along", "pos")
+    ordered = placed.repartition(tasks, "across", "along").sortWithinPartitions("across", "along", "pos")
     return ordered.mapInArrow(run, f"{_COLUMNS}, partner long, has_word boolean, gap int")
 
 
@@ -263,12 +284,13 @@ def pair_legs(txns: DataFrame, *, window: int = WINDOW, block_legs: int = BLOCK_
     """
     left, taken, turn = written(_legs(txns), "legs"), None, 0
     while True:
+        tasks = max(1, -(-left.count() // LEGS_A_TASK))
         for grid in GRIDS:
             sides = [F.floor(F.col(c) / w) for c, w in zip(("cents", "day"), grid, strict=True) if w]
             largest = left.groupBy(*sides).count().agg(F.max("count")).first()[0] or 0
             if largest <= block_legs:
                 break
-        swept = written(_round(left, grid, turn, window), "swept")
+        swept = written(_round(left, grid, turn, window, tasks), "swept")
         pairs = swept.where(F.col("partner").isNotNull())
         inward = F.col("amount") > 0
         pairs = pairs.select(F.when(inward, F.col("partner")).otherwise(F.col("pos")).alias("out_pos"), F.when(inward, F.col("pos")).otherwise(F.col("partner")).alias("in_pos"), "has_word", "gap")

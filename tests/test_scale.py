@@ -4,10 +4,11 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import adapt, layout, payoff
+from ledgerloom.operators import adapt, layout, payoff, transfers
 from ledgerloom.sources import lenses, statements
 from tests.test_operators import _plan
 
@@ -94,3 +95,26 @@ def test_statements_are_parsed_once_a_row(spark):
     assert plan.lower().count("parsejson") + plan.lower().count("parse_json") < 8 and plan.count("regexp_replace") < 100
     assert [(r.statement_id, r.pos, str(r.date), r.amount) for r in rows.collect()] == [("a", 0, "2024-01-02", -1.5)]
     assert [(r.statement_id, r.reason) for r in failures.collect()] == [("b", "no JSON")]
+
+
+def test_legs_with_no_partner_are_not_gone_through(spark, monkeypatch):
+    """A class of pairs goes through the legs that have one to meet in it, not through all legs of an amount."""
+    pushed = []
+    push = transfers._Queue.push
+    monkeypatch.setattr(transfers._Queue, "push", lambda self, *leg: (pushed.append(leg), push(self, *leg)) and None)
+    n = 400
+    legs = {"pos": np.arange(n), "account_id": np.arange(n) % 90, "amount": np.where(np.arange(n) % 2, 10.0, -10.0), "cents": np.full(n, 1000), "day": np.arange(n) * 10}
+    legs |= {"word": np.zeros(n, bool), "ends": np.zeros(n, int), "starts": np.zeros(n, int)}
+    assert transfers.sweep(legs, np.full(n, 8)) == ([], []) and not pushed
+    legs["day"][1] = legs["day"][0] + 2
+    assert transfers.sweep(legs, np.full(n, 8)) == ([(0, 1, False, 2)], []) and len(pushed) == 1
+
+
+def test_legs_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(transfers, "LEGS_A_TASK", 50, raising=False)
+    legs = lenses.legs(spark, "/root/testdata/sf0.001")
+    seen = []
+    swept = transfers.written
+    monkeypatch.setattr(transfers, "written", lambda df, name: (seen.append(df.rdd.getNumPartitions()) if name == "swept" else None, swept(df, name))[1])
+    assert transfers.pair_legs(legs, block_legs=200).count() > 0
+    assert seen[0] == -(-legs.count() // 50)
