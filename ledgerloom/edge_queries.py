@@ -8,7 +8,7 @@ from ledgerloom.functions import dates, text
 from ledgerloom.operators import adapt, aggregates, categorize, layout, reconcile, recurring
 from ledgerloom.plans import ask, dashboard
 from ledgerloom.queries import _statements, query
-from ledgerloom.session import new_path, written
+from ledgerloom.session import new_path, spread, written
 from ledgerloom.sources import lenses, statements
 from ledgerloom.streaming import events
 
@@ -197,7 +197,8 @@ def _tables(spark, d):
     amount = F.format_number("o_totalprice", 2)
     words = [word(F.when(k % 2 == 0, "Debit").otherwise("Credits"), 300.0, 1), word("Date", 60.0, 1), word("Details", 150.0, 1), word("Balance", 500.0, 1), word("Summary", 150.0, 0)]
     words += [word(amount, 300.0 + i, i + 2) for i in range(3)] + [word(F.when(k % 3 != 0, amount).otherwise("-"), 503.0, 2)]
-    return lenses.table(spark, d, "orders").select(k.alias("page"), F.lit(600.0).alias("width"), F.explode(F.array(*words)).alias("w")).select("page", "width", "w.*")
+    orders = spread(lenses.table(spark, d, "orders"), lenses.ORDERS_A_TASK)
+    return orders.select(k.alias("page"), F.lit(600.0).alias("width"), F.explode(F.array(*words)).alias("w")).select("page", "width", "w.*")
 
 
 @query
@@ -215,7 +216,7 @@ def g5_column_labels(spark, d):
     money = F.filter(F.array_sort(F.collect_list(F.struct("x1", "role"))), lambda h: h["role"].isin(*layout.MONEY))
     roles = heads.groupBy("page").agg(F.transform(money, lambda h: h["role"]).alias("roles"))
     counted = found.groupBy("page").agg(F.count("*").alias("n"), F.max("edge").alias("last_edge"))
-    return counted.join(roles, "page").select("page", "n", "last_edge", F.array_join(layout.column_labels(F.col("n"), F.col("roles")), ",").alias("labels"))
+    return counted.join(roles.hint("merge"), "page").select("page", "n", "last_edge", F.array_join(layout.column_labels(F.col("n"), F.col("roles")), ",").alias("labels"))
 
 
 @query

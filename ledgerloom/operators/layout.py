@@ -109,20 +109,24 @@ HEADINGS = {"date": "date|posted", "description": "description|details|particula
 
 
 def header_row(words: DataFrame, key: str = "page") -> DataFrame:
-    """key and row of the header: among the first forty rows that with most different headings, three at least."""
-    heading = F
-    for name, pattern in HEADINGS.items():
-        heading = heading.when(F.lower("text").rlike(f"^(?:{pattern})$"), name)
-    scored = words.where(F.col("row") < 40).withColumn("_h", heading).where(F.col("_h").isNotNull()).groupBy(key, "row").agg(F.count_distinct("_h").alias("score"))
-    return scored.where("score >= 3").groupBy(key).agg(F.max_by("row", F.struct("score", -F.col("row"))).alias("row"))
+    """key and row of the header: among the first forty rows that with most different headings, three at least;
+    the first, were several to have as many. A row's headings are bits of one number, so that words are combined before they
+    are sent and nothing is sorted."""
+    held = F
+    for i, pattern in enumerate(HEADINGS.values()):
+        held = held.when(F.lower("text").rlike(f"^(?:{pattern})$"), 1 << i)
+    scored = words.where(F.col("row") < 40).withColumn("_h", held).where(F.col("_h").isNotNull()).groupBy(key, "row").agg(F.bit_count(F.bit_or("_h")).alias("score"))
+    best = F.col("score").cast("bigint") * (1 << 33) - F.col("row")
+    return scored.where("score >= 3").groupBy(key).agg(F.max_by("row", best).alias("row"))
 
 
 def headings(words: DataFrame, head: DataFrame, key: str = "page") -> DataFrame:
-    """key, role, x1 and x2 of the headings in the header rows that header_row found; the leftmost, were one to repeat."""
+    """key, role, x1 and x2 of the headings in the header rows that header_row found; the leftmost, were one to repeat.
+    There are as many as pages, whatever their size is guessed at: they are not sent whole to each task."""
     role = F
     for name, pattern in HEADINGS.items():
         role = role.when(F.lower("text").rlike(f"^(?:{pattern})$"), name)
-    found = words.join(head, [key, "row"], "left_semi").withColumn("role", role).where(F.col("role").isNotNull())
+    found = words.join(head.hint("merge"), [key, "row"], "left_semi").withColumn("role", role).where(F.col("role").isNotNull())
     return found.groupBy(key, "role").agg(F.min("x1").alias("x1"), F.min_by("x2", "x1").alias("x2"))
 
 
@@ -136,10 +140,10 @@ def recover_columns(words: DataFrame, found: DataFrame, heads: DataFrame, key: s
     near = UNDER * COLUMN_REACH
     money = heads.where(F.col("role").isin(*MONEY)).select(key, "role", F.col("x2").alias("_right"))
     amounts = words.where(is_currency(F.col("text"))).select(key, "width", F.col("x2").alias("_x2"))
-    under = amounts.join(money, key).where(F.abs(F.col("_x2") - F.col("_right")) <= near * F.col("width"))
+    under = amounts.join(money.hint("merge"), key).where(F.abs(F.col("_x2") - F.col("_right")) <= near * F.col("width"))
     edges = under.groupBy(key, "role").agg(F.avg("_x2").alias("edge"), F.first("_right").alias("_right"), F.first("width").alias("width"))
     old = found.select(key, F.col("edge").alias("_edge"))
-    lone = edges.join(old, (edges[key] == old[key]) & (F.abs(F.col("_edge") - F.col("_right")) <= near * F.col("width")), "left_anti")
+    lone = edges.join(old.hint("merge"), (edges[key] == old[key]) & (F.abs(F.col("_edge") - F.col("_right")) <= near * F.col("width")), "left_anti")
     every = found.select(key, "edge").unionByName(lone.select(key, "edge"))
     return every.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("edge")) - 1).alias("column"), "edge")
 

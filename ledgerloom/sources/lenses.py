@@ -15,8 +15,8 @@ DESCRIPTIONS = (
 ACCOUNT_KINDS = ("Everyday Chequing", "Visa Signature", "High Interest Savings", "Acme Credit Union Checking", "Brokerage")
 GAPS = (7, 14, 30, 90, 365)
 OFFSETS_OUT_OF_STEP = (0, 7, 9, 22, 40, 41)
-#: Parts that one task makes bills of.
-PARTS_A_TASK = 50_000
+#: Parts that one task makes bills of; orders that one task makes pages of.
+PARTS_A_TASK = ORDERS_A_TASK = 50_000
 BILL_CATEGORIES = ("Subscriptions", "Utilities", "Food & Drink", "Health", "Other")
 
 

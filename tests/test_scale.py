@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ledgerloom import edge_queries
 from ledgerloom.operators import adapt, layout, payoff, transfers
 from ledgerloom.sources import lenses, statements
 from tests.test_operators import _plan
@@ -118,3 +119,18 @@ def test_legs_are_dealt_to_tasks(spark, monkeypatch):
     monkeypatch.setattr(transfers, "written", lambda df, name: (seen.append(df.rdd.getNumPartitions()) if name == "swept" else None, swept(df, name))[1])
     assert transfers.pair_legs(legs, block_legs=200).count() > 0
     assert seen[0] == -(-legs.count() // 50)
+
+
+def test_header_rows_are_combined_before_they_are_sent(spark):
+    """A row's headings are one number: one shuffle for the rows and one for the pages, no sort of either."""
+    words = [("a", r, t) for r, t in ((0, "Date"), (0, "Details"), (0, "x"), (1, "Date"), (1, "posted"), (1, "Debit"), (1, "Balance"), (2, "Date"), (2, "Credits"), (2, "balance"), (50, "Date"))]
+    words += [("b", 3, t) for t in ("Date", "Date", "Debit")] + [(None, 39, t) for t in ("DATE", "Debits", "Credit", "Balance")] + [("c", 40, t) for t in ("Date", "Debit", "Credit")]
+    head = layout.header_row(spark.createDataFrame(words, "page string, row int, text string"))
+    assert {tuple(r) for r in head.collect()} == {("a", 1), (None, 39)}
+    plan = spark.createDataFrame(words, "page string, row int, text string").transform(layout.header_row)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "distinct" not in plan
+
+
+def test_pages_of_orders_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lenses, "ORDERS_A_TASK", 200, raising=False)
+    assert _tasks(edge_queries._tables(spark, "/root/testdata/sf0.001")) > 2
