@@ -10,9 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ledgerloom.functions.num import agree
+from ledgerloom.session import once, tasks
 
 #: Of the median height, a row's reach; of a page's width, a column's; columns' reach for a word; words of a
 #: column at least; mean confidence under which a row is doubtful.
@@ -39,60 +40,112 @@ def _starts(keys: pa.Array | pa.ChunkedArray) -> list[int]:
     return [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False) if isinstance(new, pa.Array) else new.to_numpy()) + 1).tolist()]
 
 
-def number_rows(words: DataFrame, key: str = "page") -> DataFrame:
+def _keys(key: str | tuple[str, ...]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _laid(words: DataFrame, keys: list[str]) -> DataFrame:
+    """words dealt by page, in order from the top, with the reach of a row of their page (`_reach`): the one shuffle of words.
+    A key that is a constant is made as any other, else the window goes by the rest alone and deals words a second time."""
+    whole = once(words, {k: F.col(k) for k in keys} | {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("y1", "y2")})
+    order = (*keys, (F.col("y1") + F.col("y2")) / 2, "x1")
+    height = F.when((F.col("y2") > F.col("y1")) & ~F.isnan("y2"), F.col("y2") - F.col("y1"))
+    reach = F.coalesce(ROW_REACH * F.percentile(height, 0.5).over(Window.partitionBy(*keys)), F.lit(NO_HEIGHT))
+    return whole.repartition(tasks(words.sparkSession), *keys).sortWithinPartitions(*order).withColumn("_reach", reach)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches of laid words, each word's row on its page, and whether a page begins with it. Only a row's sum and number of
+    words go on from word to word; words of one height on the page, one after another, are of one row."""
+    row, total, n, last = -1, 0.0, 0, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        top, bottom, reach = (batch.column(c).to_numpy() for c in ("y1", "y2", "_reach"))
+        middle = (top + bottom) / 2
+        page = np.zeros(len(batch), bool)
+        for k in keys:
+            page[_starts(batch.column(k))] = True
+        page[0] = last != [batch.column(k)[0].as_py() for k in keys]
+        last = [batch.column(k)[-1].as_py() for k in keys]
+        run = page.copy()
+        run[0] = True
+        run[1:] |= (middle[1:] != middle[:-1]) | ~np.isfinite(middle[1:])
+        at = np.flatnonzero(run)
+        sizes = np.diff([*at, len(batch)])
+        rows = []
+        for m, size, new, far in zip(middle[at].tolist(), sizes.tolist(), page[at].tolist(), reach[at].tolist()):
+            if new:
+                row, n = -1, 0
+            if not n or not abs(m - total / n) <= far:
+                row, total, n = row + 1, 0.0, 0
+            for _ in range(size):
+                total += m
+            n += size
+            rows.append(row)
+        yield batch, np.repeat(np.array(rows, np.int32), sizes), page
+
+
+def number_rows(words: DataFrame, key: str | tuple[str, ...] = "page") -> DataFrame:
     """words (key, text, x1, x2, y1, y2, conf) with `row`: from the top, a word joins the row before if its middle is
-    within 0.6 median heights of that row's mean. Words come sorted by page; one page is held at a time, with
-    the whole ones that came with it."""
-    order = ((F.col("y1") + F.col("y2")) / 2, "x1")
-    names = words.columns
+    within 0.6 median heights of that row's mean. Words come sorted by page and are handed on batch by batch: a page of
+    any size is held by none."""
+    names, keys = words.columns, _keys(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for batch in batches:
-            if not len(batch):
-                continue
-            keys = batch.column(names.index(key))
-            cut = _starts(keys)[-1]  # where the last page begins
-            if cut or (held and keys[0].as_py() != now):
-                yield from placed([*held, batch.slice(0, cut)])
+        for batch, rows, _ in _numbered(batches, keys):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows)], [*names, "row"])
+
+    laid = _laid(words, keys)
+    return laid.mapInArrow(run, StructType([*laid.select(*names).schema, StructField("row", IntegerType())]))
+
+
+def gather_rows(words: DataFrame, fields: tuple[str, ...], key: str | tuple[str, ...] = "page") -> DataFrame:
+    """key, row (as number_rows has it), width and words (an array of the fields) of every row: put together where the words
+    are numbered, so that words are sent once. Tasks hold the words of one batch and of the row that goes on; rows stay
+    dealt by the key to as many tasks as `session.tasks` says."""
+    names = _keys(key)
+
+    def gathered(parts: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches([p[0] for p in parts]).combine_chunks()
+        rows, first = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        begins = np.flatnonzero(first)
+        column = lambda c: pa.concat_arrays(whole.column(c).chunks)
+        listed = pa.ListArray.from_arrays(pa.array([*begins, len(whole)], pa.int32()), pa.StructArray.from_arrays([column(c) for c in fields], list(fields)))
+        own = [column(c).take(pa.array(begins)) for c in (*names, "width")]
+        yield pa.RecordBatch.from_arrays([*own[:-1], pa.array(rows[begins]), own[-1], listed], [*names, "row", "width", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch, rows, page in _numbered(batches, names):
+            first = page.copy()
+            first[0] |= rows[0] != last
+            first[1:] |= rows[1:] != rows[:-1]
+            last = rows[-1]
+            cut = int(np.flatnonzero(first)[-1]) if first.any() else 0  # where the last row begins
+            if cut or (first[0] and held):
+                yield from gathered([*held, (batch.slice(0, cut), rows[:cut], first[:cut])])
                 held = []
-            held.append(batch.slice(cut))
-            now = keys[-1].as_py()
+            held.append((batch.slice(cut), rows[cut:], first[cut:]))
         if held:
-            yield from placed(held)
-
-    def placed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches).combine_chunks()
-        starts = _starts(whole.column(names.index(key)))
-        top, bottom = (whole.column(c).to_numpy() for c in ("y1", "y2"))
-        middles, heights = ((top + bottom) / 2).tolist(), (bottom - top).tolist()
-        real = (bottom > top).tolist()
-        rows = []
-        for a, b in zip(starts, [*starts[1:], len(whole)]):
-            known = sorted(h for h, yes in zip(heights[a:b], real[a:b]) if yes)
-            half = len(known) // 2
-            reach = ROW_REACH * (known[half] if len(known) % 2 else (known[half - 1] + known[half]) / 2) if known else NO_HEIGHT
-            row, total, n = -1, 0.0, 0
-            for middle in middles[a:b]:
-                if n and abs(middle - total / n) <= reach:
-                    total, n = total + middle, n + 1
-                else:
-                    row, total, n = row + 1, middle, 1
-                rows.append(row)
-        yield from whole.append_column("row", pa.array(rows, pa.int32())).to_batches()
-
-    whole = words.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("y1", "y2")})
-    return whole.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, StructType([*whole.schema, StructField("row", IntegerType())]))
-
-
-def columns(words: DataFrame, key: str = "page") -> DataFrame:
+            yield from gathered(held)
+
+    laid = _laid(words, names)
+    types = {f.name: f.dataType for f in laid.schema}
+    inner = ArrayType(StructType([StructField(c, types[c]) for c in fields]))
+    out = [*(StructField(k, types[k]) for k in names), StructField("row", IntegerType()), StructField("width", types["width"]), StructField("words", inner)]
+    return laid.mapInArrow(run, StructType(out))
+
+
+def columns(words: DataFrame, key: str | tuple[str, ...] = "page") -> DataFrame:
     """key, column (from the left) and edge: clusters of the right edges of amounts, where the next is within two
     hundredths of the page's width (`width`), of two words or more."""
-    order = Window.partitionBy(key).orderBy("x2")
+    keys = _keys(key)
+    order = Window.partitionBy(*keys).orderBy("x2")
     starts = words.where(is_currency(F.col("text"))).withColumn("_new", F.coalesce((F.col("x2") - F.lag("x2").over(order) > COLUMN_REACH * F.col("width")).cast("int"), F.lit(1)))
     islands = starts.withColumn("_c", F.sum("_new").over(order))
-    edges = islands.groupBy(key, "_c").agg(F.avg("x2").alias("edge"), F.count("*").alias("_n")).where(F.col("_n") >= LEAST_WORDS)
-    return edges.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("edge")) - 1).alias("column"), "edge")
+    edges = islands.groupBy(*keys, "_c").agg(F.avg("x2").alias("edge"), F.count("*").alias("_n")).where(F.col("_n") >= LEAST_WORDS)
+    return edges.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("edge")) - 1).alias("column"), "edge")
 
 
 def assign_columns(words: DataFrame, found: DataFrame, key: str = "page") -> DataFrame:
@@ -134,18 +187,19 @@ def headings(words: DataFrame, head: DataFrame, key: str = "page") -> DataFrame:
 MONEY, UNDER = ("withdrawal", "deposit", "balance"), 1.5
 
 
-def recover_columns(words: DataFrame, found: DataFrame, heads: DataFrame, key: str = "page") -> DataFrame:
+def recover_columns(words: DataFrame, found: DataFrame, heads: DataFrame, key: str | tuple[str, ...] = "page") -> DataFrame:
     """found (key, column, edge) and the columns of one amount alone, which make no cluster: a heading of money without
     a column near its right edge, but with amounts below it, gives one at their mean. Columns are numbered anew."""
-    near = UNDER * COLUMN_REACH
-    money = heads.where(F.col("role").isin(*MONEY)).select(key, "role", F.col("x2").alias("_right"))
-    amounts = words.where(is_currency(F.col("text"))).select(key, "width", F.col("x2").alias("_x2"))
-    under = amounts.join(money.hint("merge"), key).where(F.abs(F.col("_x2") - F.col("_right")) <= near * F.col("width"))
-    edges = under.groupBy(key, "role").agg(F.avg("_x2").alias("edge"), F.first("_right").alias("_right"), F.first("width").alias("width"))
-    old = found.select(key, F.col("edge").alias("_edge"))
-    lone = edges.join(old.hint("merge"), (edges[key] == old[key]) & (F.abs(F.col("_edge") - F.col("_right")) <= near * F.col("width")), "left_anti")
-    every = found.select(key, "edge").unionByName(lone.select(key, "edge"))
-    return every.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("edge")) - 1).alias("column"), "edge")
+    near, keys = UNDER * COLUMN_REACH, _keys(key)
+    money = heads.where(F.col("role").isin(*MONEY)).select(*keys, "role", F.col("x2").alias("_right"))
+    amounts = words.where(is_currency(F.col("text"))).select(*keys, "width", F.col("x2").alias("_x2"))
+    under = amounts.join(money.hint("merge"), keys).where(F.abs(F.col("_x2") - F.col("_right")) <= near * F.col("width"))
+    edges = under.groupBy(*keys, "role").agg(F.avg("_x2").alias("edge"), F.first("_right").alias("_right"), F.first("width").alias("width"))
+    old = found.select(*keys, F.col("edge").alias("_edge"))
+    same = [edges[k] == old[k] for k in keys]
+    lone = edges.join(old.hint("merge"), [*same, F.abs(F.col("_edge") - F.col("_right")) <= near * F.col("width")], "left_anti")
+    every = found.select(*keys, "edge").unionByName(lone.select(*keys, "edge"))
+    return every.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("edge")) - 1).alias("column"), "edge")
 
 
 def column_labels(count: Column, roles: Column) -> Column:

@@ -14,7 +14,7 @@ from ledgerloom.functions.num import CENT, py_round, to_number
 from ledgerloom.functions.text import title
 from ledgerloom.operators import layout
 from ledgerloom.operators.layout import ASSIGN, COLUMN_REACH, DOUBTFUL, MONEY
-from ledgerloom.session import written
+from ledgerloom.session import dealt, once, written
 
 # Words that head columns; marks of lines that are no transactions; marks of a page's furniture.
 KEYWORDS = {
@@ -36,6 +36,8 @@ NO_NAME = ("statement", "account", "period", "page", "bank", "chequing", "checki
 _DAY = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}"
 PERIOD = rf"({_DAY})\s*(?:to|-|–|through)\s*({_DAY})"
 EDGES = " |_-—."
+#: What a page is known by.
+PAGE = ("doc", "page")
 
 
 def _any_in(text: Column, marks: tuple[str, ...]) -> Column:
@@ -47,10 +49,7 @@ def _any_in(text: Column, marks: tuple[str, ...]) -> Column:
 
 def lines(words: DataFrame) -> DataFrame:
     """doc, page, row, width and words (x1, text, x2, conf, from the left) of every line, from the top of its page."""
-    keyed = layout.words_only(words).withColumn("_page", F.concat_ws("\x1f", "doc", F.col("page").cast("string")))
-    numbered = layout.number_rows(keyed, "_page")
-    word = F.struct("x1", "text", "x2", "conf")
-    return numbered.groupBy("doc", "page", "row").agg(F.first("width").alias("width"), F.array_sort(F.collect_list(word)).alias("words"))
+    return layout.gather_rows(layout.words_only(words), ("x1", "text", "x2", "conf"), PAGE).withColumn("words", F.array_sort("words"))
 
 
 def _text(words: Column) -> Column:
@@ -60,8 +59,7 @@ def _text(words: Column) -> Column:
 def header(found: DataFrame) -> DataFrame:
     """doc, page, head_row and heads (field to x1 and x2) of the pages with a header: of the first forty lines that with the
     words of most fields, three at least, of which three fields have a word of their own."""
-    low = F.lower(_text(F.col("words")))
-    score = sum((_any_in(low, marks).cast("int") for marks in KEYWORDS.values()), F.lit(0))
+    score = sum((_any_in(F.col("_low"), marks).cast("int") for marks in KEYWORDS.values()), F.lit(0))
     token = lambda w: F.btrim(F.lower(w["text"]), F.lit(" |_-—:"))
 
     def fields(w: Column) -> Column:
@@ -74,23 +72,22 @@ def header(found: DataFrame) -> DataFrame:
 
     named = F.transform("words", lambda w: F.struct(token(w).alias("token"), w["x1"].alias("x1"), w["x2"].alias("x2")))
     none = F.from_json(F.lit("{}"), "map<string,struct<x1:double,x2:double>>")
-    scored = found.where(F.col("row") < HEADER_ROWS).withColumn("_score", score).where(F.col("_score") >= LEAST_HEADINGS)
-    mapped = scored.withColumn("heads", F.aggregate(named, none, take)).where(F.size(F.map_keys("heads")) >= LEAST_HEADINGS)
+    first = once(found.where(F.col("row") < HEADER_ROWS), {"_low": F.lower(_text(F.col("words")))})
+    scored = once(first, {"_score": score}).where(F.col("_score") >= LEAST_HEADINGS)
+    mapped = once(scored, {"heads": F.aggregate(named, none, take)}).where(F.size(F.map_keys("heads")) >= LEAST_HEADINGS)
     best = mapped.groupBy("doc", "page").agg(F.max_by(F.struct("row", F.map_entries("heads").alias("heads")), F.struct("_score", -F.col("row"))).alias("b"))
     return best.select("doc", "page", F.col("b.row").alias("head_row"), F.map_from_entries("b.heads").alias("heads"))
 
 
-def _columns(found: DataFrame) -> DataFrame:
+def _columns(amounts: DataFrame, marks: DataFrame) -> DataFrame:
     """doc, page and columns (edge and label, from the left) of the amounts below the header, where there are any."""
-    page = F.concat_ws("\x1f", "doc", F.col("page").cast("string")).alias("_page")
-    words = found.select(page, "doc", "page", "width", F.explode("words").alias("w")).select("_page", "doc", "page", "width", "w.*")
-    heads = found.select(page, F.explode("heads").alias("role", "at")).distinct().select("_page", "role", F.col("at.x1").alias("x1"), F.col("at.x2").alias("x2"))
-    edges = layout.recover_columns(words, layout.columns(words, "_page"), heads, "_page")
-    listed = edges.groupBy("_page").agg(F.transform(F.array_sort(F.collect_list(F.struct("column", "edge"))), lambda c: c["edge"]).alias("edges"))
-    roles = heads.where(F.col("role").isin(*MONEY)).groupBy("_page").agg(F.transform(F.array_sort(F.collect_list(F.struct("x1", "role"))), lambda h: h["role"]).alias("roles"))
+    heads = marks.select(*PAGE, F.explode("heads").alias("role", "at")).select(*PAGE, "role", F.col("at.x1").alias("x1"), F.col("at.x2").alias("x2"))
+    edges = layout.recover_columns(amounts, layout.columns(amounts, PAGE), heads, PAGE)
+    listed = edges.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("column", "edge"))), lambda c: c["edge"]).alias("edges"))
+    roles = heads.where(F.col("role").isin(*MONEY)).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("x1", "role"))), lambda h: h["role"]).alias("roles"))
     labels = layout.column_labels(F.size("edges"), F.coalesce("roles", F.array().cast("array<string>")))
-    named = listed.join(roles, "_page", "left").withColumn("labels", labels)
-    return found.select(page, "doc", "page").distinct().join(named, "_page").select("doc", "page", F.arrays_zip("edges", "labels").alias("columns"))
+    named = listed.join(roles.hint("merge"), [*PAGE], "left").withColumn("labels", labels)
+    return named.select(*PAGE, F.arrays_zip("edges", "labels").alias("columns"))
 
 
 def _placed(found: DataFrame) -> DataFrame:
@@ -98,13 +95,16 @@ def _placed(found: DataFrame) -> DataFrame:
     reach = COLUMN_REACH * F.col("width")
 
     def near(w: Column) -> Column:
-        best = F.array_min(F.transform("columns", lambda c, i: F.struct(F.abs(w["x2"] - c["edges"]).alias("d"), i.alias("i"), c["labels"].alias("label"))))
-        return F.when(layout.is_currency(w["text"]) & (best["d"] <= ASSIGN * reach), best["label"])
+        return F.array_min(F.transform("columns", lambda c, i: F.struct(F.abs(w["x2"] - c["edges"]).alias("d"), i.alias("i"), c["labels"].alias("label"))))
 
-    marked = F.transform("words", lambda w: F.struct(w["x1"].alias("x1"), w["text"].alias("text"), w["x2"].alias("x2"), near(w).alias("label"), to_number(w["text"]).alias("value")))
+    own = lambda w: (w["x1"].alias("x1"), w["text"].alias("text"), w["x2"].alias("x2"))
+    # each step is made before the next uses it twice
+    marked = F.transform("words", lambda w: F.struct(*own(w), layout.is_currency(w["text"]).alias("money")))
+    marked = F.transform(marked, lambda w: F.struct(*own(w), w["money"].alias("money"), F.when(w["money"], near(w)).alias("near"), F.when(w["money"], to_number(w["text"])).alias("value")))
+    marked = F.transform(marked, lambda w: F.struct(*own(w), w["money"].alias("money"), F.when(w["near"]["d"] <= ASSIGN * reach, w["near"]["label"]).alias("label"), w["value"].alias("value")))
     held = lambda w: w["label"].isNotNull() & w["value"].isNotNull()
-    placed = found.withColumn("_marked", marked).withColumns({
-        "has_money": F.exists("words", lambda w: layout.is_currency(w["text"])),
+    placed = once(found, {"_marked": marked}).withColumns({
+        "has_money": F.exists("_marked", lambda w: w["money"]),
         "_money": F.filter("_marked", held), "rest": F.filter("_marked", lambda w: ~held(w)),
     })
     value = lambda label: F.try_element_at(F.filter("_money", lambda w: w["label"] == label), F.lit(-1))["value"]
@@ -128,13 +128,16 @@ def kinds(placed: DataFrame) -> DataFrame:
     column holds is a transaction too; the amount stays among its words. A line without amounts goes on if it has
     at most six words, none of the furniture's, no date, and starts at the description's column.
     """
-    low, words = F.lower("description"), F.btrim(F.regexp_replace(_text(F.col("words")), r"\s+", " "), F.lit(EDGES))
+    low, words = F.col("_low"), F.btrim(F.regexp_replace(_text(F.col("words")), r"\s+", " "), F.lit(EDGES))
     money = F.size("_money") > 0
     spoken = (F.col("description") != "") | F.col("date").isNotNull()
     summary = F.when(_any_in(low, OPENING), "opening").when(_any_in(low, CLOSING), "closing").when(low.contains("total") & F.col("date").isNull(), "total")
     bare = F.col("heads").isNotNull() & F.col("has_money") & F.col("date").isNotNull()
     own = F.when((money | bare) & summary.isNull() & spoken, F.when(F.col("date").isNotNull() | F.col("balance").isNotNull(), "sure").otherwise("loose"))
-    begun = F.min(F.when(own.isNotNull(), F.col("row"))).over(Window.partitionBy("doc", "page")) < F.col("row")
+    placed = once(placed, {"_low": F.lower("description"), "_words": words}).withColumn("_own", own)
+    own, words = F.col("_own"), F.col("_words")
+    placed = placed.withColumn("_begun", F.min(F.when(own.isNotNull(), F.col("row"))).over(Window.partitionBy(*PAGE)) < F.col("row"))
+    begun = F.col("_begun")
     at, reach = F.col("heads")["description"], COLUMN_REACH * F.col("width")
     left = F.array_min(F.transform("words", lambda w: w["x1"]))
     below = at.isNull() | left.between(at["x1"] - reach, at["x2"] + 4 * reach)
@@ -142,7 +145,8 @@ def kinds(placed: DataFrame) -> DataFrame:
     kind = F.when(money & summary.isNotNull(), summary).when(own == "sure", "transaction").when((own == "loose") & ~begun, "transaction").when(begun & ((own == "loose") | wraps), "continuation")
     said = F.when(F.col("has_money"), F.col("description")).otherwise(words)
     mean = F.aggregate(F.filter("words", lambda w: w["conf"] < 100), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, w: F.struct((a["s"] + w["conf"]).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
-    return placed.withColumns({"kind": kind, "said": said, "doubtful": F.coalesce(mean < DOUBTFUL, F.lit(False))})
+    placed = once(placed, {"kind": kind, "said": said, "doubtful": F.coalesce(mean < DOUBTFUL, F.lit(False))})
+    return placed.drop("_low", "_words", "_own", "_begun")
 
 
 def read_pages(words: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,26 +157,35 @@ def read_pages(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     continuation lines are at the end of the description. heads: doc, opening_balance, closing_balance,
     total_withdrawals, total_deposits and the doubtful rows' descriptions; of each field the first page's that has it.
 
-    Lines, and what each is, are written to the shared folder, as several steps read them. Words without text, or of
+    Lines, the pages' headings, amounts and columns, and what each line is, are written to the shared folder, dealt by page:
+    words are sent once, and what follows reads lines where they lie. Words without text, or of
     borders alone, are left out; a document without words gives nothing, one without
     transactions a head alone.
     """
-    found = written(lines(words), "lines")
-    marks = header(found)
-    table = found.join(marks, ["doc", "page"], "left").where(F.col("row") > F.coalesce("head_row", F.lit(-1)))
+    return _read(dealt(lines(words), "lines", *PAGE))
+
+
+def _read(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What read_pages gives, of lines that were written."""
+    marks = dealt(header(found), "marks", *PAGE)
+    below = lambda x: x.join(marks.hint("merge"), [*PAGE], "left").where(F.col("row") > F.coalesce("head_row", F.lit(-1)))
+    amount = F.explode(F.filter("words", lambda w: layout.is_currency(w["text"])))
+    amounts = below(found.select(*PAGE, "row", "width", amount.alias("w"))).select(*PAGE, "width", "w.text", "w.x2")
+    listed = dealt(_columns(dealt(amounts, "amounts", *PAGE), marks), "columns", *PAGE)
     columns = F.coalesce("columns", F.array().cast("array<struct<edges:double,labels:string>>"))
-    judged = kinds(_placed(table.join(_columns(table), ["doc", "page"], "left").withColumn("columns", columns)))
-    judged = written(judged.select("doc", "page", "row", "kind", "said", "date", "reference", *MONEY, "amount", "doubtful"), "judged")
+    judged = kinds(_placed(below(found).join(listed.hint("merge"), [*PAGE], "left").withColumn("columns", columns)))
+    judged = judged.where(F.col("kind").isNotNull()).select("doc", "page", "row", "kind", "said", "date", "reference", *MONEY, "amount", "doubtful")
+    judged = dealt(judged, "judged", *PAGE)
     kept = judged.where(F.col("kind").isin("transaction", "continuation"))
     island = F.count_if(F.col("kind") == "transaction").over(Window.partitionBy("doc", "page").orderBy("row"))
     fields = ("date", "reference", *MONEY, "amount", "doubtful")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("row", "said"))), lambda x: x["said"])
     rows = kept.withColumn("_i", island).groupBy("doc", "page", "_i").agg(
-        F.min("row").alias("row"), F.min_by(F.struct(*fields, F.col("said").alias("_own")), "row").alias("r"), F.nullif(F.array_join(F.filter(parts, lambda s: s != ""), " "), F.lit("")).alias("description"),
+        F.min("row").alias("row"), F.min_by(F.struct(*fields), "row").alias("r"), F.nullif(F.array_join(F.filter(parts, lambda s: s != ""), " "), F.lit("")).alias("description"),
     )
     lone = F.when(F.col("r.withdrawal").isNull() & F.col("r.deposit").isNull(), F.col("r.amount"))
     order = Window.partitionBy("doc").orderBy("page", "row")
-    rows = rows.select("doc", (F.row_number().over(order) - 1).alias("pos"), F.col("r.date").alias("date"), "description", *(F.col(f"r.{c}").alias(c) for c in ("reference", *MONEY)), lone.alias("amount"), F.col("r.doubtful").alias("doubtful"), F.col("r._own").alias("_own"))
+    rows = rows.select("doc", (F.row_number().over(order) - 1).alias("pos"), F.col("r.date").alias("date"), "description", *(F.col(f"r.{c}").alias(c) for c in ("reference", *MONEY)), lone.alias("amount"), F.col("r.doubtful").alias("doubtful"))
     either = F.coalesce(F.nullif(F.col("balance"), F.lit(0.0)), F.col("amount"))
     last = lambda x, kind: F.max_by(F.struct(x.alias("v")), F.when(F.col("kind") == kind, F.col("row")))["v"]
     by_page = judged.groupBy("doc", "page").agg(
@@ -180,10 +193,11 @@ def read_pages(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     names = ("opening_balance", "closing_balance", "total_withdrawals", "total_deposits")
     heads = by_page.groupBy("doc").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("page"))).alias(c) for c in names))
-    doubts = rows.where("doubtful").groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.left("_own", F.lit(40)).alias("t")))), lambda x: x["t"]).alias("low_confidence_rows"))
-    every = layout.words_only(words).select("doc").distinct()
-    heads = every.join(heads, "doc", "left").join(doubts, "doc", "left").withColumn("low_confidence_rows", F.coalesce("low_confidence_rows", F.array().cast("array<string>")))
-    return rows.drop("_own"), heads
+    doubtful = judged.where("doubtful AND kind = 'transaction'").select("doc", F.struct("page", "row", F.left("said", F.lit(40)).alias("t")).alias("d"))
+    doubts = doubtful.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list("d")), lambda x: x["t"]).alias("low_confidence_rows"))
+    every = found.select("doc").distinct()
+    heads = every.join(heads.hint("merge"), "doc", "left").join(doubts.hint("merge"), "doc", "left").withColumn("low_confidence_rows", F.coalesce("low_confidence_rows", F.array().cast("array<string>")))
+    return rows, heads
 
 
 def settle(rows: DataFrame, heads: DataFrame) -> DataFrame:
@@ -206,15 +220,20 @@ def settle(rows: DataFrame, heads: DataFrame) -> DataFrame:
 
 def names(words: DataFrame) -> DataFrame:
     """doc, bank_name, account_holder_name, account_type, account_number and the period's start and end, as far as the
-    head of a document's first page says.
+    head of a document's first page with words says.
 
     The head is its first twenty lines, of which the left block is what lies left of 55 hundredths of the width. The bank
     is the first of four left lines with two words and eight letters; the holder the first later one of two to four
     words in capitals, without digits, without a word that names no one, and not part of the bank's name; the period
     two dates that a word or a dash joins.
     """
+    words = layout.words_only(words)
     first = words.groupBy("doc").agg(F.min("page").alias("page"))
-    top = lines(words.join(first, ["doc", "page"])).where(F.col("row") < HEAD)
+    return _names(lines(words.join(first, [*PAGE])).where(F.col("row") < HEAD))
+
+
+def _names(top: DataFrame) -> DataFrame:
+    """What names gives, of the lines of the heads of first pages."""
     strip = lambda x: F.btrim(x, F.lit(" |_-—"))
     left = strip(_text(F.filter("words", lambda w: (w["x1"] + w["x2"]) / 2 < LEFT * F.col("width"))))
     # a logo is often read as one or two stray small letters before the name
@@ -236,12 +255,15 @@ def names(words: DataFrame) -> DataFrame:
 
 def statements(words: DataFrame) -> DataFrame:
     """statement_id and json of every document, as an upload takes it: names, balances, totals and settled rows."""
-    rows, heads = read_pages(words)
-    settled = settle(rows, heads)
+    found = dealt(lines(words), "lines", *PAGE)
+    rows, heads = _read(found)
+    first = found.groupBy("doc").agg(F.min("page").alias("page"))
+    named = written(_names(found.where(F.col("row") < HEAD).join(first.hint("merge"), [*PAGE], "left_semi")), "names")
     line = F.struct("date", "description", "reference", "withdrawal", "deposit", "balance", "amount")
-    listed = settled.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("transactions"))
-    closing = settled.groupBy("doc").agg(F.max_by(F.struct("balance"), "pos")["balance"].alias("_last"))
-    whole = heads.join(names(words), "doc", "left").join(listed, "doc", "left").join(closing, "doc", "left")
+    listed = settle(rows, heads).groupBy("doc").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("transactions"), F.max_by(F.struct("balance"), "pos")["balance"].alias("_last"),
+    )
+    whole = heads.join(named.hint("merge"), "doc", "left").join(written(listed, "listed").hint("merge"), "doc", "left")
     fields = ("bank_name", "account_holder_name", "account_number", "account_type", "statement_period_start", "statement_period_end", "opening_balance")
     empty = F.array().cast(dict(whole.dtypes)["transactions"])
     return whole.select(F.col("doc").alias("statement_id"), F.to_json(F.struct(

@@ -70,6 +70,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """As many tasks as shuffles have."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """As `written`, for rows that lie in tasks(spark) tasks by the hash of the keys, as repartition deals them: files say
+    so as buckets, and what goes by these keys is read without a shuffle. The catalog is used for that alone; it keeps
+    no table."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"spark_catalog.default.{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(tasks(spark), *keys).option("path", path).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 def spread(df: DataFrame, rows: int) -> DataFrame:
     """df dealt to tasks of about so many rows: a small file is one task's, whatever is made of its rows."""
     n = -(-df.count() // rows)

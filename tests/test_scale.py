@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerloom import edge_queries
-from ledgerloom.operators import adapt, layout, payoff, transfers
+from ledgerloom.operators import adapt, layout, pages, payoff, transfers
+from ledgerloom.session import dealt
 from ledgerloom.sources import lenses, statements
 from tests.test_operators import _plan
 
@@ -134,3 +135,51 @@ def test_header_rows_are_combined_before_they_are_sent(spark):
 def test_pages_of_orders_are_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(lenses, "ORDERS_A_TASK", 200, raising=False)
     assert _tasks(edge_queries._tables(spark, "/root/testdata/sf0.001")) > 2
+
+
+def _words(spark, docs=20, lines=7):
+    words = [(f"d{d}", p, 600.0, f"w{i}", 50.0 * x, 50.0 * x + 40, 20.0 * i, 20.0 * i + 10, 95.0) for d in range(docs) for p in range(2) for i in range(lines) for x in (2, 0, 1)]
+    return spark.createDataFrame(words, "doc string, page int, width double, text string, x1 double, x2 double, y1 double, y2 double, conf double")
+
+
+def _plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_sent_once(spark):
+    """From words to lines there is one shuffle, a page known by a constant too; lines are read by page without any."""
+    words = _words(spark)
+    for each in (words, words.withColumn("page", F.lit(0))):
+        assert _plan_of(pages.lines(each)).count("Exchange hashpartitioning") == 1
+    found = dealt(pages.lines(words), "lines", "doc", "page")
+    assert "Exchange" not in _plan_of(found.join(found.groupBy("doc", "page").count().hint("merge"), ["doc", "page"]))
+    assert found.count() == 20 * 2 * 7 and not [t for t in spark.catalog.listTables() if t.name.startswith("lines_")]
+
+
+def test_lines_that_go_on_in_the_next_batch(spark):
+    words = _words(spark)
+    wanted = {(f"d{d}", p, i): [f"w{i}"] * 3 for d in range(20) for p in range(2) for i in range(7)}
+    for size in ("1", "4", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = pages.lines(words).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {(r.doc, r.page, r.row): [w.text for w in r.words] for r in got} == wanted and len(got) == len(wanted)
+        assert all([w.x1 for w in r.words] == [0.0, 50.0, 100.0] for r in got)
+
+
+def test_a_large_page_is_held_by_none():
+    """Rows are known before the page's last words have come."""
+    left = [pa.record_batch({"page": pa.array(["a"] * 4), "y1": pa.array([i * 20.0] * 4), "y2": pa.array([i * 20.0 + 10] * 4), "_reach": pa.array([6.0] * 4)}) for i in range(5)]
+    batches = iter(left)
+    rows = next(layout._numbered(batches, ["page"]))[1]
+    assert rows.tolist() == [0] * 4 and len(list(batches)) == 4
+
+
+def test_statements_read_their_words_once(spark, monkeypatch):
+    seen = []
+    lines = pages.lines
+    monkeypatch.setattr(pages, "lines", lambda words: (seen.append(1), lines(words))[1])
+    made = pages.statements(_words(spark, docs=2))
+    assert len(seen) == 1 and made.count() == 2 and "ExistingRDD" not in _plan_of(made)
