@@ -34,7 +34,7 @@ def g9_names(spark, d):
 @query
 def g13_adapted_pages(spark, d):
     """The pages as statements, adapted: rows by account as an upload would store them."""
-    parsed = statements.parse(pages.statements(lenses.statement_pages(spark, d)))[0]
+    parsed = statements.kept(statements.parse(pages.statements(lenses.statement_pages(spark, d)))[0])
     rows = adapt.adapt_rows(parsed)
     owners = adapt.adapt_accounts(parsed, rows).select("statement_id", F.col("id").alias("account_id"), "closing_balance")
     return rows.join(owners, "statement_id").select("statement_id", "account_id", "closing_balance", "pos", "date", "description", "amount", "balance")
