@@ -112,6 +112,35 @@ def test_legs_with_no_partner_are_not_gone_through(spark, monkeypatch):
     assert transfers.sweep(legs, np.full(n, 8)) == ([(0, 1, False, 2)], []) and len(pushed) == 1
 
 
+def test_legs_with_nobody_near_make_no_cells(monkeypatch):
+    """Legs without one of the other sign near them are told apart for the block at once; what may be taken from outside
+    stays to be judged."""
+    n, seen = 600, []
+    numbered = transfers._numbered
+    monkeypatch.setattr(transfers, "_numbered", lambda *columns: (seen.append(len(columns[0])), numbered(*columns))[1])
+    legs = {"pos": np.arange(n), "account_id": np.arange(n) % 90, "amount": -5.0 - np.arange(n), "cents": 500 + 100 * np.arange(n), "day": np.arange(n) % 40}
+    legs |= {"word": np.zeros(n, bool), "ends": np.zeros(n, int), "starts": np.zeros(n, int)}
+    outside = np.full(n, 8)
+    outside[7] = 3
+    legs["amount"][20], legs["cents"][20], legs["day"][20] = 14.99, 1499, 12  # across a cent from leg 10, two days on
+    assert transfers.sweep(legs, outside) == ([(10, 20, False, 2)], [7])
+    assert seen and max(seen) == 2
+
+
+def test_small_blocks_are_swept_together(spark, monkeypatch):
+    """Many blocks of few legs are few sweeps, and the pairs are those of one block."""
+    sides = [(i // 3, 0) for i in range(300)]
+    table = pa.table({"across": pa.array([s[0] for s in sides], pa.int64()), "along": pa.array([s[1] for s in sides], pa.int64()), "pos": pa.array(range(300))})
+    for size in (1, 7, 300):
+        groups = list(transfers._groups(iter(table.to_batches(max_chunksize=size)), 50))
+        assert len(groups) <= 6 and pa.concat_tables(groups).column("pos").to_pylist() == list(range(300))
+        owners = [set(g.column("across").to_pylist()) for g in groups]
+        assert sum(map(len, owners)) == 100  # no block is parted
+    legs = lenses.legs(spark, "/root/testdata/sf0.001")
+    whole = {tuple(r) for r in transfers.pair_legs(legs).collect()}
+    assert {tuple(r) for r in transfers.pair_legs(legs, block_legs=100).collect()} == whole and len(whole) > 100
+
+
 def test_legs_are_dealt_to_tasks(spark, monkeypatch):
     monkeypatch.setattr(transfers, "LEGS_A_TASK", 50, raising=False)
     legs = lenses.legs(spark, "/root/testdata/sf0.001")
